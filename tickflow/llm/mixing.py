@@ -14,7 +14,7 @@ CELL_BITS = 12
 #: More sources than this are joined by a shuffle, not broadcast.
 BROADCAST_SOURCES = 100_000
 #: Slots of the schedule that are ranked together, and documents that are ordered together.
-CHUNK, BUCKET = 65536, 4096
+CHUNK, BUCKET = 65536, 1024
 
 
 def word_count(text: Column) -> Column:
