@@ -47,6 +47,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_tokens": op8_tokens,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
