@@ -114,5 +114,19 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, total: i
     return rows.join(F.broadcast(hot), key).unionByName(by_shuffle)
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in the first column of ``gone``; a null id there takes null ids away.
+
+    Only rows that a bit filter of the ids may know are shuffled; all others go straight through.
+    """
+    gone = written(gone.select(F.struct(F.col(gone.columns[0]).alias("id")).alias("__gone")).distinct())
+    bits = filter_bits(gone.count())
+    maps = bitmaps(gone.select(slot(F.col("__gone"), bits, 1).alias("slot")).distinct())
+    keyed = docs.withColumn("__key", F.struct(F.col(id_col).alias("id")))
+    flagged = probed(keyed, [(maps, slot(F.col("__key"), bits, 1))], "__maybe")
+    left = flagged.where("__maybe").join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    return flagged.where("not __maybe").unionByName(left).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -224,6 +224,18 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more: a filter inside each task, all columns kept."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            clean = [model.score(t) < threshold for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labelled rows outside the held-out fold, then score every row."""
     found = scored(docs, learned(docs, labels))
