@@ -7,7 +7,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ HEAD = struct.Struct("<IIBHI")
 #: The share of ids that the chosen width must hold.
 PERCENTILE = 95
 #: Pieces that a worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 # --- blocks -----------------------------------------------------------------------------------------------
@@ -30,13 +29,14 @@ REMEMBERED = 400_000
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bits of each value, end to end, lowest bit first."""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    return np.packbits(bits.ravel(), bitorder="little").tobytes()
 
 
 def unpack_bits(data: bytes, n: int, width: int) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
 
 
 def pack_block(ids: np.ndarray) -> bytes:
@@ -44,7 +44,7 @@ def pack_block(ids: np.ndarray) -> bytes:
     the high bits of the others stand in a list of (place, high bits)."""
     base = int(ids.min())
     rest = (ids - base).astype(np.uint32)
-    width = int(np.percentile(rest, PERCENTILE, method="higher")).bit_length()
+    width = int(np.sort(rest)[-(-len(rest) * PERCENTILE // 100) - 1]).bit_length()
     over = np.nonzero(rest >> width)[0]
     payload = pack_bits(rest & ((1 << width) - 1), width) + over.astype("<u2").tobytes() + (rest[over] >> width).astype("<u4").tobytes()
     return HEAD.pack(len(ids), base, width, len(over), HEAD.size + len(payload)) + payload
@@ -91,7 +91,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.places: dict[str, int] = {}
-        self.ids, self.starts = np.zeros(1 << 16, np.uint32), [0]
+        self.recent: list[str] = []
+        self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         self.classes = np.zeros(0x110000, np.uint8)  # 0 other, 1 letter, 2 number, 3 white space, 4 the space itself
         for kind, pattern in ((1, r"\p{L}"), (2, r"\p{N}"), (3, r"\s")):
@@ -117,18 +118,25 @@ class Encoder:
         whole = "".join(texts)
         if not whole:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         begins = np.cumsum([0, *map(len, texts)])
+        data = whole.encode()
+        try:  # one byte a character, for most European texts
+            points = np.frombuffer(whole.encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         cut = self._cuts(self.classes[points], begins[:-1][np.diff(begins) > 0])
-        width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
-        offsets = np.r_[0, np.cumsum(width)][np.r_[cut, len(points)]]
-        pieces = pa.LargeStringArray.from_buffers(len(cut), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(whole.encode())).dictionary_encode()
+        offsets = np.r_[cut, len(points)]
+        if len(data) > len(points):
+            width = (points > 0x7F).astype(np.uint8) + (points > 0x7FF) + (points > 0xFFFF)
+            offsets = offsets + np.r_[0, np.cumsum(width, dtype=np.int64)][offsets]
+        pieces = pa.LargeStringArray.from_buffers(len(cut), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
         place = self._places(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
-        starts = np.array(self.starts, np.int64)
-        first, n = starts[place], starts[place + 1] - starts[place]
-        at = np.arange(n.sum()) + np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n)
-        ends = np.r_[0, np.cumsum(n)][np.searchsorted(cut, begins)]
-        return self.ids[at], np.diff(ends)
+        first = self.starts[place]
+        n = self.starts[place + 1] - first
+        ends = np.cumsum(n)
+        at = np.repeat(first - (ends - n), n)
+        at += np.arange(len(at))
+        return self.ids[at], np.diff(np.r_[0, ends][np.searchsorted(cut, begins)])
 
     @staticmethod
     def _cuts(kind: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -147,32 +155,45 @@ class Encoder:
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         """Where the ids of each piece stand in ``starts``."""
-        if len(self.places) + len(pieces) > REMEMBERED + (1 << 20):
-            self.places, self.starts = {}, [0]
+        if len(self.places) > REMEMBERED:
+            self._forget()
+        self.recent = pieces
         new = [p for p in pieces if p not in self.places]
         joined = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace()]
         for k in range(0, len(joined), 512):
             self._remember_joined(joined[k : k + 512])
         alone = [p for p in new if p not in self.places]
         for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self._remember([p], np.array(e.ids, np.uint32), [len(e.ids)])
+            self._remember([p], np.array(e.ids, np.uint32), np.array([len(e.ids)]))
         return np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
 
+    def _forget(self) -> None:
+        """Keep only the pieces of the batch before; frequent ones are among them."""
+        old, starts, ids = self.places, self.starts, self.ids
+        keep = np.fromiter(map(old.__getitem__, self.recent), np.int64, len(self.recent))
+        n = starts[keep + 1] - starts[keep]
+        at = np.repeat(starts[keep] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        kept = ids[at]
+        self.places, self.starts[0] = {}, 0
+        self._remember(self.recent, kept, n)
+
     def _remember_joined(self, pieces: list[str]) -> None:
         """Pieces that begin with a space keep apart when they stand end to end: one call encodes many."""
         e = self.tokenizer.encode("".join(pieces), add_special_tokens=False)
         words = np.array(e.word_ids, np.int64)
         if len(words) and words[-1] == len(pieces) - 1:
-            self._remember(pieces, np.array(e.ids, np.uint32), np.bincount(words, minlength=len(pieces)).tolist())
+            self._remember(pieces, np.array(e.ids, np.uint32), np.bincount(words, minlength=len(pieces)))
 
-    def _remember(self, pieces: list[str], ids: np.ndarray, counts: list[int]) -> None:
-        end = self.starts[-1]
-        if end + len(ids) > len(self.ids):
-            self.ids = np.r_[self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)]
-        self.ids[end : end + len(ids)] = ids
-        for p, n in zip(pieces, counts, strict=True):
-            self.places[p] = len(self.starts) - 1
-            self.starts.append(self.starts[-1] + n)
+    def _remember(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        first = len(self.places)
+        begin = int(self.starts[first])
+        while first + len(pieces) >= len(self.starts):
+            self.starts = np.r_[self.starts, np.zeros_like(self.starts)]
+        while begin + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+        self.ids[begin : begin + len(ids)] = ids
+        self.starts[first + 1 : first + 1 + len(pieces)] = begin + np.cumsum(counts)
+        self.places.update(zip(pieces, range(first, first + len(pieces)), strict=True))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -218,8 +239,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         for batch in batches:
             shard = batch.column(2)[0].as_py() if len(batch) else shard
-            for k in range(0, len(batch), 512):
-                part = batch.slice(k, 512)
+            for k in range(0, len(batch), 1024):
+                part = batch.slice(k, 1024)
                 ids, counts = encode([t or "" for t in part.column(1).to_pylist()])
                 at = np.cumsum(counts + 1)
                 held.append(np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32))
