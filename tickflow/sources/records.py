@@ -13,8 +13,8 @@ from ..schemas import RECORD
 
 #: Length, type, module, padding and time: the head of a record in a spool.
 HEAD, HEAD_SIZE = ">iiqqq", 32
-#: Where a record's time stands in the four streams.
-TIME_AT = {"hit": 24, "moni": 8, "tcal": 8, "sn": 8}
+#: Where a record's time stands: after the module in hits, in its place in the other streams.
+HIT_TIME, OTHER_TIME = 24, 8
 
 _RECORD = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("rec_len", pa.int32()), ("fmt", pa.int32()), ("mbid", pa.int64()), ("utc", pa.int64()), ("payload", pa.binary())])
 
@@ -29,10 +29,11 @@ def _spans(data: bytes) -> Iterator[tuple[int, int]]:
         at += size
 
 
-def split_records(files: DataFrame, with_payload: bool = True) -> DataFrame:
+def split_records(files: DataFrame, with_payload: bool = True, time_at: int = HIT_TIME) -> DataFrame:
     """One row for each record of files (path, content): fields of the head, and the bytes after it.
 
-    A record states its length; one that runs past its file fails the job.
+    A record states its length; one that runs past its file fails the job.  Streams whose time stands at
+    byte 8 have no module in the head.
     """
 
     def run(batches):
@@ -41,6 +42,8 @@ def split_records(files: DataFrame, with_payload: bool = True) -> DataFrame:
                 rows = []
                 for at, size in _spans(data):
                     length, fmt, mbid, _, utc = struct.unpack_from(HEAD, data, at)
+                    if time_at == OTHER_TIME:
+                        mbid, utc = None, mbid
                     rows.append((path, at, length, fmt, mbid, utc, data[at + HEAD_SIZE : at + size] if with_payload else None))
                 columns = list(zip(*rows, strict=True)) or [()] * len(_RECORD)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _RECORD.types, strict=True)], _RECORD.names)
@@ -54,12 +57,20 @@ def read_spool(spark: SparkSession, path: str, first: int | None = None, last: i
     return rows if first is None else rows.where(F.col("utc").between(first, last))
 
 
+def replayed(files: DataFrame, skip: int = 0) -> DataFrame:
+    """Records of replay files (path, content, stream, number), without the first ``skip`` hit files, with ``stream``."""
+    kept = files.where((F.col("stream") != "hit") | (F.col("number") >= skip))
+    hits = split_records(kept.where("stream = 'hit'"), False).withColumn("stream", F.lit("hit"))
+    others = split_records(kept.where("stream <> 'hit'"), False, OTHER_TIME)
+    named = others.join(kept.select("path", "stream").distinct(), "path").select(*hits.columns)
+    return hits.unionByName(named)
+
+
 def read_replay(spark: SparkSession, folder: str, hub_id: int, skip: int = 0) -> DataFrame:
-    """Records of the four stream files ``hub<id>_<stream>_<n>.dat`` of a hub, with ``stream``; the first ``skip`` hit files are left out."""
+    """Records of the files ``hub<id>_<stream>_<n>.dat`` of a hub."""
     files = spark.read.format("binaryFile").load(f"{folder}/hub{hub_id:04d}_*.dat")
-    name = F.regexp_extract("path", r"hub\d+_([a-z]+)_(\d+)\.dat$", 1)
-    number = F.regexp_extract("path", r"hub\d+_([a-z]+)_(\d+)\.dat$", 2).cast("int")
-    return split_records(files.where((name != "hit") | (number >= skip))).withColumn("stream", name)
+    name = r"hub\d+_([a-z]+)_(\d+)\.dat$"
+    return replayed(files.withColumn("stream", F.regexp_extract("path", name, 1)).withColumn("number", F.regexp_extract("path", name, 2).cast("int")), skip)
 
 
 def packed_records(hits: DataFrame, slice_ticks: int) -> DataFrame:
