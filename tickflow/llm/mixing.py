@@ -103,7 +103,7 @@ def _times(targets: DataFrame, slots: int, max_epochs: float, small) -> DataFram
     upto = F.sum("wanted").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum("wanted").over(Window.partitionBy(F.lit(0)))
     spans = (
-        targets.withColumn("hi", F.round(upto / whole * unit).cast("long"))
+        targets.withColumn("hi", F.round(F.try_divide(upto, whole) * unit).cast("long"))
         .withColumn("lo", F.lag("hi", 1, 0).over(Window.orderBy("sid")))
         .where("hi > lo")
         .select("sid", "blocks", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", 32 - CELL_BITS), F.shiftright(F.col("hi") - 1, 32 - CELL_BITS))).alias("cell"))
