@@ -111,17 +111,18 @@ def contaminated(
     n_blocks = 1 + chars // block_chars
     kinds = [docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, item_chars int, match_end int"
+    item_type = items.select("item_id").limit(0).toArrow().schema.field(0).type
     documents = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = []
     for block in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).distinct()
         listed = [(r[0], text) for r in part.collect() if len(text := normal(r[1])) >= min_chars]
         if listed:
-            found.append(documents.mapInArrow(_matcher(spark.sparkContext.broadcast(sorted(listed, key=str)), error_rate), schema))
+            found.append(documents.mapInArrow(_matcher(spark.sparkContext.broadcast(sorted(listed, key=str)), error_rate, item_type), schema))
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
 
 
-def _matcher(listed, error_rate: float):
+def _matcher(listed, error_rate: float, item_type: pa.DataType):
     def run(batches):
         search, items = searcher(listed.value, error_rate), listed.value
         for batch in batches:
@@ -130,7 +131,7 @@ def _matcher(listed, error_rate: float):
                 for k, distance, end in search(normal(text)):
                     for column, value in zip(rows, (doc_id, items[k][0], distance, len(items[k][1]), end), strict=True):
                         column.append(value)
-            arrays = [pa.array(rows[0], batch.column(0).type), pa.array(rows[1]), *(pa.array(r, pa.int32()) for r in rows[2:])]
+            arrays = [pa.array(rows[0], batch.column(0).type), pa.array(rows[1], item_type), *(pa.array(r, pa.int32()) for r in rows[2:])]
             if rows[0]:
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "distance", "item_chars", "match_end"])
 
