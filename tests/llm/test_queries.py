@@ -1,0 +1,14 @@
+"""Registered queries against their SQL, on the test tables."""
+
+import pytest
+
+from tickflow.llm import registry
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_query_equals_sql(name, same_as_sql):
+    same_as_sql(registry.QUERIES[name], registry.ORACLE_SQL[name])
+
+
+def test_names_are_complete():
+    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{k}" for k in range(1, 11)]
