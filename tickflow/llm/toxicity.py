@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 from .langid import held_out, training_rows
 
 WORD = re.compile(r"\w+")
@@ -22,7 +24,7 @@ WINDOW = 6
 REPORTING = frozenset("said says quote quoted quoting called wrote written word words term slur meaning example reported cites citing".split())
 QUOTES = "\"“”«»„‟"
 #: Distinct words that a worker remembers the lexicon entry of.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 @dataclass
@@ -169,7 +171,11 @@ def learn_lexicon(rows: list[tuple[str, int]], least: int = 3, ratio: float = 30
 
 
 def fit(rows: list[tuple[str, int]], prior: float, rounds: int = 400, seed: int = 3) -> Model:
-    """Lexicon from one half of the rows, logistic weights from the other, so that chance entries weigh as they do on new texts."""
+    """Logistic weights and a lexicon.
+
+    The weights are fitted on one half of the rows with a lexicon from the other, so that chance entries weigh
+    as they do on new texts; the lexicon that is kept comes from all rows.
+    """
     if not any(y for _, y in rows) or all(y for _, y in rows):
         return Model(Lexicon({}, {}), np.zeros(7), float(np.log((prior + 1e-3) / (1 - prior + 1e-3))))
     order = np.random.default_rng(seed).permutation(len(rows))
@@ -191,8 +197,7 @@ def fit(rows: list[tuple[str, int]], prior: float, rounds: int = 400, seed: int
         hess = (z * (w * p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-9)
         beta -= np.linalg.solve(hess, grad)
     weights = beta[:-1] / scale
-    lexicon.known.clear()
-    return Model(lexicon, weights, float(beta[-1] - weights @ middle))
+    return Model(learn_lexicon(rows), weights, float(beta[-1] - weights @ middle))
 
 
 def learned(docs: DataFrame, labels: DataFrame, most_rows: int = 2500) -> Model:
@@ -214,6 +219,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str =
     Null texts count as empty; without labelled rows to learn from every score is about the share of toxic
     ones.  Whole texts are read; ids may be null or repeat; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -226,6 +232,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str =
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more: a filter inside each task, all columns kept."""
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(batches):
