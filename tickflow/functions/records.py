@@ -95,7 +95,7 @@ def fine_correction(wf: str, method: str = "zero_crossing", threshold: float | N
     elif method == "constant_fraction":
         f = 0.5 if threshold is None else threshold
         top = f"array_max(transform(slice({wf}, 21, 20), x -> greatest(x - base, 0D)))"
-        level = lambda i: f"({at(i)} / {top})"
+        level = lambda i: f"try_divide({at(i)}, {top})"
         pick = f"filter(sequence(21, 39), i -> {level('i - 1')} <= {f} and {level('i')} > {f})"
         where = f"i - 48D + ({f} - {level('i - 1')}) / ({level('i')} - {level('i - 1')})"
     else:
