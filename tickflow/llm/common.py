@@ -15,11 +15,19 @@ WHITE = " \t\n\x0b\x0c\r"
 BITMAP_BITS = 32768
 #: A key is hot when it holds at least one in this many of the rows.
 HOT_SHARE = 1000
+#: Rows of an Arrow batch.
+ARROW_ROWS = 1000
 
 _own_scratch: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers a thousand at a time: ten thousand, Spark's default, can fill a worker's memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir; a local one only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,13 +48,25 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table from ``written`` that no later result reads."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for entry in [e for e in _written if path.endswith(e[1].rsplit("/", 1)[1])]:
+            _written.remove(entry)
+            _delete(*entry)
+
+
 def clear_scratch() -> None:
     """Delete the scratch tables of this process; call when no result that reads them is needed any more."""
     while _written:
         spark, path = _written.pop()
         try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone at exit
             return
 

@@ -11,26 +11,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, bitmaps, filter_bits, looked_up, probed, slot, twice_filter, written
+from .common import BITMAP_BITS, bitmaps, bounded_batches, discard, filter_bits, looked_up, probed, slot, twice_filter, written
 
 #: Bytes that a passage must have in common with another, of the grams that choose anchors, and of the halves that are counted.
 LENGTH, GRAM = 400, 16
 HALF = LENGTH // 2
 #: Contexts that a task sorts at once.
-RUN = 40_000
+RUN = 20_000
+#: Texts with repeats whose spans are broadcast (some 64 bytes each); more are joined by a shuffle.
+BROADCAST_TEXTS = 500_000
 
 
 # --- anchors ----------------------------------------------------------------------------------------------
 
 
-def anchors(data: bytes) -> np.ndarray:
-    """Places of the least gram of every LENGTH-byte string of ``data``, the first of equal ones.
+def anchors(data: bytes) -> tuple[list[int], list[int], list[int]]:
+    """(places, first, last): the least gram of every LENGTH-byte string of ``data``, the first of equal ones.
 
-    The choice depends on the string alone, so equal strings have their anchors at the same place in them.
+    The strings that start from first[k] to last[k] have their anchor at places[k].  The choice depends on
+    the string alone, so equal strings have their anchors at the same place in them.
     """
     n = len(data)
     if n < LENGTH:
-        return np.zeros(0, np.int64)
+        return [], [], []
     words = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 8).copy().view("<u8").ravel()
     h = (words[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)) ^ (words[GRAM - 8 :] * np.uint64(0xC2B2AE3D27D4EB4F))
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -42,15 +45,24 @@ def anchors(data: bytes) -> np.ndarray:
     ahead = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     behind = np.minimum.accumulate(rows, axis=1).ravel()
     starts = n - LENGTH + 1
-    least = np.minimum(ahead[:starts], behind[width - 1 : width - 1 + starts])
-    return np.unique(least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    least = np.minimum(ahead[:starts], behind[width - 1 : width - 1 + starts]) & np.uint64(0xFFFFFFFF)
+    first = np.nonzero(np.r_[True, least[1:] != least[:-1]])[0]
+    return least[first].tolist(), first.tolist(), [*(first[1:] - 1).tolist(), starts - 1]
 
 
-def halves(data: bytes, places: list[int]) -> tuple[list[int], list[int]]:
-    """Hashes of the HALF bytes before and from each place on; 0 where there are fewer."""
-    left = [xxhash.xxh64_intdigest(data[p - HALF : p], 1) if p >= HALF else 0 for p in places]
-    right = [xxhash.xxh64_intdigest(data[p : p + HALF], 2) if p + HALF <= len(data) else 0 for p in places]
-    return left, right
+def contexts(data: bytes):
+    """(place, left, right, left hash, right hash) for each anchor.
+
+    The two sides hold the strings that have this anchor, and no more.  A hash covers the HALF bytes before
+    the anchor, or from it on, and is 0 if no string has them.
+    """
+    for p, first, last in zip(*anchors(data), strict=True):
+        left, right = data[first:p], data[p : last + LENGTH]
+        yield (
+            p, left, right,
+            xxhash.xxh64_intdigest(left[-HALF:], 1) if len(left) >= HALF else 0,
+            xxhash.xxh64_intdigest(right[:HALF], 2) if len(right) >= HALF else 0,
+        )
 
 
 # --- sorted runs ------------------------------------------------------------------------------------------
@@ -234,19 +246,22 @@ def _digest(left: bytes, right: bytes) -> bytes:
     return xxhash.xxh3_128_digest(left + b"|" + right + len(left).to_bytes(2, "big"))
 
 
-def _hashes(docs: DataFrame) -> DataFrame:
+def _texts(batch: pa.RecordBatch, column: int):
+    for k in range(0, len(batch), 256):
+        part = batch.slice(k, 256)
+        yield part, part.column(column).to_pylist()
+
+
+def _hashes(texts: DataFrame) -> DataFrame:
     """(h): hashes of both halves at every anchor of every text."""
 
     def run(batches):
         for batch in batches:
-            found: list[int] = []
-            for data in batch.column(0).to_pylist():
-                places = anchors(data).tolist()
-                for side in halves(data, places):
-                    found += filter(None, side)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], ["h"])
+            for _, datas in _texts(batch, 0):
+                found = [h for data in datas for *_, l, r in contexts(data) for h in (l, r) if h]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], ["h"])
 
-    return docs.select("data").mapInArrow(run, "h bigint")
+    return texts.select("data").mapInArrow(run, "h bigint")
 
 
 def _loaded(maps: DataFrame, bits: int) -> np.ndarray:
@@ -257,90 +272,108 @@ def _loaded(maps: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+def _has(table: np.ndarray, at: int) -> bool:
+    return bool(table[at >> 3] >> (at & 7) & 1)
 
 
-def _suspects(docs: DataFrame, filters, bits: int, parts: int) -> DataFrame:
-    """Occurrences of suspect anchors (kind 0), and runs of their sorted contexts for each partition (kinds 1 and 2).
+def _suspect(tables: list[np.ndarray], bits: int, h: int) -> int:
+    """The slot of a hash that both filters know, -1 for others."""
+    low, high = h & (bits - 1), h >> 32 & (bits - 1)
+    return low if h and _has(tables[0], low) and _has(tables[1], high) else -1
 
-    Kind 1 has contexts whose right half is suspect, sorted by the right side; kind 2 those whose left half
-    is, sorted by the left side read backwards, with no more of the right side than kind 1 leaves over.
-    """
 
-    def run(batches):
-        tables = filters.value
-        held: list[dict] = [{}, {}]
+PLACES = "digest binary, place int, before int, after int, key binary, left_slot int, right_slot int"
+_PLACES = pa.schema([("digest", pa.binary()), ("place", pa.int32()), ("before", pa.int32()), ("after", pa.int32()), ("key", pa.binary()), ("left_slot", pa.int32()), ("right_slot", pa.int32())])
 
-        def runs():
-            for kind, contexts in enumerate(held, 1):
-                by_part: dict[int, list] = {}
-                for (suffix, other), count in contexts.items():
-                    by_part.setdefault(xxhash.xxh32_intdigest(suffix[:HALF]) % parts, []).append((suffix, other, count))
-                contexts.clear()
-                for part, items in by_part.items():
-                    yield kind, part, front_coded(sorted(items))
 
+def _places(texts: DataFrame, filters, bits: int) -> DataFrame:
+    """Suspect anchors of every text: lengths and digest of their contexts, and the slots of their suspect halves (-1 for others)."""
+
+    def run(batches):
+        tables = filters.value
         for batch in batches:
-            digests, places, keys = [], [], []
-            for digest, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = anchors(data).tolist()
-                if not at:
-                    continue
-                sides = np.array(halves(data, at), np.uint64)
-                hit = (sides != 0) & _has(tables[0], (sides & np.uint64(bits - 1)).astype(np.int64)) & _has(tables[1], (sides >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64))
-                for k in np.nonzero(hit.any(axis=0))[0].tolist():
-                    p = at[k]
-                    left, right = data[max(0, p - LENGTH + GRAM) : p], data[p : p + LENGTH]
-                    if len(left) + len(right) < LENGTH:
-                        continue
-                    back = left[::-1]
-                    digests.append(digest)
-                    places.append(p)
-                    keys.append(_digest(left, right))
-                    if hit[1, k]:
-                        held[0][right, back] = held[0].get((right, back), 0) + 1
-                    if hit[0, k]:
-                        held[1][back, right] = held[1].get((back, right), 0) + 1
-            n = len(digests)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(digests, pa.binary()), pa.array(places, pa.int32()), pa.array(keys, pa.binary())], NAMES)
-            if max(map(len, held)) >= RUN:
-                yield _run_rows(list(runs()))
-        yield _run_rows(list(runs()))
+            for part, datas in _texts(batch, 1):
+                rows = []
+                for digest, data in zip(part.column(0).to_pylist(), datas, strict=True):
+                    for p, left, right, l, r in contexts(data):
+                        slots = _suspect(tables, bits, l), _suspect(tables, bits, r)
+                        if max(slots) >= 0:
+                            rows.append((digest, p, len(left), len(right), _digest(left, right), *slots))
+                columns = list(zip(*rows, strict=True)) or [()] * len(_PLACES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PLACES.types, strict=True)], _PLACES.names)
 
-    return docs.mapInArrow(run, SUSPECTS)
+    return texts.select("digest", "data").mapInArrow(run, PLACES)
 
 
-SUSPECTS = "kind int, part int, run binary, digest binary, place int, key binary"
-NAMES = ["kind", "part", "run", "digest", "place", "key"]
+def _runs(texts: DataFrame, filters, bits: int, parts: int) -> DataFrame:
+    """(kind, part, run): sorted, front-coded contexts that may have a partner, by part of their first HALF bytes.
 
+    Kind 1 is sorted by the right side, kind 2 by the left side read backwards.  A context goes where its
+    half is that of some context which occurs once: only those are still to be resolved, and their partners.
+    """
 
-def _run_rows(rows: list) -> pa.RecordBatch:
-    n = len(rows)
-    kinds, parts, runs = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array(runs, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], NAMES)
+    def run(batches):
+        halves = filters.value
+        held: list[dict] = [{}, {}]
 
+        def flush():
+            rows = []
+            for kind, items in enumerate(held, 1):
+                by_part: dict[int, list] = {}
+                for (suffix, other), count in items.items():
+                    by_part.setdefault(xxhash.xxh32_intdigest(suffix[:HALF]) % parts, []).append((suffix, other, count))
+                items.clear()
+                for part in list(by_part):
+                    data = front_coded(sorted(by_part.pop(part)))
+                    rows.append((kind, part, len(data).to_bytes(4, "big") + pa.compress(data, codec="zstd", asbytes=True)))
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["kind", "part", "run"])
 
-def _reaches(runs: DataFrame, parts: int) -> DataFrame:
-    """(key, before, after): how far around its anchor each context is covered, from the merged runs of a partition."""
+        for batch in batches:
+            for _, datas in _texts(batch, 0):
+                for data in datas:
+                    for _, left, right, l, r in contexts(data):
+                        back = left[::-1]
+                        if r and _has(halves[1], r & (bits - 1)):
+                            held[0][right, back] = held[0].get((right, back), 0) + 1
+                        if l and _has(halves[0], l & (bits - 1)):
+                            held[1][back, right] = held[1].get((back, right), 0) + 1
+                if max(map(len, held)) >= RUN:
+                    yield flush()
+        yield flush()
+
+    return texts.select("data").mapInArrow(run, "kind int, part int, run binary")
+
+
+def _reaches(runs: DataFrame) -> DataFrame:
+    """(key, before, after): how far around its anchor each context that occurs once is covered, from merged runs."""
+
+    def resolved(runs: list[bytes], kind: int):
+        keys, before, after = [], [], []
+        unpacked = [pa.decompress(r[4:], int.from_bytes(r[:4], "big"), codec="zstd", asbytes=True) for r in runs]
+        for members, shared in grouped(unpacked):
+            for (suffix, other, count), (far, near) in zip(members, extents(members, shared), strict=True):
+                if far and count == 1:
+                    left, right, b, a = (other[::-1], suffix, near, far) if kind == 1 else (suffix[::-1], other, far, near)
+                    keys.append(_digest(left, right))
+                    before.append(b)
+                    after.append(a)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(before, pa.int32()), pa.array(after, pa.int32())], ["key", "before", "after"])
 
     def run(batches):
-        held: dict[tuple[int, int], list[bytes]] = {}
+        held, at = [], None
         for batch in batches:
             for kind, part, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                held.setdefault((kind, part), []).append(data)
-        for kind, part in sorted(held):
-            keys, before, after = [], [], []
-            for members, shared in grouped(held.pop((kind, part))):
-                for (suffix, other, _), (far, near) in zip(members, extents(members, shared), strict=True):
-                    if far:
-                        left, right, b, a = (other[::-1], suffix, near, far) if kind == 1 else (suffix[::-1], other, far, near)
-                        keys.append(_digest(left, right))
-                        before.append(b)
-                        after.append(a)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(before, pa.int32()), pa.array(after, pa.int32())], ["key", "before", "after"])
+                if held and (kind, part) != at:
+                    yield resolved(held, at[0])
+                    held = []
+                at = kind, part
+                held.append(data)
+        if held:
+            yield resolved(held, at[0])
 
-    return runs.select("kind", "part", "run").repartition(parts, "part", "kind").mapInArrow(run, "key binary, before int, after int")
+    ordered = runs.repartition("kind", "part").sortWithinPartitions("kind", "part")
+    return ordered.mapInArrow(run, "key binary, before int, after int")
 
 
 def cut(data: bytes, spans: list) -> tuple[bytes, int, int]:
@@ -370,37 +403,47 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Each 400-byte string has an anchor that its bytes alone choose, so equal strings have equal anchors.  Of
     two equal strings, 200 bytes on one side of the anchor lie in both: only anchors with such a half that
-    was seen twice (two bit filters, as for lines) are suspect.  Their contexts are sorted as suffixes in
-    each task, front-coded, exchanged by their first 200 bytes and merged by loser trees; inside a group
-    that shares 200 bytes, neighbours in the order of either side give the reach of each context.
+    was seen twice (two bit filters, as for lines) are suspect.  Contexts that occur twice are covered whole.
+    The others and their possible partners are sorted as suffixes in each task, front-coded, exchanged by
+    their first 200 bytes and merged by loser trees; inside a group that shares 200 bytes, neighbours in the
+    order of either side give the reach of each context.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = source.select(F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("digest"), F.col("text").cast("binary").alias("data"))
+    digest = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
+    texts = source.select(digest.alias("digest"), F.col("text").cast("binary").alias("data"))
+
     hashes = written(_hashes(texts))
-    bits = filter_bits(hashes.count())
+    bits = filter_bits(hashes.count(), per_row=8, most=1 << 27)
     low, high = F.col("h").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(bits - 1))
-    filters = [_loaded(twice_filter(hashes.select(s.alias("slot"))), bits) for s in (low, high)]
-    found = written(_suspects(texts, spark.sparkContext.broadcast(filters), bits, parts))
+    twice = spark.sparkContext.broadcast([_loaded(twice_filter(hashes.select(s.alias("slot"))), bits) for s in (low, high)])
+    discard(hashes)
 
-    reaches = _reaches(found.where("kind = 1"), parts).union(_reaches(found.where("kind = 2"), parts))
-    reaches = written(reaches.groupBy("key").agg(F.max("before").alias("before"), F.max("after").alias("after")))
-    places = found.where("kind = 0").select("digest", "place", "key").distinct()
+    places = written(_places(texts, twice, bits))
     n = F.count(F.lit(1))
-    known = written(reaches.join(places.groupBy("key").agg(n.alias("n")), "key"))
-    spans = looked_up(places, known, "key", "n", hashes.count())
+    counts = written(places.groupBy("key").agg(n.alias("n"), F.first("left_slot").alias("left_slot"), F.first("right_slot").alias("right_slot")))
+    once = counts.where("n = 1")
+    alone = spark.sparkContext.broadcast([_loaded(bitmaps(once.where(F.col(c) >= 0).select(F.col(c).cast("long").alias("slot")).distinct()), bits) for c in ("left_slot", "right_slot")])
+    reaches = written(_reaches(_runs(texts, alone, bits, parts)).groupBy("key").agg(F.max("before").alias("before"), F.max("after").alias("after")))
+
+    total = places.count()
+    rows = places.select("digest", "place", "before", "after", "key").distinct()
+    many = looked_up(rows, counts.where("n > 1").select("key", "n"), "key", "n", total).drop("n")
+    few = rows.drop("before", "after").join(reaches, "key").select(many.columns)
     span = F.struct((F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("end"))
-    by_text = spans.groupBy("digest").agg(F.collect_set(span).alias("spans"))
-
-    keyed = source.withColumn("digest", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
-    touched = written(by_text)
-    maps = bitmaps(touched.select(slot(F.col("digest"), bits, 4).alias("slot")).distinct())
+    spans = written(many.union(few).groupBy("digest").agg(F.collect_set(span).alias("spans")))
+    n_spans = spans.count()
+    keyed = source.withColumn("digest", digest)
+    if n_spans <= BROADCAST_TEXTS:
+        found = keyed.join(F.broadcast(spans), "digest", "left")
+        return _kept(found.where("spans is not null")).unionByName(_whole(found.where("spans is null")))
+    maps = bitmaps(spans.select(slot(F.col("digest"), bits, 4).alias("slot")).distinct())
     flagged = probed(keyed, [(maps, slot(F.col("digest"), bits, 4))], "touched")
-    counts = flagged.where("touched").groupBy("digest").agg(n.alias("n"))
-    total = source.count()
-    weighed = written(touched.join(counts, "digest"))
-    hit = looked_up(flagged.where("touched").drop("touched"), weighed, "digest", "n", total)
+    sizes = flagged.where("touched").groupBy("digest").agg(n.alias("n"))
+    weighed = written(spans.join(sizes, "digest"))
+    hit = looked_up(flagged.where("touched").drop("touched"), weighed, "digest", "n", source.count())
     missed = flagged.where("touched").join(weighed.select("digest"), "digest", "left_anti")
     return _kept(hit).unionByName(_whole(flagged.where(~F.col("touched")))).unionByName(_whole(missed))
 
