@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 # Elements of HTML by their part in a page.
 #: Elements that begin and end a text block.
 BLOCKS = frozenset(
@@ -255,6 +257,7 @@ def extracted(pages: DataFrame, examples: list | None = None, id_col: str = "pag
     Null and empty pages give empty text; pages cut off anywhere are read to their end; ids and urls may be
     null or repeat; an empty table gives no rows; other columns are not read.
     """
+    bounded_batches(pages.sparkSession)
     tree = grow(examples or labelled())
 
     def run(batches):

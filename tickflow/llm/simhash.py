@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import looked_up, written
+from .common import bounded_batches, looked_up, written
 from .graph import components
 
 #: Generator polynomial of the perfect binary Golay code of length 23: covering radius 3, 4096 code words.
@@ -32,6 +32,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, fp) for every row; null texts count as empty and have fingerprint 0."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import written
+from .common import bounded_batches, written
 
 #: Ids in a block, and ids in a row of the token file (a whole number of blocks).
 BLOCK, ROW_IDS = 1024, 1 << 18
@@ -220,6 +220,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     Null texts count as empty (the end id alone); null ids come first; rows that repeat an id are written each.
     """
+    bounded_batches(docs.sparkSession)
     documents = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ranges = (partitions, "doc_id") if partitions else ("doc_id",)
     ordered = documents.repartitionByRange(*ranges).sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
@@ -264,6 +265,7 @@ def read_token_files(spark, path: str) -> DataFrame:
     ``start`` counts the ids of all documents before.  A document may run over several rows of its shard;
     each row gives the pieces of the documents in it with their ids' bytes, and pieces are put together by document.
     """
+    bounded_batches(spark)
     rows = spark.read.schema(ROW).parquet(path)
     by_row = Window.partitionBy("shard").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.select("shard", "row", "n_ids", F.size("ends").cast("long").alias("n_docs"))
