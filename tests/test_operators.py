@@ -102,7 +102,8 @@ def test_translation_uses_the_holder_the_newest_or_the_oldest(spark):
 
 def test_streaks_throttle_and_gaps(spark):
     df = spark.createDataFrame([(k, k not in (3, 9)) for k in range(12)], "seq long, hot boolean")
-    assert values(windows.streaks(df, "hot", 4), "seq", "streak") == [(7, 4), (8, 5)]
+    for block in (2, 3, 100):
+        assert values(windows.streaks(df, "hot", 4, block=block), "seq", "streak") == [(7, 4), (8, 5)]
     alerts = spark.createDataFrame([(k, "a", t) for k, t in enumerate([0, 10, 60, 61, 100, 122])], "seq long, kind string, ns long")
     assert values(windows.throttled(alerts, 60), "ns") == [(0,), (61,), (122,)]
     rows = [(1, k, k * SECOND + (20 * SECOND if k > 11 else 0) + (50 * SECOND if k > 4 else 0)) for k in range(15)]

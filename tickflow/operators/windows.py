@@ -21,15 +21,21 @@ def event_rate(hits: DataFrame, span: int = 10 * SECOND, key: str = "mbid") -> D
     return hits.withColumn("rate", F.count(F.lit(1)).over(trailing) / F.lit(wide)).withColumn("lc_rate", F.sum((F.col("lc_mode") > 0).cast("long")).over(trailing) / F.lit(wide))
 
 
-def streaks(samples: DataFrame, over: str, n: int, key: str | None = None) -> DataFrame:
+def streaks(samples: DataFrame, over: str, n: int, key: str | None = None, block: int = 1 << 20) -> DataFrame:
     """Samples at which the condition ``over`` has held ``n`` times in a row or more, with ``streak``.
 
-    A streak is a run of rows with the same number of rows before it that broke the condition.
+    A streak is a run of rows with the same number of rows before it that broke the condition.  That number
+    is summed over blocks of arrival and then inside one, so streaks over all keys are no single task either.
     """
     part = [key] if key else []
-    broken = F.sum(F.expr(f"if({over}, 0, 1)")).over(Window.partitionBy(*(part or [F.lit(0)])).orderBy("seq"))
-    marked = samples.withColumn("__run", broken).where(over)
-    return marked.withColumn("streak", F.row_number().over(Window.partitionBy(*part, "__run").orderBy("seq"))).where(F.col("streak") >= n).drop("__run")
+    blocked = samples.withColumn("__broken", F.expr(f"if({over}, 0, 1)")).withColumn("__block", F.expr(f"seq div {block}"))
+    ahead = Window.partitionBy(*(part or [F.lit(0)])).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy(*part, "__block").agg(F.sum("__broken").alias("__n"))
+    sums = sums.select(*part, "__block", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    inside = F.sum("__broken").over(Window.partitionBy(*part, "__block").orderBy("seq"))
+    marked = blocked.join(sums, [*part, "__block"]).withColumn("__run", inside + F.col("__before")).where(over)
+    ranked = marked.withColumn("streak", F.row_number().over(Window.partitionBy(*part, "__run").orderBy("seq")))
+    return ranked.where(F.col("streak") >= n).drop("__run", "__broken", "__block", "__before")
 
 
 def throttled(alerts: DataFrame, interval: int, key: str = "kind", time: str = "ns") -> DataFrame:

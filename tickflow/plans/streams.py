@@ -144,6 +144,17 @@ def _(v):
     return finished(v, streams.continuous_readout(hits, elements, 2024, "4 hours"), "readout")
 
 
+@query("t07_state_eviction", "SELECT count(*) AS arrived, true AS evicted FROM (SELECT seq FROM hits UNION ALL SELECT uid FROM request_elements WHERE elem = 0)", ("hits", "request_elements"))
+def _(v):
+    """Rows that arrived at the continuous readout, and whether its state ends with fewer."""
+    hits, elements = v.hits.select("seq", "hub_id", "mbid", "utc"), v.request_elements.where("elem = 0")
+    joined = streams.continuous_readout(replayed_stream(v, hits, "hits"), replayed_stream(v, elements, "elements", "uid"), 2024, "1 hour")
+    running = joined.writeStream.format("noop").option("checkpointLocation", scratch_path(v.spark, "state")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    kept = sum(o["numRowsTotal"] for o in running.lastProgress["stateOperators"])
+    return hits.select("seq").union(elements.select("uid")).agg(F.count(F.lit(1)).alias("arrived")).select("arrived", (F.lit(kept) < F.col("arrived")).alias("evicted"))
+
+
 @query("t08_run_switching", "SELECT run_number, mbid, count(*) AS n FROM hits JOIN runs ON utc BETWEEN start_utc AND stop_utc GROUP BY ALL", ("hits", "runs"))
 def _(v):
     path = scratch_path(v.spark, "by-run")
