@@ -159,7 +159,7 @@ def brute_passages(texts, length=400):
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_repeated_passages_equal_brute_force(make_docs, monkeypatch, broadcast):
     if not broadcast:
-        monkeypatch.setattr(suffix_dedup, "BROADCAST_TEXTS", 0)
+        monkeypatch.setattr(suffix_dedup, "BROADCAST_SPANS", 0)
     rng = random.Random(11 + broadcast)
     noise = lambda n, letters="abcdefgh é": "".join(rng.choice(letters) for _ in range(n))
     base = [noise(rng.randint(300, 2500)) for _ in range(8)]
