@@ -63,7 +63,7 @@ def quality_label(quality: str) -> Column:
 
 def hub_class(hub_id: str) -> Column:
     """Class of a hub from its id modulo 1000: 0, in-ice up to 78, deep core up to 86, surface from 200 on."""
-    return F.expr(f"case when {hub_id} % 1000 = 0 then 'amanda' when {hub_id} % 1000 <= 78 then 'in-ice' when {hub_id} % 1000 <= 86 then 'deep-core' when {hub_id} % 1000 >= 200 then 'surface' end")
+    return F.expr(f"case when {hub_id} % 1000 = 0 then 'legacy' when {hub_id} % 1000 <= 78 then 'in-ice' when {hub_id} % 1000 <= 86 then 'deep-core' when {hub_id} % 1000 >= 200 then 'surface' end")
 
 
 def display_id(mbid: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Component classes by the thousands of a source id.
-COMPONENTS = {1: "amanda-trigger", 3: "ice-top-data-handler", 4: "in-ice-trigger", 5: "ice-top-trigger", 6: "global-trigger", 7: "event-builder", 12: "string-hub"}
+COMPONENTS = {1: "legacy-trigger", 3: "surface-handler", 4: "in-ice-trigger", 5: "surface-trigger", 6: "global-trigger", 7: "event-builder", 12: "hub"}
 
 
 def reconciled(doms: DataFrame, active: DataFrame) -> DataFrame:

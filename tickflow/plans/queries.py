@@ -158,7 +158,7 @@ def _(v):
     return v.hits.select("seq", (F.col("utc") + 123456789012).alias("utc"))
 
 
-@query("p16_hub_class", "SELECT mbid, CASE WHEN h = 0 THEN 'amanda' WHEN h <= 78 THEN 'in-ice' WHEN h <= 86 THEN 'deep-core' WHEN h >= 200 THEN 'surface' END AS class FROM (SELECT mbid, (mbid * 7) % 1000 AS h FROM doms)", ("doms",))
+@query("p16_hub_class", "SELECT mbid, CASE WHEN h = 0 THEN 'legacy' WHEN h <= 78 THEN 'in-ice' WHEN h <= 86 THEN 'deep-core' WHEN h >= 200 THEN 'surface' END AS class FROM (SELECT mbid, (mbid * 7) % 1000 AS h FROM doms)", ("doms",))
 def _(v):
     return v.doms.withColumn("h", F.col("mbid") * 7).select("mbid", ticks.hub_class("h").alias("class"))
 
@@ -386,7 +386,7 @@ def _(v):
     return lookups.leap_seconds(v.gps.drop("leap"), days).select("seq", F.col("leap").cast("int").alias("leap"))
 
 
-@query("j10_component", "SELECT uid, elem, CASE WHEN k < 0 THEN NULL WHEN k // 1000 = 12 THEN 'string-hub' WHEN k // 1000 = 4 THEN 'in-ice-trigger' END AS component FROM (SELECT uid, elem, CASE readout_type WHEN 0 THEN -1 WHEN 1 THEN 4000 WHEN 2 THEN 99000 ELSE source_id END AS k FROM request_elements)", ("request_elements",))
+@query("j10_component", "SELECT uid, elem, CASE WHEN k < 0 THEN NULL WHEN k // 1000 = 12 THEN 'hub' WHEN k // 1000 = 4 THEN 'in-ice-trigger' END AS component FROM (SELECT uid, elem, CASE readout_type WHEN 0 THEN -1 WHEN 1 THEN 4000 WHEN 2 THEN 99000 ELSE source_id END AS k FROM request_elements)", ("request_elements",))
 def _(v):
     e = v.request_elements.withColumn("source", F.expr("case readout_type when 0 then -1 when 1 then 4000 when 2 then 99000 else source_id end"))
     return e.select("uid", "elem", lookups.component("source").alias("component"))
