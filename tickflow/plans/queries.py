@@ -377,7 +377,7 @@ RANGE = "spans AS (SELECT uid, min(first_utc) AS first_utc, max(last_utc) AS las
 
 @query("j08_slice_pruning", "SELECT uid, hub_id, slice FROM cat JOIN spans ON start_utc <= last_utc AND stop_utc >= first_utc", ("hits", "request_elements"), f"{CATALOG}, {RANGE}")
 def _(v):
-    return ranges.overlapping_slices(spool.catalog(v.hits, SLICE), ranges.request_range(v.request_elements))
+    return ranges.overlapping_slices(spool.catalog(v.hits, SLICE), ranges.request_range(v.request_elements), SLICE)
 
 
 @query("j09_leap_seconds", "SELECT seq, CASE WHEN day >= 20 THEN 2 WHEN day >= 10 THEN 1 ELSE 0 END AS leap FROM gps", ("gps",))
