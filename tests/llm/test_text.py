@@ -22,6 +22,7 @@ PAGES = {
     "<article><p>a <b>b</b>c</p><div class='share-buttons'><p>Tweet this</p></div><form><label>Mail</label></form><aside>More</aside><p>d</p><section id=comments><p>Nice one!</p></section></article>": "a bc\nd",
     "<!-- ad --><div class=\"ad\">Buy now</div><main><p>Text<p>More text</main><p": "Text\nMore text",
     "<nav>only a menu</nav>": "",
+    "<body class='has-sidebar comments-open'><article class='page-with-sidebar'><header class='entry-header'><h1>Head</h1></header><p>Body</p></article><div class='sidebar'><p>Side</p></div>": "Head\nBody",
     "": "",
     None: "",
     "<article><p>cut &am": "cut &am",

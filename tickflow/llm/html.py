@@ -49,11 +49,19 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-def is_marked(attributes: str) -> bool:
-    """Does a class, id or role value have one of MARKS as a word?"""
+def is_marked(name: str, attributes: str, inside: bool) -> bool:
+    """Does a class, id or role value name the element as something else than the article?
+
+    The page and the article themselves never are; words like ``has-sidebar`` speak of others; inside an
+    article a header is part of it.
+    """
+    if name in ("html", "body", *MAIN):
+        return False
     for groups in VALUE.findall(attributes):
-        if not MARKS.isdisjoint(re.split(r"[^a-z]+", "".join(groups).lower())):
-            return True
+        for value in "".join(groups).lower().split():
+            words = [w for w in re.split(r"[^a-z]+", value) if w]
+            if words and words[0] not in ("has", "with", "no", "without") and any(w in MARKS and not (inside and w == "header") for w in words):
+                return True
     return False
 
 
@@ -107,10 +115,7 @@ def blocks(page: str) -> list[Block]:
                 open_tags.pop()
             zone, silent = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (0, False)
             if zone >= 0:
-                outside = name in ASIDE or is_marked(attributes)
-                # a heading group inside an article is part of it
-                if name == "header" and zone == 1 and not is_marked(attributes):
-                    outside = False
+                outside = (name in ASIDE and not (name == "header" and zone == 1)) or is_marked(name, attributes, zone == 1)
                 zone = -1 if outside else 1 if name in MAIN else zone
             if not attributes.endswith("/"):
                 open_tags.append((name, zone, silent or name in SILENT))
