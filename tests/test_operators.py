@@ -127,6 +127,8 @@ def test_request_selection_matrix(spark):
     assert found(ranges.INICE) == [1, 2] and found(ranges.SURFACE) == [5, 6]
     assert found(ranges.STRING, source=12001) == [1, 2]
     assert found(ranges.INICE_MODULE, dom=11) == [1] and found(ranges.SURFACE_MODULE, dom=10) == [6]
+    two = spark.createDataFrame([(1, 0, ranges.SURFACE, 0, 0, 20, 0), (1, 1, ranges.GLOBAL, 0, 9, 30, 0), (2, 1, ranges.GLOBAL, 0, 9, 10, 0)], "uid int, elem int, readout_type int, source_id int, first_utc long, last_utc long, dom_id long")
+    assert values(ranges.readout(hits, two, 7), "uid", "seq") == [(1, k) for k in range(8)] + [(2, 0), (2, 1), (2, 4), (2, 5)]
     with pytest.raises(ValueError):
         ranges.in_range(hits, 5, 4)
 
