@@ -86,7 +86,9 @@ def brute_components(ids, fps, bits=3):
     return [least.get(root(k)) for k in range(len(fps))]
 
 
-def test_near_duplicates_equal_brute_force(odd_docs, no_docs, make_docs):
+@pytest.mark.parametrize("fine_from", [0, 1 << 28])
+def test_near_duplicates_equal_brute_force(odd_docs, no_docs, make_docs, monkeypatch, fine_from):
+    monkeypatch.setattr(simhash, "FINE_FROM", fine_from)
     rng = random.Random(2)
     words = [f"w{k}" for k in range(400)]
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
@@ -103,15 +105,16 @@ def test_near_duplicates_equal_brute_force(odd_docs, no_docs, make_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
-def test_every_word_is_within_three_bits_of_one_anchor_and_pairs_meet():
-    errors, costs = simhash.near_words(2)
-    assert ((costs == 0).sum(axis=1) == 1).all()
+@pytest.mark.parametrize("codes", [simhash.GOLAY, simhash.FINE])
+def test_every_word_is_within_the_radius_of_one_anchor_and_pairs_meet(codes):
+    tables = [(c, *simhash.near_words(c, 2)) for c in codes]
+    assert all(((costs == 0).sum(axis=1) == 1).all() for *_, costs in tables)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
     for x in base:
         bits = rng.choice(64, 3, replace=False)
         pair = np.array([x, x ^ np.uint64(sum(1 << int(b) for b in bits))], np.uint64)
-        row, key = simhash.anchors(pair, (errors, costs), 2, 1)
+        row, key = simhash.anchors(pair, tables, 2, 1)
         near = {k >> 1 for r, k in zip(row, key, strict=True) if r == 0 and not k & 1}
         assert near & {k >> 1 for r, k in zip(row, key, strict=True) if r == 1}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,24 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, looked_up, written
 from .graph import components
 
-#: Generator polynomial of the perfect binary Golay code of length 23: covering radius 3, 4096 code words.
-GOLAY, LENGTH, CHECKS, RADIUS = 0b101011100011, 23, 11, 3
+
+
+class Code(NamedTuple):
+    """A perfect binary cyclic code on some bits of a fingerprint: every value is within ``radius`` of one code word."""
+
+    polynomial: int
+    length: int
+    checks: int
+    radius: int
+    shift: int  # the lowest of its bits
+
+
+#: The Golay code on two blocks of 23 bits: 2^24 anchors.
+GOLAY = tuple(Code(0b101011100011, 23, 11, 3, shift) for shift in (0, 23))
+#: With the Hamming code on 15 more bits, 2^35 anchors: some 150 copies of a print instead of 61, but 2048 times
+#: fewer prints at an anchor.  From as many prints as FINE_FROM that is the lesser work; links are the same.
+FINE = (*GOLAY, Code(0b10011, 15, 4, 1, 46))
+FINE_FROM = 1 << 28
 #: Pairs compared at once, and group size from which a group is compared row by row.
 PAIRS, LARGE = 1 << 20, 512
 
@@ -43,28 +60,28 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def syndromes(values: np.ndarray) -> np.ndarray:
-    """Remainders modulo the generator polynomial, for arrays of 23-bit values."""
+def syndromes(values: np.ndarray, code: Code) -> np.ndarray:
+    """Remainders modulo the generator polynomial, for arrays of values of the code's length."""
     out = np.zeros(len(values), np.int64)
-    for bit in range(LENGTH):
+    for bit in range(code.length):
         rest = 1 << bit
-        for k in range(LENGTH - 1, CHECKS - 1, -1):
+        for k in range(code.length - 1, code.checks - 1, -1):
             if rest >> k & 1:
-                rest ^= GOLAY << (k - CHECKS)
+                rest ^= code.polynomial << (k - code.checks)
         out ^= (values >> bit & 1) * rest
     return out
 
 
-def near_words(slack: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the 2048 syndromes: error patterns that lead to the code words within RADIUS + slack.
+def near_words(code: Code, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each syndrome: error patterns that lead to the code words within the radius + slack.
 
     The second array has what each costs beyond the covering radius; unused places cost more than ``slack``.
     """
-    found: list[list[tuple[int, int]]] = [[] for _ in range(1 << CHECKS)]
-    for weight in range(RADIUS + slack + 1):
-        patterns = np.array([sum(1 << b for b in bits) for bits in combinations(range(LENGTH), weight)], np.int64)
-        for s, e in zip(syndromes(patterns).tolist(), patterns.tolist(), strict=True):
-            found[s].append((e, max(0, weight - RADIUS)))
+    found: list[list[tuple[int, int]]] = [[] for _ in range(1 << code.checks)]
+    for weight in range(code.radius + slack + 1):
+        patterns = np.array([sum(1 << b for b in bits) for bits in combinations(range(code.length), weight)], np.int64)
+        for s, e in zip(syndromes(patterns, code).tolist(), patterns.tolist(), strict=True):
+            found[s].append((e, max(0, weight - code.radius)))
     most = max(map(len, found))
     errors, costs = np.zeros((len(found), most), np.int64), np.full((len(found), most), slack + 1, np.int64)
     for s, row in enumerate(found):
@@ -72,18 +89,19 @@ def near_words(slack: int) -> tuple[np.ndarray, np.ndarray]:
     return errors, costs
 
 
-def anchors(fps: np.ndarray, tables, far: int, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices into ``fps`` and the anchors within the radius plus ``far``: anchor * 2, plus 1 beyond the radius plus ``near``."""
-    errors, costs = tables
-    ids, cost = [], []
-    for block in (0, 1):
-        value = (fps >> np.uint64(block * LENGTH)).astype(np.int64) & ((1 << LENGTH) - 1)
-        s = syndromes(value)
-        ids.append((value[:, None] ^ errors[s]) >> CHECKS)
-        cost.append(costs[s])
-    total = cost[0][:, :, None] + cost[1][:, None, :]
-    row, i, j = np.nonzero(total <= far)
-    return row, ((ids[0][row, i] << 12 | ids[1][row, j]) << 1) | (total[row, i, j] > near)
+def anchors(fps: np.ndarray, tables: list, far: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices into ``fps`` and the anchors within the radius plus ``far``: anchor * 2, plus 1 beyond the radius plus ``near``.
+
+    An anchor is a code word of each code in ``tables`` (code, errors, costs); the distances beyond the radii add up.
+    """
+    row, anchor, cost = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.zeros(len(fps), np.int64)
+    for code, errors, costs in tables:
+        value = (fps >> np.uint64(code.shift)).astype(np.int64) & ((1 << code.length) - 1)
+        s = syndromes(value, code)[row]
+        k, j = np.nonzero(cost[:, None] + costs[s] <= far)
+        anchor = anchor[k] << (code.length - code.checks) | (value[row[k]] ^ errors[s[k], j]) >> code.checks
+        cost, row = cost[k] + costs[s[k], j], row[k]
+    return row, anchor << 1 | (cost > near)
 
 
 def _forest(n: int, pairs) -> list[tuple[int, int]]:
@@ -149,11 +167,11 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def near_links(prints: DataFrame, bits: int = 3) -> DataFrame:
+def near_links(prints: DataFrame, bits: int = 3, codes: tuple[Code, ...] = GOLAY) -> DataFrame:
     """(a, b): links that join all fingerprints (distinct, column fp) with ``bits`` or fewer differing bits.
 
-    Two blocks of 23 bits each are covered by the Golay code, so every value is within 3 bits of an anchor in
-    each block.  Of two prints within ``bits``, a point between them is within half of ``bits``, rounded
+    Blocks of bits are covered by perfect codes, so every value is within the sum of their radii of an
+    anchor.  Of two prints within ``bits``, a point between them is within half of ``bits``, rounded
     down, of the one and half, rounded up, of the other; both are replicated to the anchor that covers it,
     being within the radius plus their half.  Each pair within ``bits`` therefore meets at an anchor as a
     near and a far row, and only such rows are compared.  An anchor gives links that span its rows, not all
@@ -162,11 +180,11 @@ def near_links(prints: DataFrame, bits: int = 3) -> DataFrame:
     near, far = bits // 2, bits - bits // 2
 
     def replicate(batches):
-        tables = near_words(far)
+        tables = [(c, *near_words(c, far)) for c in codes]
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            for k in range(0, len(fps), 4096):
-                part = fps[k : k + 4096]
+            for k in range(0, len(fps), 2048):
+                part = fps[k : k + 2048]
                 row, key = anchors(part, tables, far, near)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row].view(np.int64))], ["key", "fp"])
 
@@ -206,7 +224,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, id_col: st
     rows = written(fingerprints(docs, shingle, id_col, text_col))
     total = rows.count()
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("min_id"), F.count(F.lit(1)).alias("n_rows"))
-    root = components(near_links(prints, bits), "a", "b").withColumnRenamed("node", "fp")
+    prints = written(prints)
+    codes = FINE if prints.count() >= FINE_FROM else GOLAY
+    root = components(near_links(prints, bits, codes), "a", "b").withColumnRenamed("node", "fp")
     prints = written(prints.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     groups = prints.groupBy("root").agg(F.min("min_id").alias("component_id"), F.count(F.lit(1)).alias("n_prints"))
     named = looked_up(prints.select("fp", "root", "n_rows"), groups, "root", "n_prints", total).select("fp", "n_rows", "component_id")
