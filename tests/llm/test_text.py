@@ -1,6 +1,7 @@
 """Operators 1, 5, 8, 9 and 10, and the pipeline."""
 
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -133,7 +134,7 @@ def test_token_files(spark, odd_docs, no_docs, monkeypatch):
         want.append((known, i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     for n, docs in (("a", odd_docs), ("b", no_docs)):
-        path = f"{scratch_dir(spark)}/tokens-test-{n}"
+        path = f"{scratch_dir(spark)}/tokens-test-{n}-{uuid.uuid4().hex}"
         tokens.write_token_files(docs, path, VOCABULARY, partitions=3)
         got = [(r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in tokens.read_token_files(spark, path).collect()]
         assert sorted(got, key=lambda r: r[2]) == (want if n == "a" else [])
