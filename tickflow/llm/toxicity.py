@@ -24,7 +24,7 @@ WINDOW = 6
 REPORTING = frozenset("said says quote quoted quoting called wrote written word words term slur meaning example reported cites citing".split())
 QUOTES = "\"“”«»„‟"
 #: Distinct words that a worker remembers the lexicon entry of.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 @dataclass
