@@ -18,8 +18,8 @@ LENGTH, GRAM = 400, 16
 HALF = LENGTH // 2
 #: Contexts that a task sorts at once.
 RUN = 20_000
-#: Texts with repeats whose spans are broadcast (some 64 bytes each); more are joined by a shuffle.
-BROADCAST_TEXTS = 500_000
+#: Texts and spans of repeats that are broadcast (under 100 bytes each); more are joined by a shuffle.
+BROADCAST_SPANS = 500_000
 
 
 # --- anchors ----------------------------------------------------------------------------------------------
@@ -376,21 +376,10 @@ def _reaches(runs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key binary, before int, after int")
 
 
-def cut(data: bytes, spans: list) -> tuple[bytes, int, int]:
-    """What is left of ``data`` without the union of the (start, end) spans; bytes removed; runs removed."""
-    kept, at, removed, runs = [], 0, 0, 0
-    end = -1
-    for a, b in sorted(spans):
-        if a > end:
-            kept.append(data[max(end, 0) : a])
-            runs += 1
-            removed += b - a
-            end = b
-        elif b > end:
-            removed += b - end
-            end = b
-    kept.append(data[max(end, 0) :])
-    return b"".join(kept), removed, runs
+def cut(data: bytes, spans: list[dict]) -> bytes:
+    """``data`` without the spans, which are in order and apart."""
+    edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -433,10 +422,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     many = looked_up(rows, counts.where("n > 1").select("key", "n"), "key", "n", total).drop("n")
     few = rows.drop("before", "after").join(reaches, "key").select(many.columns)
     span = F.struct((F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("end"))
-    spans = written(many.union(few).groupBy("digest").agg(F.collect_set(span).alias("spans")))
-    n_spans = spans.count()
+    spans = written(many.union(few).groupBy("digest").agg(F.collect_set(span).alias("spans")).withColumn("spans", F.expr(UNION)))
+    n_spans = spans.agg(F.coalesce(F.sum(F.size("spans") + 1), F.lit(0))).first()[0]
     keyed = source.withColumn("digest", digest)
-    if n_spans <= BROADCAST_TEXTS:
+    if n_spans <= BROADCAST_SPANS:
         found = keyed.join(F.broadcast(spans), "digest", "left")
         return _kept(found.where("spans is not null")).unionByName(_whole(found.where("spans is null")))
     maps = bitmaps(spans.select(slot(F.col("digest"), bits, 4).alias("slot")).distinct())
@@ -448,6 +437,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return _kept(hit).unionByName(_whole(flagged.where(~F.col("touched")))).unionByName(_whole(missed))
 
 
+#: Maximal runs of the union of spans, as a SQL expression.
+UNION = """aggregate(array_sort(spans), cast(array() as array<struct<start:int,end:int>>), (runs, s) -> if(size(runs) > 0 and s.start <= runs[size(runs) - 1].end,
+    concat(slice(runs, 1, size(runs) - 1), array(named_struct('start', runs[size(runs) - 1].start, 'end', greatest(runs[size(runs) - 1].end, s.end)))), concat(runs, array(s))))"""
+
+
 RESULT = "doc_id {}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:int,end:int>>"
 
 
@@ -465,21 +459,10 @@ def _kept(rows: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for data, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                kept, removed, runs = cut(data, [(s["start"], s["end"]) for s in spans])
-                for column, value in zip(out, (len(data), removed, runs, hashlib.sha256(kept).hexdigest(), union(spans)), strict=True):
+                kept = cut(data, spans)
+                for column, value in zip(out, (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans), strict=True):
                     column.append(value)
             arrays = [pa.array(out[k], pa.int64()) for k in range(3)] + [pa.array(out[3], pa.string()), pa.array(out[4], span)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     return rows.select("doc_id", F.col("text").cast("binary").alias("data"), "spans").mapInArrow(run, RESULT.format(kind))
-
-
-def union(spans: list[dict]) -> list[dict]:
-    """Maximal runs of the union of spans."""
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-        if out and s["start"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], s["end"])
-        else:
-            out.append(dict(s))
-    return out
