@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from tickflow.llm import line_dedup, simhash, suffix_dedup
+import corpus_pipeline
+from tickflow.llm import line_dedup, shingles, simhash, suffix_dedup
 from tickflow.llm.common import WHITE
 from tickflow.llm.exact_dedup import exact_duplicates
 from tickflow.llm.graph import components
@@ -202,3 +203,52 @@ def test_merge_keeps_order_and_shared_lengths():
         out = list(suffix_dedup.merged(runs))
         assert [x for _, x, _, _ in out] == want
         assert all(s == suffix_dedup.common(a, b) for a, (s, b, _, _) in zip(want, out[1:], strict=False))
+
+
+# --- near copies by shingles --------------------------------------------------------------------------------
+
+
+def jaccard(a, b, n=5):
+    sets = []
+    for text in (a, b):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").translate({ord(c): " " for c in WHITE}).split()
+        sets.append({tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_equal_all_pairs_of_similarity(spark, make_docs, odd_docs, no_docs):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(500)]
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect() if len(r.text or "") < 10_000]
+    for k in range(40):
+        base = [rng.choice(words) for _ in range(rng.choice([3, 40, 150, 600]))]
+        for j in range(rng.randint(1, 6)):
+            edited = list(base)
+            for _ in range(rng.randint(0, max(1, len(edited) // 40))):
+                edited[rng.randrange(len(edited))] = rng.choice(words)
+            rows.append((1000 + 10 * k + j, " ".join(edited)))
+    base = [rng.choice(words) for _ in range(100)]  # each is near the one before, the ends are far apart
+    for j in range(30):
+        base[3 * j] = "new"
+        rows.append((5000 + j, " ".join(base)))
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if jaccard(rows[a][1], rows[b][1]) >= 0.8:
+                up[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(k)] = min(i, least.get(root(k), i))
+    want = Counter((i, least.get(root(k))) for k, (i, _) in enumerate(rows))
+    assert Counter(tuple(r) for r in shingles.near_copies(make_docs(rows)).collect()) == want
+    assert shingles.near_copies(no_docs).count() == 0
+    gone = {i for (i, c) in want if i != c}
+    assert len(gone) > 60
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, make_docs(rows), "").collect()} == {i for i, _ in rows} - gone
