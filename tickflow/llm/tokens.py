@@ -85,11 +85,15 @@ class Encoder:
     The tokenizer cuts a text into pieces by a fixed pattern and encodes each by itself.  Pieces are found
     here for a whole batch from the classes of its characters; texts with an apostrophe, which the pattern
     treats in a way of its own, go to the library whole.
+
+    With ``special``, tokens that the file adds to its vocabulary are recognised in texts as the library does
+    unless told otherwise: texts that hold the string of one go to it whole.  Without, special ones are plain text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.places: dict[str, int] = {}
         self.recent: list[str] = []
         self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
@@ -101,7 +105,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each text."""
-        plain = [k for k, t in enumerate(texts) if "'" not in t]
+        plain = [k for k, t in enumerate(texts) if "'" not in t and not any(a in t for a in self.added)]
         counts = np.zeros(len(texts), np.int64)
         parts: list = [None] * len(texts)
         ids, n = self._plain([texts[k] for k in plain])
@@ -201,7 +205,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, special=True)
     return _encoders[path]
 
 
@@ -213,7 +217,8 @@ ROW = "shard int, row int, n_ids bigint, doc_ids array<bigint>, ends array<bigin
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the token ids of ``docs``, in ascending id order, as a token file under ``path``.
 
-    Each document's ids are followed by ``end_id``.  A shard is a range of ids of the table; its row r holds
+    Ids are the library's with its defaults and without added special tokens: the string of a special token
+    in a text is that token.  Each document's ids are followed by ``end_id``.  A shard is a range of ids of the table; its row r holds
     some 2^18 ids as packed blocks, the index of block starts, and for each document that ends in the row its
     id and the place after its last token, counted from the row's start.  Rows are stored as Parquet through
     Spark, so any store that Spark reaches will do, and a lost task writes its shard again.
