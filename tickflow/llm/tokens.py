@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,57 +23,106 @@ HEAD = struct.Struct("<IIBHI")
 #: The share of ids that the chosen width must hold.
 PERCENTILE = 95
 #: Pieces that a worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: Pieces that are encoded as one text.
+JOINED = 128
+#: Characters that are encoded at once (one text may have more).
+CHARS = 1 << 22
+# What the pattern of the tokenizer keeps with an apostrophe before it.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 # --- blocks -----------------------------------------------------------------------------------------------
 
 
-def pack_bits(values: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bits of each value, end to end, lowest bit first."""
-    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
-
-
-def unpack_bits(data: bytes, n: int, width: int) -> np.ndarray:
-    bits = np.zeros((n, 32), np.uint8)
-    bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
-
-
-def pack_block(ids: np.ndarray) -> bytes:
-    """One block: the least id is subtracted, ids are packed at the width that PERCENTILE of them need, and
-    the high bits of the others stand in a list of (place, high bits)."""
-    base = int(ids.min())
-    rest = (ids - base).astype(np.uint32)
-    width = int(np.sort(rest)[-(-len(rest) * PERCENTILE // 100) - 1]).bit_length()
-    over = np.nonzero(rest >> width)[0]
-    payload = pack_bits(rest & ((1 << width) - 1), width) + over.astype("<u2").tobytes() + (rest[over] >> width).astype("<u4").tobytes()
-    return HEAD.pack(len(ids), base, width, len(over), HEAD.size + len(payload)) + payload
-
-
-def unpack_block(data: bytes, at: int) -> np.ndarray:
-    n, base, width, n_over, size = HEAD.unpack_from(data, at)
-    packed = (n * width + 7) // 8
-    body = data[at + HEAD.size : at + size]
-    ids = unpack_bits(body[:packed], n, width)
-    over = np.frombuffer(body, "<u2", n_over, packed)
-    ids[over] |= np.frombuffer(body, "<u4", n_over, packed + 2 * n_over) << np.uint32(width)
-    return ids + np.uint32(base)
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Each row's values at ``width`` bits, end to end, lowest bit first: rows of bytes.  Eight values fill ``width`` bytes."""
+    rows, n = values.shape
+    kind = np.uint32 if width <= 24 else np.uint64
+    eights = np.zeros((rows, -(-n // 8) * 8), kind)
+    eights[:, :n] = values
+    eights = eights.reshape(rows, -1, 8)
+    out = np.zeros((*eights.shape[:2], width), np.uint8)
+    for k in range(8 if width else 0):
+        byte, shift = divmod(k * width, 8)
+        shifted = eights[:, :, k] << kind(shift)
+        for j in range(-(-(shift + width) // 8)):
+            out[:, :, byte + j] |= (shifted >> kind(8 * j)).astype(np.uint8)
+    return out.reshape(rows, -1)[:, : -(-n * width // 8)]
+
+
+def unpack_bits(data: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The ``n`` values of each row of bytes."""
+    rows = len(data)
+    kind = np.uint32 if width <= 24 else np.uint64
+    bytes_ = np.zeros((rows, -(-n // 8) * width), np.uint8)
+    bytes_[:, : data.shape[1]] = data
+    bytes_ = bytes_.reshape(rows, -(-n // 8), width)
+    out = np.zeros((rows, -(-n // 8), 8), np.uint32)
+    for k in range(8 if width else 0):
+        byte, shift = divmod(k * width, 8)
+        value = np.zeros(bytes_.shape[:2], kind)
+        for j in range(-(-(shift + width) // 8)):
+            value |= bytes_[:, :, byte + j].astype(kind) << kind(8 * j)
+        out[:, :, k] = (value >> kind(shift)) & kind((1 << width) - 1)
+    return out.reshape(rows, -1)[:, :n]
+
+
+def _pack_blocks(ids: np.ndarray) -> list[bytes]:
+    """Blocks of equal size, one for each row: the least id is subtracted, ids are packed at the width that
+    PERCENTILE of them need, and the high bits of the others stand in a list of (place, high bits)."""
+    count, n = ids.shape
+    base = ids.min(axis=1)
+    rest = (ids - base[:, None]).astype(np.uint32)
+    at = -(-n * PERCENTILE // 100) - 1
+    widths = np.array([int(x).bit_length() for x in np.partition(rest, at, axis=1)[:, at]])
+    out: list[bytes] = [b""] * count
+    for width in set(widths.tolist()):
+        rows = np.nonzero(widths == width)[0]
+        own = rest[rows]
+        packed = pack_bits(own & np.uint32((1 << width) - 1), width)
+        high = own >> np.uint32(width) if width < 32 else np.zeros_like(own)
+        row, place = np.nonzero(high)
+        edges = np.searchsorted(row, np.arange(len(rows) + 1)).tolist()
+        place, high = place.astype("<u2"), high[row, place].astype("<u4")
+        for k, r in enumerate(rows.tolist()):
+            a, b = edges[k], edges[k + 1]
+            payload = packed[k].tobytes() + place[a:b].tobytes() + high[a:b].tobytes()
+            out[r] = HEAD.pack(n, int(base[r]), width, b - a, HEAD.size + len(payload)) + payload
+    return out
 
 
 def pack_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
     """Blocks end to end, and the index of their starts (unsigned 32-bit, little-endian)."""
-    blocks = [pack_block(ids[k : k + BLOCK]) for k in range(0, len(ids), BLOCK)]
+    whole = len(ids) // BLOCK * BLOCK
+    blocks = _pack_blocks(ids[:whole].reshape(-1, BLOCK)) if whole else []
+    if whole < len(ids):
+        blocks += _pack_blocks(ids[None, whole:])
     starts = np.cumsum([0, *map(len, blocks)])[:-1]
     return b"".join(blocks), starts.astype("<u4").tobytes()
 
 
 def unpack_ids(data: bytes, index: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     """Ids ``first`` to ``last`` (not included) of a row; only the blocks that hold them are read."""
-    starts = np.frombuffer(index, "<u4")
+    starts = np.frombuffer(index, "<u4").tolist()
     last = len(starts) * BLOCK if last is None else last
-    parts = [unpack_block(data, int(s)) for s in starts[first // BLOCK : -(-last // BLOCK)]]
+    starts = starts[first // BLOCK : -(-last // BLOCK)]
+    heads = [HEAD.unpack_from(data, s) for s in starts]
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, (n, _, width, _, _) in enumerate(heads):
+        alike.setdefault((n, width), []).append(k)
+    stored = np.frombuffer(data, np.uint8)
+    parts: list = [None] * len(heads)
+    for (n, width), members in alike.items():
+        size = -(-n * width // 8)
+        bodies = np.array([starts[k] + HEAD.size for k in members])
+        ids = unpack_bits(stored[bodies[:, None] + np.arange(size)], n, width)
+        for row, k, body in zip(ids, members, bodies.tolist(), strict=True):
+            _, base, _, n_over, _ = heads[k]
+            over = np.frombuffer(data, "<u2", n_over, body + size)
+            row[over] |= np.frombuffer(data, "<u4", n_over, body + size + 2 * n_over) << np.uint32(width)
+            row += np.uint32(base)
+            parts[k] = row
     skip = first - first // BLOCK * BLOCK
     return np.concatenate(parts)[skip : skip + last - first] if parts else np.zeros(0, np.uint32)
 
@@ -83,8 +134,7 @@ class Encoder:
     """Encodes with the tokenizers library, each distinct piece of text once as long as it is remembered.
 
     The tokenizer cuts a text into pieces by a fixed pattern and encodes each by itself.  Pieces are found
-    here for a whole batch from the classes of its characters; texts with an apostrophe, which the pattern
-    treats in a way of its own, go to the library whole.
+    here for a whole batch from the classes of its characters.
 
     With ``special``, tokens that the file adds to its vocabulary are recognised in texts as the library does
     unless told otherwise: texts that hold the string of one go to it whole.  Without, special ones are plain text.
@@ -105,10 +155,12 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each text."""
-        plain = [k for k, t in enumerate(texts) if "'" not in t and not any(a in t for a in self.added)]
+        plain = [k for k, t in enumerate(texts) if not any(a in t for a in self.added)]
+        ids, n = self._plain([texts[k] for k in plain])
+        if len(plain) == len(texts):
+            return ids, n
         counts = np.zeros(len(texts), np.int64)
         parts: list = [None] * len(texts)
-        ids, n = self._plain([texts[k] for k in plain])
         counts[plain] = n
         for k, part in zip(plain, np.split(ids, np.cumsum(n)[:-1]) if plain else [], strict=True):
             parts[k] = part
@@ -128,48 +180,60 @@ class Encoder:
             points = np.frombuffer(whole.encode("latin-1"), np.uint8)
         except UnicodeEncodeError:
             points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        cut = self._cuts(self.classes[points], begins[:-1][np.diff(begins) > 0])
+        cut = self._cuts(points, self.classes[points], begins[:-1][np.diff(begins) > 0])
         offsets = np.r_[cut, len(points)]
         if len(data) > len(points):
             width = (points > 0x7F).astype(np.uint8) + (points > 0x7FF) + (points > 0xFFFF)
             offsets = offsets + np.r_[0, np.cumsum(width, dtype=np.int64)][offsets]
         pieces = pa.LargeStringArray.from_buffers(len(cut), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
-        place = self._places(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
-        first = self.starts[place]
-        n = self.starts[place + 1] - first
-        ends = np.cumsum(n)
-        at = np.repeat(first - (ends - n), n)
-        at += np.arange(len(at))
-        return self.ids[at], np.diff(np.r_[0, ends][np.searchsorted(cut, begins)])
+        place = self._places(pieces.dictionary.to_pylist())
+        n = self.starts[place + 1] - self.starts[place]
+        bounds = np.r_[0, np.cumsum(n)]
+        own = self.ids[np.repeat(self.starts[place] - bounds[:-1], n) + np.arange(bounds[-1])]
+        ids = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(own)).take(pieces.indices).flatten().to_numpy()
+        ends = np.cumsum(n[pieces.indices.to_numpy()])
+        return ids, np.diff(np.r_[0, ends][np.searchsorted(cut, begins)])
 
     @staticmethod
-    def _cuts(kind: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    def _cuts(points: np.ndarray, kind: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Where pieces begin: runs of letters, numbers or others with one space before; of white space, all but
         a last character that stands before something else is one piece, and that character, if it isn't a
-        space that goes with what follows, another."""
+        space that goes with what follows, another.  An apostrophe that begins a piece takes one of the
+        ENDINGS that follows it along, and no more."""
         fresh = np.zeros(len(kind), bool)
         fresh[begins] = True
         white = kind >= 3
-        plain = np.where(white, 3, kind)
-        before = np.r_[plain[:1], plain[:-1]]
-        changes = fresh | (plain != before)
+        plain = np.where(white, np.uint8(3), kind)
+        changes = np.r_[True, plain[1:] != plain[:-1]] | fresh
         space_before = np.r_[False, kind[:-1] == 4] & ~fresh
         next_black = np.r_[~white[1:] & ~fresh[1:], False]
-        return np.nonzero(np.where(white, changes | next_black, changes & ~space_before))[0]
+        cuts = changes & np.where(white, True, ~space_before) | white & next_black
+        marks = np.nonzero((points == ord("'")) & cuts)[0]
+        for ending in ENDINGS if len(marks) else ():
+            follows = marks[marks + len(ending) < len(points)]
+            for k, c in enumerate(ending, 1):
+                follows = follows[(points[follows + k] == ord(c)) & ~fresh[follows + k]]
+            cuts[follows + 1] = False
+            after = follows + len(ending) + 1
+            cuts[after[after < len(points)]] = True
+        return np.nonzero(cuts)[0]
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         """Where the ids of each piece stand in ``starts``."""
         if len(self.places) > REMEMBERED:
             self._forget()
         self.recent = pieces
-        new = [p for p in pieces if p not in self.places]
+        found = np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.nonzero(found < 0)[0]
+        new = [pieces[k] for k in missing.tolist()]
         joined = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-        for k in range(0, len(joined), 512):
-            self._remember_joined(joined[k : k + 512])
+        for k in range(0, len(joined), 1 << 16):
+            self._remember_joined(joined[k : k + (1 << 16)])
         alone = [p for p in new if p not in self.places]
-        for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self._remember([p], np.array(e.ids, np.uint32), np.array([len(e.ids)]))
-        return np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        self._remember(alone, np.array(list(chain.from_iterable(encoded)), np.uint32), np.array([len(e) for e in encoded], np.int64))
+        found[missing] = np.fromiter(map(self.places.__getitem__, new), np.int64, len(new))
+        return found
 
     def _forget(self) -> None:
         """Keep only the pieces of the batch before; frequent ones are among them."""
@@ -182,11 +246,17 @@ class Encoder:
         self._remember(self.recent, kept, n)
 
     def _remember_joined(self, pieces: list[str]) -> None:
-        """Pieces that begin with a space keep apart when they stand end to end: one call encodes many."""
-        e = self.tokenizer.encode("".join(pieces), add_special_tokens=False)
-        words = np.array(e.word_ids, np.int64)
-        if len(words) and words[-1] == len(pieces) - 1:
-            self._remember(pieces, np.array(e.ids, np.uint32), np.bincount(words, minlength=len(pieces)))
+        """Pieces that begin with a space keep apart when they stand end to end: a text of many is encoded at once."""
+        groups = [pieces[k : k + JOINED] for k in range(0, len(pieces), JOINED)]
+        ids, counts, known = [], [], []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            words = e.word_ids
+            if words and words[-1] == len(group) - 1:
+                known += group
+                ids += e.ids
+                counts.append(np.bincount(words, minlength=len(group)))
+        if known:
+            self._remember(known, np.array(ids, np.uint32), np.concatenate(counts))
 
     def _remember(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         first = len(self.places)
@@ -204,6 +274,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
     if path not in _encoders:
         _encoders[path] = Encoder(path, special=True)
     return _encoders[path]
@@ -245,11 +316,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         for batch in batches:
             shard = batch.column(2)[0].as_py() if len(batch) else shard
-            for k in range(0, len(batch), 512):
-                part = batch.slice(k, 512)
-                ids, counts = encode([t or "" for t in part.column(1).to_pylist()])
+            for part, texts in _portions(batch):
+                ids, counts = encode(texts)
                 at = np.cumsum(counts + 1)
-                held.append(np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32))
+                ended = np.full(at[-1], end_id, np.uint32)
+                inside = np.ones(at[-1], bool)
+                inside[at - 1] = False
+                ended[inside] = ids
+                held.append(ended)
                 doc_ids += part.column(0).to_pylist()
                 ends += (at + n).tolist()
                 n += int(at[-1])
@@ -261,6 +335,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     ordered.mapInArrow(run, ROW).write.parquet(path)
 
 
+def _portions(batch: pa.RecordBatch):
+    """Slices of a batch with some CHARS characters each, and their texts."""
+    first, chars, texts = 0, 0, []
+    for k, text in enumerate(batch.column(1)):
+        texts.append(text.as_py() or "")
+        chars += len(texts[-1])
+        if chars >= CHARS or k + 1 == len(batch):
+            yield batch.slice(first, len(texts)), texts
+            first, chars, texts = k + 1, 0, []
+
+
 _ARROW = pa.schema([("shard", pa.int32()), ("row", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("data", pa.binary()), ("index", pa.binary())])
 
 
@@ -307,7 +392,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                     schema=_PIECE,
                 )
 
-    pieces = rows.drop("n_ids").join(placed, ["shard", "row"]).mapInArrow(run, PIECE)
+    pieces = written(rows.drop("n_ids").join(placed, ["shard", "row"]).mapInArrow(run, PIECE))
     whole = pieces.where("whole").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     parts = F.array_sort(F.collect_list(F.struct("row", "part")))
     joined = F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["part"]))
