@@ -16,8 +16,9 @@ from .common import BITMAP_BITS, bitmaps, bounded_batches, discard, filter_bits,
 #: Bytes that a passage must have in common with another, of the grams that choose anchors, and of the halves that are counted.
 LENGTH, GRAM = 400, 16
 HALF = LENGTH // 2
-#: Contexts that a task sorts at once.
-RUN = 20_000
+#: Contexts that a task sorts at once, and suspect contexts that occur once for each part that is merged at once:
+#: parts follow the number of contexts, so the memory of a merge doesn't.
+RUN, PART = 20_000, 5_000
 #: Texts and spans of repeats that are broadcast (under 100 bytes each); more are joined by a shuffle.
 BROADCAST_SPANS = 500_000
 
@@ -383,11 +384,12 @@ def cut(data: bytes, spans: list[dict]) -> bytes:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
+    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, spans.
 
     A byte goes if a string of 400 bytes that covers it starts at some other place as well, in any text or
     the same; strings don't cross texts and are judged on the input.  ``spans`` are the maximal removed runs
-    as (start, end).  Null texts count as empty; rows may repeat and ids be null, each row being a text of
+    as (start, end).  ``text`` is what is left; a character that a run cuts through is U+FFFD there (the
+    digest is that of the bytes).  Null texts count as empty; rows may repeat and ids be null, each row being a text of
     its own; texts under 400 bytes are kept.  An empty table gives no rows; other columns are not read.
 
     Each 400-byte string has an anchor that its bytes alone choose, so equal strings have equal anchors.  Of
@@ -399,7 +401,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digest = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
     texts = source.select(digest.alias("digest"), F.col("text").cast("binary").alias("data"))
@@ -415,6 +416,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counts = written(places.groupBy("key").agg(n.alias("n"), F.first("left_slot").alias("left_slot"), F.first("right_slot").alias("right_slot")))
     once = counts.where("n = 1")
     alone = spark.sparkContext.broadcast([_loaded(bitmaps(once.where(F.col(c) >= 0).select(F.col(c).cast("long").alias("slot")).distinct()), bits) for c in ("left_slot", "right_slot")])
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), once.count() // PART)
     reaches = written(_reaches(_runs(texts, alone, bits, parts)).groupBy("key").agg(F.max("before").alias("before"), F.max("after").alias("after")))
 
     total = places.count()
@@ -442,13 +444,13 @@ UNION = """aggregate(array_sort(spans), cast(array() as array<struct<start:int,e
     concat(slice(runs, 1, size(runs) - 1), array(named_struct('start', runs[size(runs) - 1].start, 'end', greatest(runs[size(runs) - 1].end, s.end)))), concat(runs, array(s))))"""
 
 
-RESULT = "doc_id {}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:int,end:int>>"
+RESULT = "doc_id {}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string, spans array<struct<start:int,end:int>>"
 
 
 def _whole(rows: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    return rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), empty.alias("spans"))
+    return rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), "text", empty.alias("spans"))
 
 
 def _kept(rows: DataFrame) -> DataFrame:
@@ -457,12 +459,12 @@ def _kept(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for data, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 kept = cut(data, spans)
-                for column, value in zip(out, (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans), strict=True):
+                for column, value in zip(out, (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"), spans), strict=True):
                     column.append(value)
-            arrays = [pa.array(out[k], pa.int64()) for k in range(3)] + [pa.array(out[3], pa.string()), pa.array(out[4], span)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            arrays = [pa.array(out[k], pa.int64()) for k in range(3)] + [pa.array(out[3], pa.string()), pa.array(out[4], pa.string()), pa.array(out[5], span)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "spans"])
 
     return rows.select("doc_id", F.col("text").cast("binary").alias("data"), "spans").mapInArrow(run, RESULT.format(kind))
