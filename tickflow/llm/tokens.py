@@ -23,11 +23,11 @@ HEAD = struct.Struct("<IIBHI")
 #: The share of ids that the chosen width must hold.
 PERCENTILE = 95
 #: Pieces that a worker remembers the ids of.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Pieces that are encoded as one text.
 JOINED = 128
 #: Characters that are encoded at once (one text may have more).
-CHARS = 1 << 22
+CHARS = 1 << 21
 # What the pattern of the tokenizer keeps with an apostrophe before it.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
