@@ -121,14 +121,14 @@ def test_request_selection_matrix(spark):
     hits = spark.createDataFrame([(s, 1 if s < 4 else 201, 10 + s % 2, t) for s, t in enumerate([9, 10, 20, 21, 9, 10, 20, 21])], "seq long, hub_id int, mbid long, utc long")
     def found(kind, source=0, dom=0):
         e = spark.createDataFrame([(1, 0, kind, source, 10, 20, dom)], "uid int, elem int, readout_type int, source_id int, first_utc long, last_utc long, dom_id long")
-        return [r.seq for r in ranges.readout(hits, e, 7).orderBy("seq").collect()]
+        return [r.seq for r in ranges.readout(hits, e).orderBy("seq").collect()]
 
     assert found(ranges.GLOBAL) == [1, 2, 5, 6]
     assert found(ranges.INICE) == [1, 2] and found(ranges.SURFACE) == [5, 6]
     assert found(ranges.STRING, source=12001) == [1, 2]
     assert found(ranges.INICE_MODULE, dom=11) == [1] and found(ranges.SURFACE_MODULE, dom=10) == [6]
     two = spark.createDataFrame([(1, 0, ranges.SURFACE, 0, 0, 20, 0), (1, 1, ranges.GLOBAL, 0, 9, 30, 0), (2, 1, ranges.GLOBAL, 0, 9, 10, 0)], "uid int, elem int, readout_type int, source_id int, first_utc long, last_utc long, dom_id long")
-    assert values(ranges.readout(hits, two, 7), "uid", "seq") == [(1, k) for k in range(8)] + [(2, 0), (2, 1), (2, 4), (2, 5)]
+    assert values(ranges.readout(hits, two), "uid", "seq") == [(1, k) for k in range(8)] + [(2, 0), (2, 1), (2, 4), (2, 5)]
     with pytest.raises(ValueError):
         ranges.in_range(hits, 5, 4)
 
@@ -186,8 +186,38 @@ def test_channel_state_waits_and_orders():
 
     T = namedtuple("T", "mbid seq t0 t1 t2 t3 bad gps_offset")
     channel = streams.Channel(calibrate.WILD, calibrate.WEIGHT, calibrate.SETTLED)
-    channel.waiting = [(1, 12000), (2, 11000), (3, 30000)]
+    channel.waiting.extend([(1, 12000), (2, 11000), (3, 30000)])
     for k in range(2):
         channel.calibrate(T(1, k, k * 10000, k * 10000 + 3000, k * 10000 + 4000, k * 10000 + 7000, False, 0))
     assert list(channel.released()) == [(1, 12000, True), (2, 11000, False)]
-    assert channel.waiting == [(3, 30000)]
+    assert list(channel.waiting) == [(3, 30000)]
+
+
+def test_continuous_readout_of_long_elements(spark, tmp_path):
+    """A ten-hour element finds its hits of all hours; a second element of the request leaves them to it."""
+    hour = 36 * 10**12
+    hits = spark.createDataFrame([(h, 1, 7, h * hour + hour // 2) for h in range(12)], "seq long, hub_id int, mbid long, utc long")
+    element = "struct<elem:int,readout_type:int,source_id:int,first_utc:bigint,last_utc:bigint,dom_id:bigint>"
+    requests = spark.createDataFrame([(5, [(0, ranges.GLOBAL, 0, 0, 10 * hour, 0), (1, ranges.GLOBAL, 0, 9 * hour, 11 * hour, 0)])], f"uid int, elements array<{element}>")
+    for name, rows in (("hits", hits), ("requests", requests)):
+        rows.write.parquet(f"{tmp_path}/{name}")
+    joined = streams.continuous_readout(*(spark.readStream.schema(r.schema).parquet(f"{tmp_path}/{n}") for n, r in (("hits", hits), ("requests", requests))), 2024)
+    streams.run_to_end(joined, f"{tmp_path}/out", f"{tmp_path}/state")
+    assert values(spark.read.parquet(f"{tmp_path}/out"), "uid", "elem", "seq") == [(5, 0, h) for h in range(10)] + [(5, 1, 10)]
+    flat = spark.createDataFrame([(5, *e) for e in requests.first().elements], "uid int, elem int, readout_type int, source_id int, first_utc long, last_utc long, dom_id long")
+    assert values(ranges.readout(hits, flat), "uid", "seq") == [(5, h) for h in range(11)]
+
+
+def test_gate_opens_by_message_or_limit(spark):
+    rows = [(1, k, "Starting run 5" if k == 3 else "x") for k in range(6)] + [(2, k, "x") for k in range(6)] + [(3, 0, "x")]
+    moni = spark.createDataFrame(rows, "mbid long, seq long, text string")
+    found = {(r.mbid, r.seq): (r.release_seq, r.opened_by) for r in calibrate.gated(moni, 6).collect()}
+    assert [found[1, k] for k in range(6)] == [(max(k, 3), "message") for k in range(6)]
+    assert [found[2, k] for k in range(6)] == [(max(k, 3), "limit") for k in range(6)]
+    assert found[3, 0] == (None, "end")
+
+
+def test_failed_cards(spark):
+    rows = [(1, k, True, False) for k in range(4)] + [(2, k, k != 2, False) for k in range(5)] + [(3, k, k % 2 == 0, k % 2 == 1) for k in range(8)]
+    reads = spark.createDataFrame(rows, "card int, seq long, miss boolean, error boolean")
+    assert values(windows.failed_cards(reads, 3, 2), "card", "reason") == [(1, "misses"), (3, "errors"), (3, "misses")]

@@ -52,10 +52,13 @@ def secondary_header(records: DataFrame, fmt: str = "fmt", rec_len: str = "rec_l
 
 
 def hardware(moni: DataFrame) -> DataFrame:
-    """Readings of hardware monitor records: temperature, pressure and the counters."""
+    """Readings of hardware monitor records: version, temperature, pressure, high voltage set and read back,
+    the discriminator settings (DAC channels 9 and 8), all 8 ADC and 16 DAC channels, and the counters."""
     return moni.where("rec_type = 200").select(
-        "seq", "mbid", (F.col("temp_adc") / 256.0).alias("temperature"),
-        ((F.col("adc")[2].cast("double") / F.col("adc")[0] + 0.095) / 0.009).alias("pressure"), "spe", "mpe",
+        "seq", "mbid", "version", (F.col("temp_adc") / 256.0).alias("temperature"),
+        ((F.col("adc")[2].cast("double") / F.col("adc")[0] + 0.095) / 0.009).alias("pressure"), "hv_set", "hv_read",
+        F.col("dac")[9].alias("spe_level"), F.col("dac")[8].alias("mpe_level"), *[F.col("adc")[k].alias(f"adc{k}") for k in range(8)],
+        *[F.col("dac")[k].alias(f"dac{k}") for k in range(16)], "spe", "mpe",
     )
 
 

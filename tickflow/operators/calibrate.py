@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ticks import dom_ticks
+from ..schemas import SECOND
 
 #: Limits of the cable length average: seconds of difference, weight of a sample, samples until it is settled.
 WILD, WEIGHT, SETTLED = 10e-9, 0.1, 3
@@ -133,23 +134,32 @@ def calibrated(stamps: DataFrame, threshold: float = WILD, weight: float = WEIGH
     return folded(needed, "mbid", "seq", lambda: (0, None, None, (None, 0)), step, CHAIN)
 
 
-def translated(hits: DataFrame, isochrons: DataFrame, max_history: int | None = None) -> DataFrame:
+def translated(hits: DataFrame, isochrons: DataFrame, max_history: int | None = None, block: int = 600 * SECOND) -> DataFrame:
     """Hits (mbid, seq, domclk) with ``utc`` by the isochron that holds their clock.
 
     Isochrons of a channel are contiguous, so the holder is the one with the least upper end at or after the
     clock; clocks past all of them go by the newest, those before all by the oldest, of the newest
-    ``max_history`` if given.  Without isochrons ``utc`` is null.  Both sides meet in one shuffle by channel and two running windows.
+    ``max_history`` if given.  Without isochrons ``utc`` is null.  Both sides meet in one shuffle by channel and
+    block of ``block`` ticks of the clock, in two running windows; past the ends of a block its summary has the
+    nearest isochrons of other blocks, so no task has the whole history of a channel.
     """
     iso = isochrons
     if max_history:
         iso = iso.withColumn("__r", F.row_number().over(Window.partitionBy("mbid").orderBy(F.desc("upper")))).where(F.col("__r") <= max_history)
     packed = iso.select("mbid", F.col("upper").alias("clk"), F.lit(None).cast("long").alias("seq"), F.struct("dor_mid", "dom_mid", "epsilon", "gps_offset").alias("iso"))
     asked = hits.select("mbid", dom_ticks("domclk").alias("clk"), "seq", F.lit(None).cast(packed.schema["iso"].dataType).alias("iso"))
-    both = packed.union(asked)
+    both = packed.union(asked).withColumn("block", F.expr(f"clk div {block}"))
+    ends = both.groupBy("mbid", "block").agg(F.min_by("iso", F.when(F.col("iso").isNotNull(), F.col("clk"))).alias("first"), F.max_by("iso", F.when(F.col("iso").isNotNull(), F.col("clk"))).alias("last"))
+    blocks = Window.partitionBy("mbid").orderBy("block")
+    ends = ends.select(
+        "mbid", "block", F.first("first", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+        F.last("last", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+    )
+    both = both.join(ends, ["mbid", "block"])
     # equal clocks: the isochron's own end belongs to it, so it must be seen from the clock downwards
-    down = Window.partitionBy("mbid").orderBy(F.desc("clk"), F.col("iso").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    upward = Window.partitionBy("mbid").orderBy("clk", F.col("iso").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("use", F.coalesce(F.last("iso", ignorenulls=True).over(down), F.last("iso", ignorenulls=True).over(upward))).where("iso is null")
+    down = Window.partitionBy("mbid", "block").orderBy(F.desc("clk"), F.col("iso").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    upward = Window.partitionBy("mbid", "block").orderBy("clk", F.col("iso").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("use", F.coalesce(F.last("iso", ignorenulls=True).over(down), "after", F.last("iso", ignorenulls=True).over(upward), "before")).where("iso is null")
     dt = "clk - use.dom_mid"
     return found.select("mbid", "seq", F.expr(f"use.dor_mid + ({dt}) + cast(use.epsilon * cast({dt} as double) as bigint) + use.gps_offset").alias("utc"))
 
@@ -158,3 +168,21 @@ def held_until_calibrated(hits: DataFrame, isochrons: DataFrame) -> DataFrame:
     """Hits that some isochron reaches (``upper`` at or after the clock), with the first calibration that lets them go."""
     reach = isochrons.groupBy("mbid").agg(F.max("upper").alias("reach"))
     return hits.join(reach, "mbid").where(dom_ticks("domclk") <= F.col("reach")).drop("reach")
+
+
+def gated(records: DataFrame, limit: int = 5000, text: str = "Starting run") -> DataFrame:
+    """Monitoring records (mbid, seq, text) with ``release_seq``, the record whose arrival lets them go, and ``opened_by``.
+
+    A module's gate is shut until a message begins with ``text`` (``message``) or all but two of ``limit``
+    records wait (``limit``), whichever comes first; a gate that never opens lets its records go at the end of
+    the stream (``end``, release_seq null).  Records behind an open gate go when they come.
+    """
+    message = records.where(F.col("text").startswith(text)).groupBy("mbid").agg(F.min("seq").alias("by_message"))
+    number = F.row_number().over(Window.partitionBy("mbid").orderBy("seq"))
+    full = records.select("mbid", "seq", number.alias("n")).where(F.col("n") <= limit - 2).groupBy("mbid").agg(F.max_by("seq", "n").alias("by_limit"), F.max("n").alias("n"))
+    full = full.where(F.col("n") == limit - 2).drop("n")
+    gates = records.select("mbid").distinct().join(message, "mbid", "left").join(full, "mbid", "left")
+    opening = F.least("by_message", "by_limit")
+    kind = F.when(opening.isNull(), "end").when(F.col("by_message") == opening, "message").otherwise("limit")
+    gates = gates.select("mbid", opening.alias("opening"), kind.alias("opened_by"))
+    return records.join(gates, "mbid").withColumn("release_seq", F.when(F.col("opening").isNotNull(), F.greatest("seq", "opening"))).drop("opening")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import DAY, EOS
+from ..schemas import DAY, EOS, SECOND
 
 
 def without_eos(hits: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def long_enough(records: DataFrame, least: int = 38) -> tuple[DataFrame, DataFra
     return records.where(ok), records.where(~ok)
 
 
-def sane_times(hits: DataFrame, max_gap: int = DAY, slice_ticks: int = DAY, key: str = "hub_id") -> DataFrame:
+def sane_times(hits: DataFrame, max_gap: int = DAY, slice_ticks: int = 15 * SECOND, key: str = "hub_id") -> DataFrame:
     """Drop negative times and all that follows a jump of more than ``max_gap`` in a hub's time order.
 
     The jump is found on summaries of time slices and on neighbours inside a slice, so no hub is one task.

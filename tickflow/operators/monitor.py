@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SECOND
+from ..functions.ticks import month_token
 from .lookups import zero_filled
 
 #: Ten minutes in ticks.
@@ -112,12 +113,25 @@ def replay_totals(hits: DataFrame, gap: int = SECOND, key: str = "hub_id", block
     )
 
 
-def rollover_report(clocks: DataFrame, warn_days: int = 65, critical_days: int = 78) -> DataFrame:
-    """Channels whose clock (domclk) has run for over ``warn_days``, with the level of the whole report."""
+def rollover_report(clocks: DataFrame, now: Column, warn_days: int = 65, critical_days: int = 78, prefix: str = "dom-clock-alert") -> DataFrame:
+    """Channels whose clock (domclk) has run for over ``warn_days``, with the level of the whole report.
+
+    A warning is sent once a month: its ``throttle_token`` is ``prefix`` with month and year of ``now``.  A
+    critical report always goes, so it has none.
+    """
     day = 24 * 3600 * 40_000_000
     late = clocks.where(F.col("domclk") > warn_days * day).withColumn("critical", F.col("domclk") > critical_days * day)
     level = late.agg(F.when(F.bool_or("critical"), "critical").otherwise("warning").alias("level"))
-    return late.crossJoin(F.broadcast(level))
+    token = F.when(F.col("level") == "warning", F.concat(F.lit(prefix + "-"), month_token(now)))
+    return late.crossJoin(F.broadcast(level)).withColumn("throttle_token", token)
+
+
+def email_alert(rows: DataFrame, condition: str, description: str, receiver: str, body: Column, variables: Column, token: Column | None = None) -> DataFrame:
+    """An alert for each row: ``alert`` is the JSON of condition, desc, the mail (receiver, subject, body and
+    throttleToken, which is left out where null) and vars, a map."""
+    mail = F.struct(F.lit(receiver).alias("receiver"), F.lit(description).alias("subject"), body.alias("body"), (F.lit(None).cast("string") if token is None else token).alias("throttleToken"))
+    whole = F.struct(F.lit(condition).alias("condition"), F.lit(description).alias("desc"), mail.alias("dbnotify"), variables.alias("vars"))
+    return rows.withColumn("alert", F.to_json(whole))
 
 
 def message(rows: DataFrame, name: str, priority: str, *values: str) -> DataFrame:

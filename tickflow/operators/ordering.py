@@ -18,26 +18,33 @@ def backward_steps(hits: DataFrame, key: str = "hub_id", block: int = 1 << 20) -
     return order_violations(hits, key, block).groupBy(key).agg(F.count(F.lit(1)).alias("backward"))
 
 
-def enforced(hits: DataFrame, epsilon: int = 0, max_drops: int | None = None) -> DataFrame:
+def enforced(hits: DataFrame, epsilon: int = 0, max_drops: int | None = None, block: int = 1 << 20) -> DataFrame:
     """Each record of a channel with ``kept``, and for those behind the running maximum ``cause``.
 
     A record is retrograde when its time is below the greatest time before it; such records never raise
     that maximum, so it is a plain running maximum.  Within ``epsilon`` they are kept.  The cause is
     ``clock`` if the module's own clock went back too, else ``translation``.  With ``max_drops`` the job fails
-    when a channel drops more.
+    when a channel drops more.  Windows are over blocks of arrival and over summaries of blocks, so no task
+    has the whole history of a channel.
     """
-    before = Window.partitionBy("mbid").orderBy("seq")
+    blocked = hits.withColumn("__block", F.expr(f"seq div {block}"))
+    sums = blocked.groupBy("mbid", "__block").agg(F.max("utc").alias("__top"), F.max_by("domclk", "seq").alias("__clk"))
+    ahead = Window.partitionBy("mbid").orderBy("__block")
+    sums = sums.select("mbid", "__block", F.max("__top").over(ahead.rowsBetween(Window.unboundedPreceding, -1)).alias("__ahead"), F.lag("__clk").over(ahead).alias("__clk"))
+    inside = Window.partitionBy("mbid", "__block").orderBy("seq")
     out = (
-        hits.withColumn("top", F.max("utc").over(before.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("last_clk", F.lag("domclk").over(before))
+        blocked.join(sums, ["mbid", "__block"])
+        .withColumn("top", F.greatest(F.max("utc").over(inside.rowsBetween(Window.unboundedPreceding, -1)), "__ahead"))
+        .withColumn("last_clk", F.when(F.row_number().over(inside) > 1, F.lag("domclk").over(inside)).otherwise(F.col("__clk")))
         .withColumn("retrograde", F.coalesce(F.col("utc") < F.col("top"), F.lit(False)))
         .withColumn("kept", ~F.col("retrograde") | (F.col("top") - F.col("utc") <= epsilon))
         .withColumn("cause", F.when(F.col("retrograde"), F.when(F.col("domclk") < F.col("last_clk"), "clock").otherwise("translation")))
-        .drop("last_clk")
+        .drop("last_clk", "__block", "__ahead", "__clk")
     )
     if max_drops is not None:
-        drops = F.sum((~F.col("kept")).cast("int")).over(before.rowsBetween(Window.unboundedPreceding, 0))
-        out = out.withColumn("ok", F.assert_true(drops <= max_drops, F.lit("too many records out of order"))).where("ok is null").drop("ok")
+        drops = out.groupBy("mbid").agg(F.count_if(~F.col("kept")).alias("__drops"))
+        out = out.join(drops, "mbid")
+        out = out.withColumn("ok", F.assert_true(F.col("__drops") <= max_drops, F.lit("too many records out of order"))).where("ok is null").drop("ok", "__drops")
     return out
 
 
@@ -68,10 +75,17 @@ def prescaled(rows: DataFrame, n: int, key: str = "hub_id", block: int = 1 << 20
     return blocked.join(counts, [key, "__block"]).withColumn("__number", number).where(F.col("__number") % n == 0).drop("__block", "__before", "__number")
 
 
-def digitizers_merged(hits: DataFrame) -> DataFrame:
-    """Rank of each hit in its channel when both digitizers are merged by clock, the second first on ties."""
-    order = Window.partitionBy("mbid").orderBy("domclk", F.desc("atwd_chip"), "seq")
-    return hits.withColumn("rank", F.row_number().over(order))
+def digitizers_merged(hits: DataFrame, block: int = 60 * 40_000_000) -> DataFrame:
+    """Rank of each hit in its channel when both digitizers are merged by clock, the second first on ties.
+
+    Hits are ranked inside blocks of ``block`` clock counts (a minute), after the numbers of the blocks before.
+    """
+    blocked = hits.withColumn("__block", F.expr(f"domclk div {block}"))
+    counts = blocked.groupBy("mbid", "__block").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = Window.partitionBy("mbid").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("mbid", "__block", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    order = Window.partitionBy("mbid", "__block").orderBy("domclk", F.desc("atwd_chip"), "seq")
+    return blocked.join(counts, ["mbid", "__block"]).withColumn("rank", F.row_number().over(order) + F.col("__before")).drop("__block", "__before")
 
 
 def last_n(rows: DataFrame, key: str, n: int, order: str = "seq") -> DataFrame:

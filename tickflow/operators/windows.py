@@ -86,10 +86,11 @@ def not_ready(reads: DataFrame, expected: int = 11, key: str = "card") -> DataFr
     return streaks(reads, "miss", expected + 1, key).select(key, "seq", "streak")
 
 
-def failed_cards(reads: DataFrame, max_misses: int = 3600, max_errors: int = 11, key: str = "card") -> DataFrame:
-    """Cards that miss more than ``max_misses`` reads in a row, or have ``max_errors`` errors in a row."""
-    misses = streaks(reads, "miss", max_misses + 1, key).select(key).withColumn("reason", F.lit("misses"))
-    errors = streaks(reads, "error", max_errors, key).select(key).withColumn("reason", F.lit("errors"))
+def failed_cards(reads: DataFrame, max_misses: int = 3600, max_errors: int = 10, key: str = "card") -> DataFrame:
+    """Cards (key, reason) that fail: more than ``max_misses`` misses between good reads, or an error after more
+    than ``max_errors`` of them.  Only a good read starts the counts again: errors don't end a streak of misses."""
+    misses = streaks(reads.where("not error"), "miss", max_misses + 1, key).select(key).withColumn("reason", F.lit("misses"))
+    errors = streaks(reads.where("not miss"), "error", max_errors + 2, key).select(key).withColumn("reason", F.lit("errors"))
     return misses.union(errors).distinct()
 
 

@@ -72,6 +72,14 @@ def _(v):
     return monitor.count_message(v.hits.groupBy("hub_id", "mbid").agg(F.count(F.lit(1)).alias("n")), v.doms, "hits", "hub_id")
 
 
+@query("s09_alerts", """SELECT hub_id, '{"condition":"Busy hub","desc":"Hits of a hub","dbnotify":{"receiver":"shift@localhost","subject":"Hits of a hub","body":"' || count(*) || ' hits"' ||
+    CASE WHEN hub_id % 2 = 0 THEN ',"throttleToken":"busy-' || hub_id || '"' ELSE '' END || '},"vars":{"hits":' || count(*) || '}}' AS alert FROM hits GROUP BY hub_id""", ("hits",))
+def _(v):
+    n = v.hits.groupBy("hub_id").agg(F.count(F.lit(1)).alias("n"))
+    token = F.when(F.expr("hub_id % 2 = 0"), F.format_string("busy-%d", "hub_id"))
+    return monitor.email_alert(n, "Busy hub", "Hits of a hub", "shift@localhost", F.format_string("%d hits", "n"), F.create_map(F.lit("hits"), "n"), token).select("hub_id", "alert")
+
+
 # --- projections --------------------------------------------------------------------------------------------
 
 
@@ -123,7 +131,10 @@ def _(v):
     return records.secondary_header(v.hits.withColumn("fmt", F.expr("(k % 4) * 100 + 2"))).select("seq", "out_fmt", "out_len")
 
 
-@query("p10_hardware", "SELECT seq, mbid, temp_adc / 256.0 AS temperature, round((adc[3]::double / adc[1] + 0.095) / 0.009, 6) AS pressure, spe, mpe FROM moni WHERE rec_type = 200", ("moni",))
+CHANNELS = ", ".join([f"adc[{k + 1}] AS adc{k}" for k in range(8)] + [f"dac[{k + 1}] AS dac{k}" for k in range(16)])
+
+
+@query("p10_hardware", f"SELECT seq, mbid, version, temp_adc / 256.0 AS temperature, round((adc[3]::double / adc[1] + 0.095) / 0.009, 6) AS pressure, hv_set, hv_read, dac[10] AS spe_level, dac[9] AS mpe_level, {CHANNELS}, spe, mpe FROM moni WHERE rec_type = 200", ("moni",))
 def _(v):
     return records.hardware(v.moni).withColumn("pressure", F.round("pressure", 6))
 
@@ -231,7 +242,7 @@ def _(v):
     ("hits_edge",), f"ok AS (SELECT seq, hub_id, utc FROM hits_edge WHERE utc >= 0 AND utc <> {EOS})",
 )
 def _(v):
-    return filters.sane_times(filters.without_eos(v.hits_edge), HOUR, DAY).select("seq", "hub_id", "utc")
+    return filters.sane_times(filters.without_eos(v.hits_edge), HOUR).select("seq", "hub_id", "utc")
 
 
 @query("f05_registered", "SELECT mbid, count(*) AS n, mbid IN (SELECT mbid FROM doms) AS registered FROM hits_edge GROUP BY mbid", ("hits_edge", "doms"))
@@ -484,9 +495,11 @@ def _(v):
     return ranges.sender_counters(v.hits, readout(v), v.request_elements, 99_000_000_000_000_000)
 
 
-@query("a16_edge_times", "SELECT min(l) AS earliest_last, max(f) AS latest_first FROM (SELECT mbid, arg_min(utc, seq) AS f, arg_max(utc, seq) AS l FROM hits GROUP BY mbid)", ("hits",))
+@query("a16_edge_times", "SELECT 'seen' AS modules, min(l) AS earliest_last, max(f) AS latest_first FROM (SELECT mbid, arg_min(utc, seq) AS f, arg_max(utc, seq) AS l FROM hits GROUP BY mbid) UNION ALL SELECT 'all', 0, 0", ("hits",))
 def _(v):
-    return monitor.edge_times(v.hits, v.doms.join(v.hits.select("mbid"), "mbid", "left_semi"))
+    """Over the modules that sent hits, and over all: some never send any, so both times are 0 there."""
+    seen = monitor.edge_times(v.hits, v.doms.join(v.hits.select("mbid"), "mbid", "left_semi")).withColumn("modules", F.lit("seen"))
+    return seen.unionByName(monitor.edge_times(v.hits, v.doms).withColumn("modules", F.lit("all")))
 
 
 @query("a17_offset_range", "SELECT card, round(min(o), 3) AS least, round(max(o), 3) AS most, round(arg_max(o, seq), 3) AS current FROM offsets GROUP BY card", ("gps", "ntp", "tcal_points"), OFFSETS)
@@ -494,9 +507,17 @@ def _(v):
     return clocks.offset_range(offsets(v)).select("card", *[F.round(c, 3).alias(c) for c in ("least", "most", "current")])
 
 
-@query("a18_rollover", "SELECT mbid, domclk, domclk > 78 * 3456000000000 AS critical, CASE WHEN max(domclk) OVER () > 78 * 3456000000000 THEN 'critical' ELSE 'warning' END AS level FROM (SELECT mbid, max(domclk) * 28 AS domclk FROM hits GROUP BY mbid) WHERE domclk > 65 * 3456000000000", ("hits",))
+@query("a18_rollover", "SELECT mbid, domclk, domclk > 78 * 3456000000000 AS critical, CASE WHEN max(domclk) OVER () > 78 * 3456000000000 THEN 'critical' ELSE 'warning' END AS level, CASE WHEN max(domclk) OVER () <= 78 * 3456000000000 THEN 'dom-clock-alert-March-2024' END AS throttle_token FROM (SELECT mbid, max(domclk) * 28 AS domclk FROM hits GROUP BY mbid) WHERE domclk > 65 * 3456000000000", ("hits",))
+def _(v):
+    return monitor.rollover_report(v.hits.groupBy("mbid").agg((F.max("domclk") * 28).alias("domclk")), F.lit("2024-03-05").cast("timestamp"))
+
+
+@query("a18_warning", "SELECT hub_id, count(*) AS n, 'dom-clock-alert-' || strftime(timestamp '2024-01-01' + to_microseconds(max(last_utc) // 10000), '%B-%Y') AS throttle_token FROM (SELECT hub_id, mbid, max(utc) AS last_utc, max(domclk) * 25 AS domclk FROM hits GROUP BY ALL) WHERE domclk > 40 * 3456000000000 GROUP BY hub_id", ("hits",))
 def _(v):
-    return monitor.rollover_report(v.hits.groupBy("mbid").agg((F.max("domclk") * 28).alias("domclk")))
+    """A report that is never critical, and its token, for each hub."""
+    clocks = v.hits.groupBy("hub_id", "mbid").agg((F.max("domclk") * 25).alias("domclk"), F.max("utc").alias("last_utc"))
+    report = monitor.rollover_report(clocks, ticks.event_time("last_utc", 2024), 40, 10_000)
+    return report.groupBy("hub_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("throttle_token", "last_utc").alias("throttle_token"))
 
 
 @query("a19_scaler_timeline", "SELECT hub_id, (domclk + i * 65536) * 250 // 20000000000 * 20000000000 AS bin, sum(scalers[i + 1])::bigint AS scalers, count(*) AS n FROM supernova, range(8) AS r(i) GROUP BY ALL", ("supernova",))
@@ -521,7 +542,7 @@ def _(v):
 @query("w02_enforced", f"""SELECT mbid, seq, retrograde, NOT retrograde OR top - utc <= {HOUR} AS kept, CASE WHEN retrograde THEN CASE WHEN domclk < last_clk THEN 'clock' ELSE 'translation' END END AS cause
     FROM (SELECT *, coalesce(utc < top, false) AS retrograde FROM (SELECT mbid, seq, utc, domclk, max(utc) OVER (PARTITION BY mbid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, lag(domclk) OVER (PARTITION BY mbid ORDER BY seq) AS last_clk FROM hits_disordered))""", ("hits_disordered",))
 def _(v):
-    return ordering.enforced(v.hits_disordered, HOUR).select("mbid", "seq", "retrograde", "kept", "cause")
+    return ordering.enforced(v.hits_disordered, HOUR, block=1000).select("mbid", "seq", "retrograde", "kept", "cause")
 
 
 @query("w03_moving_average", 'SELECT key, seq, round(avg(x) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN 8 PRECEDING AND CURRENT ROW), 6) AS sma FROM samples', ("samples",))
@@ -604,6 +625,14 @@ def _(v):
     return windows.not_ready(reads, 4).withColumn("streak", F.col("streak").cast("long"))
 
 
+@query("w14_failed", """SELECT DISTINCT card, reason FROM (SELECT card, count(*) FILTER (miss) OVER r AS misses, count(*) FILTER (error) OVER r AS errors FROM (
+    SELECT *, count(*) FILTER (NOT miss AND NOT error) OVER (PARTITION BY card ORDER BY seq) AS good FROM (SELECT seq, card, k % 10 > 3 AS miss, k % 10 = 3 AS error FROM gps)) WINDOW r AS (PARTITION BY card, good))
+    JOIN (VALUES ('misses', 6, 999999), ('errors', 999999, 2)) t(reason, m, e) ON misses > m OR errors > e + 1""", ("gps",))
+def _(v):
+    reads = v.gps.select("seq", "card", F.expr("k % 10 > 3").alias("miss"), F.expr("k % 10 = 3").alias("error"))
+    return windows.failed_cards(reads, 6, 2)
+
+
 GOOD = f"""edges AS (SELECT hub_id, mbid, min(utc) AS f, max(utc) AS l FROM hits GROUP BY ALL),
     firsts AS (SELECT hub_id, list_sort(list(f)) AS t FROM edges GROUP BY hub_id), lasts AS (SELECT hub_id, list_sort(list(l)) AS t FROM edges GROUP BY hub_id),
     fi AS (SELECT hub_id, t, len(t) // 2 AS h, coalesce(list_min([x FOR x IN range(1, len(t)) IF t[x + 1] - t[x] > {HOUR}]), 0) AS i FROM firsts),
@@ -626,7 +655,7 @@ def _(v):
 @query("w17_digitizers", "SELECT mbid, seq, row_number() OVER (PARTITION BY mbid ORDER BY domclk // 1000000000000, atwd_chip DESC, seq) AS rank FROM hits", ("hits",))
 def _(v):
     coarse = v.hits.withColumn("domclk", F.expr("domclk div 1000000000000"))
-    return ordering.digitizers_merged(coarse).select("mbid", "seq", F.col("rank").cast("long").alias("rank"))
+    return ordering.digitizers_merged(coarse, 3).select("mbid", "seq", F.col("rank").cast("long").alias("rank"))
 
 
 @query("w18_held", "SELECT a.mbid, a.seq FROM (SELECT mbid, seq, dom_rx + (k - 50) * 900000 AS domclk FROM tcal) a JOIN (SELECT mbid, max(upper) AS reach FROM chain WHERE outcome = 'accepted' GROUP BY mbid) USING (mbid) WHERE domclk * 250 <= reach", ("tcal",), CHAIN, True)
@@ -635,6 +664,13 @@ def _(v):
     return calibrate.held_until_calibrated(asked, calibrate.calibrated(stamps(v)).where("outcome = 'accepted'")).select("mbid", "seq")
 
 
+@query("w18_gate", """SELECT mbid, seq, CASE WHEN o IS NULL THEN NULL ELSE greatest(seq, o) END AS release_seq, CASE WHEN o IS NULL THEN 'end' WHEN o = m THEN 'message' ELSE 'limit' END AS opened_by FROM (
+    SELECT mbid, seq, m, least(m, l) AS o FROM (SELECT mbid, seq, min(seq) FILTER (text LIKE 'Starting run%') OVER (PARTITION BY mbid) AS m, min(seq) FILTER (rn = 10) OVER (PARTITION BY mbid) AS l
+    FROM (SELECT mbid, seq, text, row_number() OVER (PARTITION BY mbid ORDER BY seq) AS rn FROM moni)))""", ("moni",))
+def _(v):
+    return calibrate.gated(v.moni.select("mbid", "seq", "text"), 12).select("mbid", "seq", "release_seq", "opened_by")
+
+
 LATENCY = f"""numbered_hits AS (SELECT mbid, seq, utc, domclk, k, row_number() OVER (PARTITION BY mbid ORDER BY seq) AS rn FROM hits),
     pick AS (SELECT mbid, seq, rn, domclk AS last, true AS go FROM numbered_hits WHERE rn = 1
       UNION ALL SELECT n.mbid, n.seq, n.rn, CASE WHEN n.domclk - p.last > 400000000 THEN n.domclk ELSE p.last END, n.domclk - p.last > 400000000 FROM pick p JOIN numbered_hits n ON n.mbid = p.mbid AND n.rn = p.rn + 1)"""

@@ -2,35 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import records
-from ..operators import filters, monitor
+from ..operators import filters
 
+from ..schemas import HOUR
 from ..scratch import scratch_path
 from ..sources import records as binary
 from ..sources import spool
 from ..sources.views import Views
 from ..streaming import queries as streams
-from .queries import ACCEPTS, CHAIN, SLICE, WIDE, query, stamps
+from .queries import ACCEPTS, CHAIN, FINE_SQL, SLICE, WAVE, WIDE, query, stamps
 
-#: Files, and so micro-batches, that a table is cut into.
+#: Micro-batches that a table is cut into.
 BATCHES = 4
 
 
-def replayed_stream(v: Views, rows: DataFrame, name: str, order: str = "seq") -> DataFrame:
-    """``rows`` as a stream: written in ``order`` as a few files, read one a micro-batch."""
+def replayed_stream(v: Views, rows: DataFrame, name: str, order: str = "seq", part: Column | None = None) -> DataFrame:
+    """``rows`` as a stream of BATCHES micro-batches in ``order`` (or by number ``part``); a batch is several files, written in parallel."""
     path = scratch_path(v.spark, name)
-    for k, part in enumerate(_parts(rows, order)):
-        part.write.parquet(f"{path}/part={k}")
-    return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
-
-
-def _parts(rows: DataFrame, order: str) -> list[DataFrame]:
+    files = max(2, v.spark.sparkContext.defaultParallelism // 2)
     low, high = rows.agg(F.min(order), F.max(order)).first()
     step = ((high or 0) - (low or 0)) // BATCHES + 1
-    return [rows.where(F.col(order).between(low + k * step, low + (k + 1) * step - 1)).coalesce(1) for k in range(BATCHES)] if low is not None else [rows]
+    part = F.expr(f"cast(({order} - {low or 0}) div {step} as int)") if part is None else part
+    numbered = rows.withColumn("__part", part)
+    for k in range(BATCHES):
+        numbered.where(F.col("__part") == k).drop("__part").repartition(files).write.parquet(f"{path}/part={k}")
+    return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path)
 
 
 def finished(v: Views, stream: DataFrame, name: str) -> DataFrame:
@@ -85,9 +85,28 @@ def _(v):
 BINS = """SELECT mbid, start_us, count(*) AS n FROM (SELECT mbid, utc // 10000 // 43200000000 * 43200000000 AS start_us FROM hits) WHERE start_us + 43200000000 <= (SELECT max(utc) // 10000 FROM hits) - 3600000000 GROUP BY ALL"""
 
 
-@query("t01_late_data", "SELECT count(*) AS n FROM (" + BINS + ")", ("hits",))
+PARTS = "parts AS (SELECT h.*, (seq - lo) // step AS part FROM hits h, (SELECT min(seq) AS lo, (max(seq) - min(seq)) // 4 + 1 AS step FROM hits))"
+LATE = PARTS + """, sent AS (SELECT mbid, utc // 10000 // 43200000000 * 43200000000 AS start_us, CASE WHEN k % 10 = 0 THEN 3 ELSE part END AS part FROM parts),
+    marks AS (SELECT max(utc) FILTER (part < 2 AND k % 10 <> 0) // 10000000 * 1000 - 3600000000 AS before_last, max(utc) // 10000000 * 1000 - 3600000000 AS at_end FROM parts),
+    closed AS (SELECT mbid, start_us, count(*) FILTER (part < 3 OR start_us + 43200000000 > before_last) AS n, count(*) AS arrived FROM sent, marks WHERE start_us + 43200000000 <= at_end GROUP BY ALL)"""
+
+
+@query("t01_late_data", "SELECT count(*) FILTER (n > 0) AS n_bins, sum(n)::bigint AS n_counted, sum(arrived - n)::bigint AS n_late FROM closed", ("hits",), LATE)
 def _(v):
-    return windowed(v).agg(F.count(F.lit(1)).alias("n"))
+    """A tenth of the hits arrive in the last batch: those of bins that came out before it are late and rejected.
+
+    A bin comes out in the batch after the one that moved the watermark past it, so the last batch still takes
+    what belongs to bins that only the third one passed.
+    """
+    low, high = v.hits.agg(F.min("seq"), F.max("seq")).first()
+    step = ((high or 0) - (low or 0)) // BATCHES + 1
+    part = F.when(F.col("k") % 10 == 0, BATCHES - 1).otherwise(F.expr(f"cast((seq - {low or 0}) div {step} as int)"))
+    rows = v.hits.select("seq", "mbid", "utc", "k")
+    done = windowed(v, rows, part)
+    bins = done.agg(F.count(F.lit(1)).alias("n_bins"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_counted"), F.max("start_us").alias("last_us"))
+    arrived = rows.withColumn("start_us", F.expr("utc div 10000 div 43200000000 * 43200000000")).crossJoin(F.broadcast(bins)).where("start_us <= last_us")
+    late = arrived.groupBy("n_bins", "n_counted").agg(F.count(F.lit(1)).alias("n"))
+    return late.select("n_bins", "n_counted", (F.col("n") - F.col("n_counted")).alias("n_late"))
 
 
 @query("t02_tumbling", BINS, ("hits",))
@@ -95,8 +114,9 @@ def _(v):
     return windowed(v)
 
 
-def windowed(v: Views) -> DataFrame:
-    hits = streams.with_event_time(replayed_stream(v, v.hits.select("seq", "mbid", "utc"), "hits"), 2024, "1 hour")
+def windowed(v: Views, rows: DataFrame | None = None, part: Column | None = None) -> DataFrame:
+    rows = v.hits.select("seq", "mbid", "utc") if rows is None else rows
+    hits = streams.with_event_time(replayed_stream(v, rows, "hits", part=part), 2024, "1 hour")
     done = finished(v, streams.binned_counts(hits, "12 hours"), "bins")
     return done.select("mbid", (F.unix_micros("start") - 1704067200000000).alias("start_us"), "n")
 
@@ -105,7 +125,8 @@ def windowed(v: Views) -> DataFrame:
 def _(v):
     events = filters.in_runs(v.hits, v.runs).select("run_number", "seq", "mbid", "utc", F.lit(False).alias("ends"))
     last = events.agg(F.max("seq").alias("top"))
-    ends = v.runs.crossJoin(last).selectExpr("run_number", "top + 1 as seq", "0L as mbid", "stop_utc + 1 as utc", "true as ends")
+    modules = events.select("run_number", "mbid").distinct().join(F.broadcast(v.runs), "run_number")
+    ends = modules.crossJoin(F.broadcast(last)).selectExpr("run_number", "top + 1 as seq", "mbid", "stop_utc + 1 as utc", "true as ends")
     return finished(v, streams.run_bins(replayed_stream(v, events.unionByName(ends), "events"), WIDE), "run-bins")
 
 
@@ -137,22 +158,32 @@ def _(v):
     return out.groupBy("mbid").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("n_kept"))
 
 
-@query("t06_continuous_readout", f"SELECT uid, elem, seq, hub_id, mbid, utc FROM hits JOIN request_elements ON utc BETWEEN first_utc AND last_utc WHERE {ACCEPTS} AND elem = 0", ("hits", "request_elements"))
+def asked(v: Views) -> DataFrame:
+    """Readout requests as they come: one row with all elements."""
+    return v.request_elements.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("elem", "readout_type", "source_id", "first_utc", "last_utc", "dom_id"))).alias("elements"))
+
+
+@query("t06_continuous_readout", f"SELECT uid, min(elem) AS elem, seq, hub_id, mbid, utc FROM hits JOIN request_elements ON utc BETWEEN first_utc AND last_utc WHERE {ACCEPTS} GROUP BY ALL", ("hits", "request_elements"))
 def _(v):
     hits = replayed_stream(v, v.hits.select("seq", "hub_id", "mbid", "utc"), "hits")
-    elements = replayed_stream(v, v.request_elements.where("elem = 0"), "elements", "uid")
-    return finished(v, streams.continuous_readout(hits, elements, 2024, "4 hours"), "readout")
+    return finished(v, streams.continuous_readout(hits, replayed_stream(v, asked(v), "requests", "uid"), 2024, "4 hours"), "readout")
+
 
+#: Time in microseconds of 2024 up to which both sides of the readout have been seen, less the delay of an hour.
+KEPT = f"""pieces AS (SELECT uid, elem, s, least(last_utc, (s + 1) * {HOUR} - 1) // 10000 AS last_us FROM request_elements, LATERAL unnest(range(first_utc // {HOUR}, last_utc // {HOUR} + 1)) AS r(s)),
+    marks AS (SELECT least((SELECT max(utc) FROM hits) // 10000000, (SELECT max(last_us) FROM pieces) // 1000) * 1000 - 3600000000 AS mark)"""
 
-@query("t07_state_eviction", "SELECT count(*) AS arrived, true AS evicted FROM (SELECT seq FROM hits UNION ALL SELECT uid FROM request_elements WHERE elem = 0)", ("hits", "request_elements"))
+
+@query("t07_state_eviction", "SELECT (SELECT count(*) FROM hits) + (SELECT count(*) FROM pieces) AS arrived, (SELECT count(*) FROM hits, marks WHERE utc // 10000 > mark - 3600000000) + (SELECT count(*) FROM pieces, marks WHERE last_us > mark) AS kept", ("hits", "request_elements"), KEPT)
 def _(v):
-    """Rows that arrived at the continuous readout, and whether its state ends with fewer."""
-    hits, elements = v.hits.select("seq", "hub_id", "mbid", "utc"), v.request_elements.where("elem = 0")
-    joined = streams.continuous_readout(replayed_stream(v, hits, "hits"), replayed_stream(v, elements, "elements", "uid"), 2024, "1 hour")
+    """Rows that the continuous readout took into its state, and those that are still there at the end."""
+    hits, requests = v.hits.select("seq", "hub_id", "mbid", "utc"), asked(v)
+    joined = streams.continuous_readout(replayed_stream(v, hits, "hits"), replayed_stream(v, requests, "requests", "uid"), 2024, "1 hour")
     running = joined.writeStream.format("noop").option("checkpointLocation", scratch_path(v.spark, "state")).trigger(availableNow=True).start()
     running.awaitTermination()
-    kept = sum(o["numRowsTotal"] for o in running.lastProgress["stateOperators"])
-    return hits.select("seq").union(elements.select("uid")).agg(F.count(F.lit(1)).alias("arrived")).select("arrived", (F.lit(kept) < F.col("arrived")).alias("evicted"))
+    seen = [o for p in running.recentProgress for o in p["stateOperators"]]
+    kept, taken = sum(o["numRowsTotal"] for o in running.lastProgress["stateOperators"]), sum(o["numRowsUpdated"] for o in seen)
+    return v.spark.createDataFrame([(taken, kept)], "arrived bigint, kept bigint")
 
 
 @query("t08_run_switching", "SELECT run_number, mbid, count(*) AS n FROM hits JOIN runs ON utc BETWEEN start_utc AND stop_utc GROUP BY ALL", ("hits", "runs"))
@@ -161,11 +192,11 @@ def _(v):
     hits = replayed_stream(v, v.hits.select("seq", "mbid", "utc"), "hits")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(path)
 
-    per_batch = filters.in_runs(hits, v.runs).select("run_number", "mbid")
-    per_batch.writeStream.foreachBatch(keep).option("checkpointLocation", scratch_path(v.spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    return monitor.run_counter(v.spark.read.schema(per_batch.schema).parquet(path + "/batch=*"), "run_number", extra=("mbid",))
+    counts = streams.counts_by_run(hits, v.runs)
+    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", scratch_path(v.spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema(counts.schema).parquet(path)
 
 
 @query("t09_batch_sink", "SELECT count(*) AS n, count(*) FILTER (lc_mode <> 0 OR trigger_mode = 4) AS n_thin FROM hits", ("hits",))
@@ -180,13 +211,12 @@ def _(v):
 # --- choices by name ----------------------------------------------------------------------------------------
 
 
-@query("x03_method_by_name", "SELECT seq, true AS same FROM tcal", ("tcal",))
+@query("x03_method_by_name", """SELECT w.seq, unknown FROM waves w
+    LEFT JOIN (SELECT seq, round(arg_max(i + (0 - a) / (b - a) - 48, i), 6) AS unknown FROM samples WHERE i BETWEEN 31 AND 46 AND a > 0 AND b <= 0 GROUP BY seq) USING (seq)""", ("tcal",), FINE_SQL)
 def _(v):
     """An unknown method is zero crossing."""
-    from .queries import WAVE
-
     w = v.tcal.select("seq", F.expr(WAVE).alias("w"))
-    return w.select("seq", records.fine_correction("w", "no such method").eqNullSafe(records.fine_correction("w")).alias("same"))
+    return w.select("seq", F.round(records.fine_correction("w", "no such method") / 50e-9, 6).alias("unknown"))
 
 
 CONVERTERS = {"simple": lambda hits, doms: records.thin_hit(hits), "simpler": records.thinner_hit}

@@ -98,7 +98,7 @@ class Views:
         return self.events.where("event_type = 'click'").selectExpr(
             "event_id as seq", "user_id as mbid", "cast(1 + user_id % 3 as int) as hub_id", "utc", "utc div 250 as domclk", "if(k % 3 = 0, 200, if(k % 3 = 1, 203, 7)) as rec_type",
             "case k % 10 when 0 then concat('LBM OVERFLOW ', k) when 1 then 'Starting run' else 'ok' end as text",
-            "array(1000 + k, 0, 600 + k) as adc", "5000 + k as temp_adc", "k as spe", "k div 2 as mpe",
+            "array(1000 + k, 0, 600 + k, k, 2 * k, 3 * k, 4 * k, 5 * k) as adc", "transform(sequence(0, 15), i -> k + 10 * i) as dac", "1500 + k as hv_set", "1490 + k as hv_read", "1 + k % 2 as version", "5000 + k as temp_adc", "k as spe", "k div 2 as mpe",
         )
 
     @property
@@ -151,7 +151,7 @@ SQL = {
     "supernova": """SELECT event_id AS seq, user_id AS mbid, 1 + user_id % 3 AS hub_id, rn * 524288 + CASE WHEN k = 0 THEN 65536 ELSE 0 END AS domclk,
         [(k + i) % 16 FOR i IN range(8)] AS scalers FROM numbered""",
     "moni": """SELECT event_id AS seq, user_id AS mbid, 1 + user_id % 3 AS hub_id, utc, utc // 250 AS domclk, CASE k % 3 WHEN 0 THEN 200 WHEN 1 THEN 203 ELSE 7 END AS rec_type,
-        CASE k % 10 WHEN 0 THEN 'LBM OVERFLOW ' || k WHEN 1 THEN 'Starting run' ELSE 'ok' END AS text, [1000 + k, 0, 600 + k] AS adc, 5000 + k AS temp_adc, k AS spe, k // 2 AS mpe
+        CASE k % 10 WHEN 0 THEN 'LBM OVERFLOW ' || k WHEN 1 THEN 'Starting run' ELSE 'ok' END AS text, [1000 + k, 0, 600 + k, k, 2 * k, 3 * k, 4 * k, 5 * k] AS adc, [k + 10 * i FOR i IN range(16)] AS dac, 1500 + k AS hv_set, 1490 + k AS hv_read, 1 + k % 2 AS version, 5000 + k AS temp_adc, k AS spe, k // 2 AS mpe
         FROM ev WHERE event_type = 'click'""",
     "gps": """SELECT event_id AS seq, user_id % 8 AS card, dayofyear(ts) AS day, hour(ts) AS hour, minute(ts) AS minute, second(ts) AS second, CASE WHEN k < 80 THEN 32 ELSE 46 END AS quality,
         (us // 1000000) * 20000000 + 12345 + CASE WHEN k = 99 THEN 1 ELSE 0 END AS dorclk, 0 AS leap, k FROM ev WHERE event_type = 'signup'""",

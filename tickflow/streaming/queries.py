@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import pickle
+from collections import deque
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.ticks import DOM_TICKS, event_time
 from ..operators.calibrate import SETTLED, WEIGHT, WILD, chain_step
 from ..operators.filters import forwarded, in_runs
-from ..operators.ranges import accepts
-from ..schemas import HOUR
+from ..operators.ranges import accepts, taken_before
+from ..schemas import HOUR, SECOND
 
 #: Isochrons that are kept, and records that may wait for calibration.
 HISTORY, DEFERRED = 20, 5000
@@ -31,36 +34,52 @@ def binned_counts(hits: DataFrame, width: str = "10 minutes", key: str = "mbid")
 
 
 def run_bins(events: DataFrame, width: int, key: str = "run_number") -> DataFrame:
-    """Counts by bin of each run: a bin comes out when a later one begins, the rest when the run ends.
+    """Counts by bin of each run and module: a bin comes out when a later one of the module begins, the rest when the run ends.
 
-    ``events`` has run_number, mbid, utc and ``ends``, true for the event that ends the run.  State is the
-    counts of bins that are open; events of bins already put out are dropped.
+    ``events`` has run_number, mbid, utc and ``ends``, true for the event that ends the run for the module.
+    State is the end of the last bin put out and the counts of bins that are open, usually one; events of bins
+    already put out are dropped.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, counts = pickle.loads(state.get[0]) if state.exists else (-1, {})
-        rows = pd.concat(list(batches)).sort_values(["utc", "ends"])
-        out = []
-        for mbid, utc, ends in zip(rows.mbid, rows.utc, rows.ends, strict=True):
-            bin_ = int(utc) // width * width
-            ready = [b for b in counts if ends or b < bin_]
-            for b in sorted(ready):
-                out += [(k[0], b, m, n) for m, n in sorted(counts.pop(b).items())]
-                done = max(done, b)
-            if not ends and bin_ > done:
-                counts.setdefault(bin_, {}).setdefault(int(mbid), 0)
-                counts[bin_][int(mbid)] += 1
-        state.update((pickle.dumps((done, counts)),))
+        done, *open_ = state.get if state.exists else (-1, [], [])
+        counts = dict(zip(*open_, strict=True))
+        ended = False
+        for rows in batches:
+            ended = ended or bool(rows.ends.any())
+            bins, n = np.unique(rows.utc.to_numpy()[~rows.ends.to_numpy(bool)] // width * width, return_counts=True)
+            for bin_, m in zip(bins.tolist(), n.tolist(), strict=True):
+                if bin_ > done:
+                    counts[bin_] = counts.get(bin_, 0) + m
+        ready = sorted(b for b in counts if ended or b < max(counts))
+        out = [(k[0], b, k[1], counts.pop(b)) for b in ready]
+        state.update((max([done, *ready]), list(counts), list(counts.values())))
         yield pd.DataFrame(out, columns=[key, "bin", "mbid", "n"])
 
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} int, bin bigint, mbid bigint, n bigint", "state binary", "append", GroupStateTimeout.NoTimeout)
+    schema = "done bigint, bins array<bigint>, counts array<bigint>"
+    return events.groupBy(key, "mbid").applyInPandasWithState(step, f"{key} int, bin bigint, mbid bigint, n bigint", schema, "append", GroupStateTimeout.NoTimeout)
+
+
+class Record(NamedTuple):
+    """A hit or a calibration, in the order in which a channel takes them."""
+
+    seq: int
+    kind: str
+    mbid: int
+    domclk: int
+    t0: int
+    t1: int
+    t2: int
+    t3: int
+    bad: bool
+    gps_offset: int
 
 
 class Channel:
     """State of a channel: the calibration chain, its isochrons, hits that wait, and the greatest time put out."""
 
     def __init__(self, threshold: float, weight: float, settled: int):
-        self.chain, self.isochrons, self.waiting, self.top = (0, None, None, (None, 0)), [], [], None
+        self.chain, self.isochrons, self.waiting, self.top = (0, None, None, (None, 0)), [], deque(), None
         self.rule = threshold, weight, settled
 
     def calibrate(self, row) -> None:
@@ -80,7 +99,7 @@ class Channel:
     def released(self) -> Iterator[tuple[int, int, bool]]:
         """(seq, utc, kept) of the hits that can go, in order of arrival; steps back in time are not kept."""
         while self.waiting and self.reached(self.waiting[0][1]):
-            seq, clock = self.waiting.pop(0)
+            seq, clock = self.waiting.popleft()
             utc = self.translate(clock)
             kept = self.top is None or utc >= self.top
             self.top = utc if kept else self.top
@@ -96,12 +115,13 @@ def calibrated_hits(records: DataFrame, threshold: float = WILD, weight: float =
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         channel: Channel = pickle.loads(state.get[0]) if state.exists else Channel(threshold, weight, settled)
+        rows = [r for batch in batches for r in zip(*(batch[c].tolist() for c in Record._fields), strict=True)]
         out = []
-        for row in pd.concat(list(batches)).sort_values(["seq", "kind"]).itertuples(index=False):
+        for row in map(Record._make, sorted(rows)):
             if row.kind == "tcal":
                 channel.calibrate(row)
             else:
-                channel.waiting.append((int(row.seq), int(row.domclk) * DOM_TICKS))
+                channel.waiting.append((row.seq, row.domclk * DOM_TICKS))
             out += channel.released()
             if len(channel.waiting) > DEFERRED:
                 raise ValueError(f"channel {k[0]} waits for calibration with {len(channel.waiting)} hits")
@@ -111,19 +131,24 @@ def calibrated_hits(records: DataFrame, threshold: float = WILD, weight: float =
     return records.groupBy("mbid").applyInPandasWithState(step, "mbid bigint, seq bigint, utc bigint, kept boolean", "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def continuous_readout(hits: DataFrame, elements: DataFrame, year: int, delay: str = "1 hour", slice_ticks: int = 4 * HOUR) -> DataFrame:
-    """Hits of each request element as both arrive: a stream-stream join by time slice.
+def continuous_readout(hits: DataFrame, requests: DataFrame, year: int, delay: str = "1 hour", slice_ticks: int = HOUR) -> DataFrame:
+    """Hits of each request as both arrive, once a request: a stream-stream join by time slice.
 
-    The range condition on event times lets Spark drop hits and elements that no later row can meet.
-    Elements are cut at slices so that the join is an equi-join; a hit is in one slice, so it meets each element once.
+    ``requests`` has uid and ``elements``, an array of structs.  Elements are cut at slices, so that the join
+    is an equi-join and each part is at most as long as a slice: that bound, with the range condition on
+    event times, lets Spark drop hits and parts that no later row can meet, however long an element is.  A hit
+    is in one slice, so it meets an element once; one that an earlier element of the request takes is left to that.
     """
     h = with_event_time(hits.select("seq", "hub_id", "mbid", "utc"), year, delay).withColumn("slice", F.expr(f"utc div {slice_ticks}"))
-    e = elements.withColumn("slice", F.explode(F.sequence(F.expr(f"first_utc div {slice_ticks}"), F.expr(f"last_utc div {slice_ticks}"))))
-    e = e.withColumn("first_ts", event_time("first_utc", year)).withColumn("last_ts", event_time("last_utc", year)).withWatermark("last_ts", delay)
-    e = e.withColumnRenamed("slice", "e_slice")
+    e = requests.select("uid", F.explode("elements").alias("one"), "elements").withColumn("earlier", F.filter("elements", lambda x: x["elem"] < F.col("one.elem")))
+    e = e.select("uid", "one.*", "earlier").where("first_utc <= last_utc")
+    e = e.withColumn("e_slice", F.explode(F.sequence(F.expr(f"first_utc div {slice_ticks}"), F.expr(f"last_utc div {slice_ticks}"))))
+    e = e.withColumn("part_first", F.greatest("first_utc", F.expr(f"e_slice * {slice_ticks}"))).withColumn("part_last", F.least("last_utc", F.expr(f"(e_slice + 1) * {slice_ticks} - 1")))
+    e = e.withColumn("first_ts", event_time("part_first", year)).withColumn("last_ts", event_time("part_last", year)).withWatermark("last_ts", delay)
+    long = F.expr(f"interval {-(-slice_ticks // SECOND)} seconds")
     within = (F.col("slice") == F.col("e_slice")) & F.col("utc").between(F.col("first_utc"), F.col("last_utc")) & (F.col("event_ts") >= F.col("first_ts")) & (F.col("event_ts") <= F.col("last_ts"))
-    met = h.join(e, within & (F.col("last_ts") <= F.col("event_ts") + F.expr("interval 4 hours")), "inner")
-    return met.where(accepts()).select("uid", "elem", "seq", "hub_id", "mbid", "utc")
+    met = h.join(e, within & (F.col("last_ts") <= F.col("event_ts") + long), "inner")
+    return met.where(accepts() & ((F.size("earlier") == 0) | ~taken_before())).select("uid", "elem", "seq", "hub_id", "mbid", "utc")
 
 
 def counts_by_run(hits: DataFrame, runs: DataFrame, key: str = "mbid") -> DataFrame:
