@@ -105,9 +105,18 @@ def test_contaminated_equals_brute_force(spark, make_docs, block_chars):
             item = decontam.normal(item)
             if len(item) >= 20 and (d := plain_distance(item, decontam.normal(text))) <= len(item) // 20:
                 want.append((str(i), k, d))
+            elif 0 < len(item) < 20 and f" {item} " in f" {decontam.normal(text)} ":
+                want.append((str(i), k, 0))
     assert got == sorted(want) and len(want) > 20
     assert decontam.contaminated(make_docs(docs).where("doc_id = 0"), bench).count() == 0
-    assert decontam.contaminated(make_docs(docs), bench.where("item_id > 80")).count() == 0
+    assert decontam.contaminated(make_docs(docs), bench.where("item_id > 80 and item_id < 92")).count() == 0
+
+
+def test_short_items_stand_as_whole_words(spark, make_docs):
+    docs = make_docs([(1, "so tiny."), (2, "destiny, tinys"), (3, "destiny (TINY)"), (4, "これは何ですかと"), (5, "tiny")])
+    bench = spark.createDataFrame([(1, "tiny"), (2, "何ですか"), (3, " "), (4, None)], "item_id int, text string")
+    found = decontam.contaminated(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance, r.match_end) for r in found) == [(1, 1, 0, 7), (3, 1, 0, 13), (4, 2, 0, 7), (5, 1, 0, 4)]
 
 
 # --- token files --------------------------------------------------------------------------------------------
@@ -225,11 +234,29 @@ def test_toxicity_held_out_and_misspelled(spark, make_docs, no_docs):
     assert toxicity.toxicity(no_docs, labels).count() == 0
 
 
-def test_quotation_weighs_apart():
-    lexicon = toxicity.Lexicon({"grumbel": 2.0}, {})
-    plain = toxicity.features("you are a grumbel today", lexicon)
-    for text in ('they wrote "you grumbel" on the wall', "he said you are a grumbel today"):
-        assert plain[0] > 0 == plain[1] and toxicity.features(text, lexicon)[1] > 0
+def test_quotation_and_edits_of_a_hit():
+    lexicon = toxicity.Lexicon({"grumbel": 2.0}, {"zonk": 1.0})
+    evidence = lambda text: float(np.expm1(toxicity.features(text, lexicon)[0]))
+    assert np.isclose(evidence("you are a grumbel today"), 2) and np.isclose(evidence("you are a grumbl today"), 2 * toxicity.EDITED)
+    for text in ('they wrote "you grumbel" on the wall', "he said you are a grumbel today", "er sagte du bist ein grumbel"):
+        assert np.isclose(evidence(text), 2 * toxicity.QUOTED) and toxicity.features(text, lexicon)[1] == 0
+    assert evidence("zonk") == 0 and np.isclose(evidence("zonkish"), 1)
+    own = toxicity.Lexicon({"grumbel": 2.0}, {}, frozenset(["grummel"]))
+    assert own.match("grummel") is None and own.match("grumbex") == (2.0, False)
+
+
+def test_misspelt_terms_score_near_exact_ones_and_quoted_ones_low():
+    model = toxicity.fit([(t, y) for _, t, y in toxic_rows(600)], 0.3)
+    assert (model.weights >= 0).all() and model.weights.any()
+    fill = [f"word{k % 50}" for k in range(150)]
+
+    def score(n, *terms):
+        middle = n // 2
+        return model.score(" ".join([*fill[:middle], *terms, *fill[middle:n]]))
+
+    for n in (10, 40, 150):
+        exact, edited, quoted = score(n, "grumbel", "zonkish"), score(n, "grumbbel", "zonkixh"), score(n, '"grumbel', 'zonkish"')
+        assert exact > 0.7 and exact - edited < 0.1 and quoted < exact - 0.3, (n, exact, edited, quoted)
 
 
 # --- pipeline -----------------------------------------------------------------------------------------------

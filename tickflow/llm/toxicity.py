@@ -17,11 +17,18 @@ from .langid import held_out, training_rows
 
 WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that can be lexicon entries, and the least length of a term that is matched with an edit.
-STEMS, FUZZY = (3, 4, 5, 6), 5
+STEMS, FUZZY = (3, 4, 5, 6, 7, 8), 5
+#: Evidence of a hit with an edit and of one in quotation, as parts of that of an exact hit in plain use.
+EDITED, QUOTED = 0.9, 0.1
 #: Words on either side of a hit that make its window.
 WINDOW = 6
-#: Words by which a hit counts as reported speech, and quotation marks.
-REPORTING = frozenset("said says quote quoted quoting called wrote written word words term slur meaning example reported cites citing".split())
+# Words by which a hit counts as reported speech, in English, German, French and Spanish, and quotation marks.
+REPORTING = frozenset(
+    "said says quote quoted quoting called wrote written word words term slur meaning example reported cites citing "
+    "sagte sagt zitat zitiert nannte genannt schrieb wort wörter begriff bedeutung beispiel berichtete "
+    "dit disait cite cité citation appelé écrit mot mots terme insulte exemple rapporte "
+    "dijo dice cita citó citado llamó llamado escribió palabra palabras término insulto ejemplo informó".split()
+)
 QUOTES = "\"“”«»„‟"
 #: Distinct words that a worker remembers the lexicon entry of.
 REMEMBERED = 100_000
@@ -29,10 +36,15 @@ REMEMBERED = 100_000
 
 @dataclass
 class Lexicon:
-    """Terms and beginnings with their weights, as a trie; ``match`` gives a word's entry, exact or one edit away."""
+    """Terms and beginnings with their weights, as a trie; ``match`` gives a word's entry, exact or one edit away.
+
+    A beginning stands for longer words only.  ``plain`` are words one edit from a term that other texts use too:
+    they are words of their own, no misspelt terms.
+    """
 
     terms: dict[str, float]
     stems: dict[str, float]
+    plain: frozenset[str] = frozenset()
     trie: dict = field(default_factory=dict)
     known: dict[str, tuple[float, bool] | None] = field(default_factory=dict)
 
@@ -58,13 +70,13 @@ class Lexicon:
         return self.known[word]
 
     def _match(self, word: str) -> tuple[float, bool] | None:
+        found = [self.stems[word[:k]] for k in STEMS if len(word) > k and word[:k] in self.stems]
         if word in self.terms:
-            return self.terms[word], True
-        for k in STEMS:
-            if word[:k] in self.stems:
-                return self.stems[word[:k]], True
+            found.append(self.terms[word])
+        if found:
+            return max(found), True
         # one edit leaves one half of a term whole, at the word's beginning or end
-        if len(word) >= FUZZY - 1 and (any(word[:k] in self.heads for k in self.sizes["heads"]) or any(word[-k:] in self.tails for k in self.sizes["tails"])):
+        if word not in self.plain and len(word) >= FUZZY - 1 and (any(word[:k] in self.heads for k in self.sizes["heads"]) or any(word[-k:] in self.tails for k in self.sizes["tails"])):
             near = [t for t in within_one_edit(word, self.trie) if len(t) >= FUZZY]
             if near:
                 return max(self.terms[t] for t in near), False
@@ -109,24 +121,25 @@ class Model:
 
 
 def features(text: str, lexicon: Lexicon) -> np.ndarray:
-    """Sums over the hits of a text, exact and with an edit: their weights, and of those in quotation apart.
+    """Evidence of a text's hits, their number of different words in plain use, and the evidence a word.
 
-    A hit is in quotation when its window has a reporting word, or when an odd number of quotation marks in
-    the window stands before it and at least one after.
+    A hit's evidence is its entry's weight, times EDITED if it is misspelt and QUOTED if it is in quotation: when
+    its window has a reporting word, or when an odd number of quotation marks in the window stands before it and
+    at least one after.
     """
     hits, words = [], []
     for k, m in enumerate(WORD.finditer(text.lower())):
         words.append(m.group())
         if found := lexicon.match(words[-1]):
             hits.append((k, *found))
-    sums = np.zeros(4)
-    distinct = set()
+    total, distinct = 0.0, set()
     for k, weight, exact in hits:
         window = words[max(0, k - WINDOW) : k + WINDOW + 1]
         quoted = not REPORTING.isdisjoint(window) or _in_quotes(text, words, k)
-        sums[2 * (not exact) + quoted] += weight
-        distinct.add(words[k])
-    return np.r_[np.log1p(sums), np.log1p(len(hits)), np.log1p(len(distinct)), sums.sum() / (20 + len(words))]
+        total += weight * (1 if exact else EDITED) * (QUOTED if quoted else 1)
+        if not quoted:
+            distinct.add(words[k])
+    return np.array([np.log1p(total), np.log1p(len(distinct)), total / (20 + len(words))])
 
 
 def _in_quotes(text: str, words: list[str], k: int) -> bool:
@@ -140,34 +153,51 @@ def _in_quotes(text: str, words: list[str], k: int) -> bool:
     return sum(map(before.count, QUOTES)) % 2 == 1 and any(q in after for q in QUOTES)
 
 
-def learn_lexicon(rows: list[tuple[str, int]], least: int = 3, ratio: float = 30.0) -> Lexicon:
+def learn_lexicon(rows: list[tuple[str, int]], least: int = 3, ratio: float = 10.0) -> Lexicon:
     """Words and word beginnings that toxic texts have ``ratio`` times as often as others, in ``least`` texts at least.
 
-    Beginnings stand for the words that share them; shorter ones stand for longer.
+    The number of toxic texts counts less 1.3 times its own root, so that rare strings don't stand out by
+    chance, and every entry is held against both halves of the rows: one that has not a third of ``ratio`` in
+    either goes.  The weight is the logarithm of the odds.  A longer beginning stays beside a shorter one if it
+    weighs more; terms stay beside the beginnings that cover them, to be matched with edits.
     """
     toxic = [set(WORD.findall(t.lower())) for t, y in rows if y]
-    clean = [t for t, y in rows if not y]
+    clean = [set(WORD.findall(t.lower())) for t, y in rows if not y]
     least = max(least, len(toxic) // 200)
 
     def entries(words):
         return {w + "$" for w in words} | {w[:k] for w in words for k in STEMS if len(w) > k}
 
-    seen = Counter(e for words in toxic for e in entries(words))
-    seen = {e: n for e, n in seen.items() if n >= least}
-    other = Counter(e for t in clean for e in entries(set(WORD.findall(t.lower()))) if e in seen)
-    odds = {e: (n / len(toxic)) / ((other[e] + 0.5) / max(1, len(clean))) for e, n in seen.items() if other[e] * 20 <= n}
-    odds = {e: float(np.log(o)) for e, o in odds.items() if o >= ratio}
+    def counted(texts, known=None):
+        halves = Counter(), Counter()
+        for k, words in enumerate(texts):
+            halves[k % 2].update(entries(words) if known is None else entries(words) & known)
+        return halves
+
+    seen = counted(toxic)
+    known = {e for e, n in (seen[0] + seen[1]).items() if n >= least}
+    other = counted(clean, known)
+
+    def odds(e, halves, sure):
+        n, m = sum(seen[h][e] for h in halves), sum(other[h][e] for h in halves)
+        size, rest = (sum(len(range(h, len(x), 2)) for h in halves) for x in (toxic, clean))
+        return ((n - sure * n**0.5) / max(1, size)) / ((m + 0.5) / max(1, rest))
+
+    def stands_out(e):
+        n, m = seen[0][e] + seen[1][e], other[0][e] + other[1][e]
+        return m <= n and odds(e, (0, 1), 1.3) >= ratio and min(odds(e, (0,), 0), odds(e, (1,), 0)) >= ratio / 3
+
+    weights = {e: float(np.log(odds(e, (0, 1), 1.3))) for e in sorted(known) if stands_out(e)}
+    terms = {e[:-1]: o for e, o in weights.items() if e[-1] == "$"}
     stems: dict[str, float] = {}
-    for e in sorted((e for e in odds if e[-1] != "$"), key=lambda e: (len(e), e)):
-        if not any(e[:k] in stems for k in STEMS):
-            stems[e] = odds[e]
-    terms = {e[:-1]: o for e, o in odds.items() if e[-1] == "$"}
-    # a beginning that only one word has is that word: it is matched with edits, as a term
-    for stem in list(stems):
-        own = [t for t in terms if t.startswith(stem)]
-        if len(own) == 1 and seen[own[0] + "$"] == seen[stem]:
-            del stems[stem]
-    return Lexicon({t: o for t, o in terms.items() if not any(t[:k] in stems for k in STEMS)}, stems)
+    for e in sorted((e for e in weights if e[-1] != "$"), key=lambda e: (len(e), e)):
+        # a beginning that only one word has is that word
+        own = [t for t in terms if len(t) > len(e) and t.startswith(e)]
+        alone = len(own) == 1 and seen[0][own[0] + "$"] + seen[1][own[0] + "$"] == seen[0][e] + seen[1][e]
+        if not alone and not any(stems.get(e[:k], 0.0) >= weights[e] for k in STEMS if k < len(e)):
+            stems[e] = weights[e]
+    found = Lexicon(terms, stems)
+    return Lexicon(terms, stems, frozenset(w for words in clean for w in words if (hit := found.match(w)) and not hit[1]))
 
 
 def fit(rows: list[tuple[str, int]], prior: float, rounds: int = 400, seed: int = 3) -> Model:
@@ -177,7 +207,7 @@ def fit(rows: list[tuple[str, int]], prior: float, rounds: int = 400, seed: int
     as they do on new texts; the lexicon that is kept comes from all rows.
     """
     if not any(y for _, y in rows) or all(y for _, y in rows):
-        return Model(Lexicon({}, {}), np.zeros(7), float(np.log((prior + 1e-3) / (1 - prior + 1e-3))))
+        return Model(Lexicon({}, {}), np.zeros(3), float(np.log((prior + 1e-3) / (1 - prior + 1e-3))))
     order = np.random.default_rng(seed).permutation(len(rows))
     # few toxic rows: all serve both ends
     few = sum(y for _, y in rows) < 60
@@ -189,15 +219,26 @@ def fit(rows: list[tuple[str, int]], prior: float, rounds: int = 400, seed: int
     w = np.where(y > 0, prior / max(share, 1e-6), (1 - prior) / max(1 - share, 1e-6))
     middle, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.c_[(x - middle) / scale, np.ones(len(x))]
+    use = np.ones(z.shape[1], bool)
+    while True:  # more evidence never lowers a score: a feature with a negative weight is left out
+        beta = _newton(z * use, y, w, rounds // 20) * use
+        if not (beta[:-1] < 0).any():
+            break
+        use[:-1] &= beta[:-1] >= 0
+    weights = beta[:-1] / scale
+    return Model(learn_lexicon(rows), weights, float(beta[-1] - weights @ middle))
+
+
+def _newton(z: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int) -> np.ndarray:
+    """Newton steps on the ridge-penalised likelihood."""
     beta = np.zeros(z.shape[1])
-    for _ in range(rounds // 20):  # Newton steps on the ridge-penalised likelihood
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         ridge = np.r_[np.full(z.shape[1] - 1, 0.1), 1e-6]
         grad = z.T @ (w * (p - y)) + ridge * beta
         hess = (z * (w * p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-9)
         beta -= np.linalg.solve(hess, grad)
-    weights = beta[:-1] / scale
-    return Model(learn_lexicon(rows), weights, float(beta[-1] - weights @ middle))
+    return beta
 
 
 def learned(docs: DataFrame, labels: DataFrame, most_rows: int = 2500) -> Model:
