@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_dir
+
 #: White space of the text contracts: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
 #: Bits in one bitmap row; the bitmap aggregates of Spark SQL work on 4096-byte maps.
@@ -18,7 +19,6 @@ HOT_SHARE = 1000
 #: Rows of an Arrow batch.
 ARROW_ROWS = 1000
 
-_own_scratch: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -28,17 +28,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a local one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _own_scratch:
-        _own_scratch[app] = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-    return _own_scratch[app]
-
-
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written once as Parquet in the scratch folder and read back: lineage ends here."""
     spark = df.sparkSession

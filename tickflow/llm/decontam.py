@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
+#: Items with fewer characters must stand in a text as whole words.
+SHORT = 20
 #: Characters of benchmark text that one pass over the documents searches for; bounds what is broadcast.
 BLOCK_CHARS = 4_000_000
 
@@ -51,6 +53,15 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def stands_alone(text: str, begin: int, end: int) -> bool:
+    """Do no letters or digits go on beyond the ends of a place?  Scripts without spaces between words (from U+2E80 on) always end there."""
+
+    def goes_on(a: str, b: str) -> bool:
+        return a.isalnum() and b.isalnum() and max(a, b) < "\u2e80"
+
+    return not (begin and goes_on(text[begin - 1], text[begin])) and not (end < len(text) and goes_on(text[end - 1], text[end]))
+
+
 def searcher(items: list[tuple[object, str]], error_rate: float):
     """A function from a normalised text to its matches (item index, distance, end)."""
     automaton = ahocorasick.Automaton()
@@ -65,16 +76,21 @@ def searcher(items: list[tuple[object, str]], error_rate: float):
 
     def search(text: str) -> list[tuple[int, int, int]]:
         windows: dict[int, list[list[int]]] = {}
+        exact: dict[int, int] = {}
         for last, (length, places) in automaton.iter(text):
             for k, offset in places:
                 begin = last - length + 1 - offset
+                if len(items[k][1]) < SHORT:
+                    if k not in exact and stands_alone(text, begin, last + 1):
+                        exact[k] = last + 1
+                    continue
                 lo, hi = max(0, begin - budgets[k]), begin + len(items[k][1]) + budgets[k]
                 spans = windows.setdefault(k, [])
                 if spans and lo <= spans[-1][1] and hi >= spans[-1][0]:
                     spans[-1] = [min(lo, spans[-1][0]), max(hi, spans[-1][1])]
                 else:
                     spans.append([lo, hi])
-        out = []
+        out = [(k, 0, end) for k, end in sorted(exact.items())]
         for k, spans in sorted(windows.items()):
             found = min((d, lo + end) for lo, hi in spans for d, end in [myers(items[k][1], text[lo:hi])])
             if found[0] <= budgets[k]:
@@ -88,7 +104,6 @@ def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     error_rate: float = 0.05,
-    min_chars: int = 20,
     block_chars: int = BLOCK_CHARS,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -102,8 +117,9 @@ def contaminated(
     into one piece more than that budget, so one piece must occur exactly; windows around exact hits are
     verified.  The best match of each row and item is reported, the first of equal ones.
 
-    Null and empty texts hold nothing.  Items shorter than ``min_chars`` characters (null ones too) say nothing about
-    contamination and are not searched for.  Rows that repeat are reported each.  Without documents or items
+    Null and empty texts hold nothing, null and empty items are held by none.  Items of fewer than SHORT
+    characters have no budget; they must stand as whole words, so that a short answer is not found inside other
+    words.  Rows that repeat are reported each.  Without documents or items
     there are no rows.  The benchmark is searched for in blocks of about ``block_chars`` characters, each
     collected and broadcast; the documents are never shuffled.
     """
@@ -119,7 +135,7 @@ def contaminated(
     found = []
     for block in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).distinct()
-        listed = [(r[0], text) for r in part.collect() if len(text := normal(r[1])) >= min_chars]
+        listed = [(r[0], text) for r in part.collect() if (text := normal(r[1]))]
         if listed:
             found.append(documents.mapInArrow(_matcher(spark.sparkContext.broadcast(sorted(listed, key=str)), error_rate, item_type), schema))
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)

@@ -122,7 +122,7 @@ def _times(targets: DataFrame, slots: int, max_epochs: float, small) -> DataFram
     return (
         schedule.join(offsets, ["sid", "chunk"])
         .withColumn("rank", rank)
-        .where(F.col("rank") < F.col("blocks") * int(max_epochs))
+        .where(F.col("rank") < F.col("blocks") * F.lit(float(max_epochs)))
         .groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block"))
         .agg(F.count(F.lit(1)).alias("times"))
     )
