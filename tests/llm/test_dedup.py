@@ -216,7 +216,7 @@ def jaccard(a, b, n=5):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-def test_near_copies_equal_all_pairs_of_similarity(spark, make_docs, odd_docs, no_docs):
+def test_near_copies_find_pairs_of_similarity_and_no_others(spark, make_docs, odd_docs, no_docs):
     rng = random.Random(3)
     words = [f"w{k}" for k in range(500)]
     rows = [(r.doc_id, r.text) for r in odd_docs.collect() if len(r.text or "") < 10_000]
@@ -246,8 +246,16 @@ def test_near_copies_equal_all_pairs_of_similarity(spark, make_docs, odd_docs, n
     for k, (i, _) in enumerate(rows):
         if i is not None:
             least[root(k)] = min(i, least.get(root(k), i))
+    rows_by_id = {i: t or "" for i, t in rows}
+    whole = {i: root(k) for k, (i, _) in enumerate(rows)}
     want = Counter((i, least.get(root(k))) for k, (i, _) in enumerate(rows))
-    assert Counter(tuple(r) for r in shingles.near_copies(make_docs(rows)).collect()) == want
+    got = shingles.near_copies(make_docs(rows)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    named = {r.doc_id: r.component_id for r in got}
+    assert all(whole[i] == whole[c] for i, c in named.items() if i is not None and c is not None)  # no pair that is not near
+    near = [(rows[a][0], rows[b][0]) for a in range(len(rows)) for b in range(a) if jaccard(rows[a][1], rows[b][1]) >= 0.8 and None not in (rows[a][0], rows[b][0])]
+    assert sum(named[a] == named[b] for a, b in near) >= 0.95 * len(near) > 90
+    assert all(named[a] == named[b] for a, b in near if Counter(rows_by_id[a].lower().split()) == Counter(rows_by_id[b].lower().split()))
     assert shingles.near_copies(no_docs).count() == 0
     gone = {i for (i, c) in want if i != c}
     assert len(gone) > 60
