@@ -23,11 +23,11 @@ HEAD = struct.Struct("<IIBHI")
 #: The share of ids that the chosen width must hold.
 PERCENTILE = 95
 #: Pieces that a worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Pieces that are encoded as one text.
 JOINED = 128
 #: Characters that are encoded at once (one text may have more).
-CHARS = 1 << 21
+CHARS = 1 << 20
 # What the pattern of the tokenizer keeps with an apostrophe before it.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -147,10 +147,12 @@ class Encoder:
         self.places: dict[str, int] = {}
         self.recent: list[str] = []
         self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         self.classes = np.zeros(0x110000, np.uint8)  # 0 other, 1 letter, 2 number, 3 white space, 4 the space itself
-        for kind, pattern in ((1, r"\p{L}"), (2, r"\p{N}"), (3, r"\s")):
-            self.classes[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
+        for low, high in ((0, 0xD800), (0xE000, 0x110000)):
+            points = "".join(map(chr, range(low, high)))
+            for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
+                for run in regex.finditer(pattern, points):
+                    self.classes[low + run.start() : low + run.end()] = kind
         self.classes[32] = 4
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -227,8 +229,8 @@ class Encoder:
         missing = np.nonzero(found < 0)[0]
         new = [pieces[k] for k in missing.tolist()]
         joined = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-        for k in range(0, len(joined), 1 << 16):
-            self._remember_joined(joined[k : k + (1 << 16)])
+        for k in range(0, len(joined), 64 * JOINED):
+            self._remember_joined(joined[k : k + 64 * JOINED])
         alone = [p for p in new if p not in self.places]
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
         self._remember(alone, np.array(list(chain.from_iterable(encoded)), np.uint32), np.array([len(e) for e in encoded], np.int64))

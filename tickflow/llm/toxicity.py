@@ -161,22 +161,28 @@ def learn_lexicon(rows: list[tuple[str, int]], least: int = 3, ratio: float = 10
     either goes.  The weight is the logarithm of the odds.  A longer beginning stays beside a shorter one if it
     weighs more; terms stay beside the beginnings that cover them, to be matched with edits.
     """
-    toxic = [set(WORD.findall(t.lower())) for t, y in rows if y]
-    clean = [set(WORD.findall(t.lower())) for t, y in rows if not y]
+    toxic, clean = [t for t, y in rows if y], [t for t, y in rows if not y]
     least = max(least, len(toxic) // 200)
 
-    def entries(words):
-        return {w + "$" for w in words} | {w[:k] for w in words for k in STEMS if len(w) > k}
+    def words_of(text):
+        return set(WORD.findall(text.lower()))
 
-    def counted(texts, known=None):
-        halves = Counter(), Counter()
-        for k, words in enumerate(texts):
-            halves[k % 2].update(entries(words) if known is None else entries(words) & known)
-        return halves
+    def entries(words, size):
+        return {w[:size] for w in words if len(w) > size} if size else {w + "$" for w in words}
 
-    seen = counted(toxic)
-    known = {e for e, n in (seen[0] + seen[1]).items() if n >= least}
-    other = counted(clean, known)
+    seen, other = (Counter(), Counter()), (Counter(), Counter())
+    for size in (0, *STEMS):  # one size at a time: most entries are rare and go
+        halves = Counter(), Counter()
+        for k, text in enumerate(toxic):
+            halves[k % 2].update(entries(words_of(text), size))
+        for e in {*halves[0], *halves[1]}:
+            if halves[0][e] + halves[1][e] >= least:
+                seen[0][e], seen[1][e] = halves[0][e], halves[1][e]
+    known = set(seen[0])
+    for k, text in enumerate(clean):
+        words = words_of(text)
+        for size in (0, *STEMS):
+            other[k % 2].update(entries(words, size) & known)
 
     def odds(e, halves, sure):
         n, m = sum(seen[h][e] for h in halves), sum(other[h][e] for h in halves)
@@ -197,7 +203,7 @@ def learn_lexicon(rows: list[tuple[str, int]], least: int = 3, ratio: float = 10
         if not alone and not any(stems.get(e[:k], 0.0) >= weights[e] for k in STEMS if k < len(e)):
             stems[e] = weights[e]
     found = Lexicon(terms, stems)
-    return Lexicon(terms, stems, frozenset(w for words in clean for w in words if (hit := found.match(w)) and not hit[1]))
+    return Lexicon(terms, stems, frozenset(w for text in clean for w in words_of(text) if (hit := found.match(w)) and not hit[1]))
 
 
 def fit(rows: list[tuple[str, int]], prior: float, rounds: int = 400, seed: int = 3) -> Model:
