@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bounded_batches, written
+from .common import bounded_batches, hand_back_memory, written
 
 #: Ids in a block, and ids in a row of the token file (a whole number of blocks).
 BLOCK, ROW_IDS = 1024, 1 << 18
@@ -144,9 +144,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
-        self.places: dict[str, int] = {}
-        self.recent: list[str] = []
-        self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.empty()
         self.classes = np.zeros(0x110000, np.uint8)  # 0 other, 1 letter, 2 number, 3 white space, 4 the space itself
         for low, high in ((0, 0xD800), (0xE000, 0x110000)):
             points = "".join(map(chr, range(low, high)))
@@ -155,6 +153,12 @@ class Encoder:
                     self.classes[low + run.start() : low + run.end()] = kind
         self.classes[32] = 4
 
+    def empty(self) -> None:
+        """Forget all pieces."""
+        self.places: dict[str, int] = {}
+        self.recent: list[str] = []
+        self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each text."""
         plain = [k for k, t in enumerate(texts) if not any(a in t for a in self.added)]
@@ -287,7 +291,7 @@ def encoder(path: str) -> Encoder:
 ROW = "shard int, row int, n_ids bigint, doc_ids array<bigint>, ends array<bigint>, data binary, index binary"
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text", hand_back: bool = False) -> None:
     """Write the token ids of ``docs``, in ascending id order, as a token file under ``path``.
 
     Ids are the library's with its defaults and without added special tokens: the string of a special token
@@ -297,6 +301,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     Spark, so any store that Spark reaches will do, and a lost task writes its shard again.
 
     Null texts count as empty (the end id alone); null ids come first; rows that repeat an id are written each.
+    With ``hand_back`` a task forgets at its end what its worker remembers of pieces, which the next one would
+    use again: for jobs whose other stages need the memory.
     """
     bounded_batches(docs.sparkSession)
     documents = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -333,6 +339,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                     yield flush(ROW_IDS)
         if n:
             yield flush(n)
+        if hand_back:
+            held.clear()
+            encoder(tokenizer_path).empty()
+            hand_back_memory()
 
     ordered.mapInArrow(run, ROW).write.parquet(path)
 

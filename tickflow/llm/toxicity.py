@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, hand_back_memory
 
 from .langid import held_out, training_rows
 
@@ -256,7 +256,10 @@ def learned(docs: DataFrame, labels: DataFrame, most_rows: int = 2500) -> Model:
         share = min(1.0, most / max(1, n.get(label, 0)))
         drawn = known.where((F.col("label") == label) & (F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30)))).distinct()
         rows += training_rows(docs.select("doc_id", "text").join(F.broadcast(drawn.limit(2 * most)), "doc_id"), 2 * most, "text", "label", "doc_id")
-    return fit(rows, n.get(1, 0) / max(1, sum(n.values())))
+    model = fit(rows, n.get(1, 0) / max(1, sum(n.values())))
+    model.lexicon.known.clear()
+    hand_back_memory()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
