@@ -167,7 +167,7 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def near_links(prints: DataFrame, bits: int = 3, codes: tuple[Code, ...] = GOLAY) -> DataFrame:
+def near_links(prints: DataFrame, bits: int = 3, codes: tuple[Code, ...] = GOLAY, by: str | None = None) -> DataFrame:
     """(a, b): links that join all fingerprints (distinct, column fp) with ``bits`` or fewer differing bits.
 
     Blocks of bits are covered by perfect codes, so every value is within the sum of their radii of an
@@ -175,7 +175,7 @@ def near_links(prints: DataFrame, bits: int = 3, codes: tuple[Code, ...] = GOLAY
     down, of the one and half, rounded up, of the other; both are replicated to the anchor that covers it,
     being within the radius plus their half.  Each pair within ``bits`` therefore meets at an anchor as a
     near and a far row, and only such rows are compared.  An anchor gives links that span its rows, not all
-    pairs.
+    pairs.  With ``by``, a column of small numbers, only fingerprints of the same number meet, and links have it too.
     """
     near, far = bits // 2, bits - bits // 2
 
@@ -183,10 +183,11 @@ def near_links(prints: DataFrame, bits: int = 3, codes: tuple[Code, ...] = GOLAY
         tables = [(c, *near_words(c, far)) for c in codes]
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
+            apart = batch.column(1).to_numpy().astype(np.int64) << 40 if by else np.zeros(len(fps), np.int64)
             for k in range(0, len(fps), 2048):
                 part = fps[k : k + 2048]
                 row, key = anchors(part, tables, far, near)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row].view(np.int64))], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key | apart[k : k + 2048][row]), pa.array(part[row].view(np.int64))], ["key", "fp"])
 
     def compare(batches):
         keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -199,13 +200,14 @@ def near_links(prints: DataFrame, bits: int = 3, codes: tuple[Code, ...] = GOLAY
                 ready = len(keys)
             if ready:
                 found = linked(keys[:ready], fps[:ready], bits)
-                pairs = fps[np.array(found, np.int64).reshape(-1, 2)].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+                at = np.array(found, np.int64).reshape(-1, 2)
+                columns = [*fps[at.T].view(np.int64), *([(keys[at[:, 0]] >> 40).astype(np.int32)] if by else [])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["a", "b", *([by] if by else [])])
                 keys, fps = keys[ready:], fps[ready:]
 
-    visits = prints.select("fp").mapInArrow(replicate, "key bigint, fp bigint")
+    visits = prints.select("fp", *([by] if by else [])).mapInArrow(replicate, "key bigint, fp bigint")
     met = visits.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
-    return met.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return met.mapInArrow(compare, "a bigint, b bigint" + (f", {by} int" if by else "")).distinct()
 
 
 def _and_none(items):
