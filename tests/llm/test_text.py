@@ -189,6 +189,13 @@ def test_language_held_out(make_docs, odd_docs, no_docs):
     assert {r.lang_pred for r in langid.identified(docs, None).collect()} == {"und"}
 
 
+def test_rare_languages_are_drawn(make_docs):
+    docs = make_docs([*((k, f"word {k}", "aa") for k in range(3000)), *((k, f"rare {k}", "zz") for k in range(3000, 3012))])
+    drawn = langid.training_rows(docs, 200, "text", "lang", "doc_id")
+    assert sum(lang == "zz" for _, lang in drawn) == 12 and 100 < sum(lang == "aa" for _, lang in drawn) < 300
+    assert {lang for _, lang in langid.training_rows(docs, 200, "text", "lang", "doc_id", most_labels=1)} == {"aa"}
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bounded_batches
 
@@ -92,13 +93,21 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed: i
     return model
 
 
-def training_rows(docs: DataFrame, most: int, text_col: str, label_col: str, id_col: str, seed: int = 5) -> list[tuple[str, str]]:
-    """At most some ``most`` labelled rows with text, drawn by a hash of their ids and collected in id order."""
-    known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    total = known.count()
-    share = min(1.0, most / max(1, total))
-    drawn = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = drawn.select(id_col, text_col, label_col).limit(2 * most).collect()
+def training_rows(docs: DataFrame, most: int, text_col: str, label_col: str, id_col: str, seed: int = 5, least: int = 50, most_labels: int = 1000) -> list[tuple[str, str]]:
+    """Some ``most`` labelled rows with text, and some ``least`` of every rarer label (all if it has fewer).
+
+    Rows are drawn by a hash of their ids and collected in id order.  Only the ``most_labels`` commonest labels
+    are drawn from, which bounds the sample.
+    """
+    known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text_col, F.col(label_col).alias("__label"))
+    counts = known.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "__label").limit(most_labels).collect()
+    if not counts:
+        return []
+    total = sum(n for _, n in counts)
+    cuts = [(label, int(min(1.0, max(most / total, least / n)) * (1 << 30))) for label, n in counts]
+    cuts = docs.sparkSession.createDataFrame(cuts, StructType([StructField("__label", known.schema["__label"].dataType), StructField("__cut", LongType())]))
+    drawn = known.join(F.broadcast(cuts), "__label").where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) < F.col("__cut"))
+    rows = drawn.select(id_col, text_col, "__label").limit(2 * most + 2 * least * len(counts)).collect()
     return [(r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[1], str(r[2])))]
 
 
