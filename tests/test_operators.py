@@ -1,15 +1,19 @@
 """Operators on small inputs with expectations worked out by hand."""
 
+import random
 import struct
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickflow.functions import records, ticks
-from tickflow.operators import calibrate, filters, lookups, monitor, ordering, ranges, windows
+from tickflow.operators import calibrate, filters, lookups, monitor, ordering, ranges, sweep, windows
 from tickflow.schemas import DAY, EOS, HOUR, SECOND
 from tickflow.sources import records as binary
 from tickflow.sources import spool
+from tickflow.streaming import bins, calibration
 from tickflow.streaming import queries as streams
 
 
@@ -119,16 +123,18 @@ def test_sane_times_end_at_the_first_jump(spark):
 
 def test_request_selection_matrix(spark):
     hits = spark.createDataFrame([(s, 1 if s < 4 else 201, 10 + s % 2, t) for s, t in enumerate([9, 10, 20, 21, 9, 10, 20, 21])], "seq long, hub_id int, mbid long, utc long")
+    modules = hits.select("mbid", "hub_id").distinct()
+
     def found(kind, source=0, dom=0):
         e = spark.createDataFrame([(1, 0, kind, source, 10, 20, dom)], "uid int, elem int, readout_type int, source_id int, first_utc long, last_utc long, dom_id long")
-        return [r.seq for r in ranges.readout(hits, e).orderBy("seq").collect()]
+        return [r.seq for r in ranges.readout(hits, e, modules).orderBy("seq").collect()]
 
     assert found(ranges.GLOBAL) == [1, 2, 5, 6]
     assert found(ranges.INICE) == [1, 2] and found(ranges.SURFACE) == [5, 6]
     assert found(ranges.STRING, source=12001) == [1, 2]
     assert found(ranges.INICE_MODULE, dom=11) == [1] and found(ranges.SURFACE_MODULE, dom=10) == [6]
     two = spark.createDataFrame([(1, 0, ranges.SURFACE, 0, 0, 20, 0), (1, 1, ranges.GLOBAL, 0, 9, 30, 0), (2, 1, ranges.GLOBAL, 0, 9, 10, 0)], "uid int, elem int, readout_type int, source_id int, first_utc long, last_utc long, dom_id long")
-    assert values(ranges.readout(hits, two), "uid", "seq") == [(1, k) for k in range(8)] + [(2, 0), (2, 1), (2, 4), (2, 5)]
+    assert values(ranges.readout(hits, two, modules, 7), "uid", "seq") == [(1, k) for k in range(8)] + [(2, 0), (2, 1), (2, 4), (2, 5)]
     with pytest.raises(ValueError):
         ranges.in_range(hits, 5, 4)
 
@@ -181,16 +187,83 @@ def test_flat_waveforms_have_no_edge(spark, method):
     assert df.select(records.fine_correction("w", method)).first()[0] is None
 
 
-def test_channel_state_waits_and_orders():
-    from collections import namedtuple
-
-    T = namedtuple("T", "mbid seq t0 t1 t2 t3 bad gps_offset")
-    channel = streams.Channel(calibrate.WILD, calibrate.WEIGHT, calibrate.SETTLED)
-    channel.waiting.extend([(1, 12000), (2, 11000), (3, 30000)])
-    for k in range(2):
-        channel.calibrate(T(1, k, k * 10000, k * 10000 + 3000, k * 10000 + 4000, k * 10000 + 7000, False, 0))
-    assert list(channel.released()) == [(1, 12000, True), (2, 11000, False)]
-    assert list(channel.waiting) == [(3, 30000)]
+def test_waiting_hits_go_in_order_by_the_oldest_isochron_that_reaches_them():
+    channel = calibration.Channel()
+    iso = lambda upper: (upper, upper, upper, 0)  # noqa: E731  (translates a clock to itself)
+    clock, place = np.array([12000, 11000, 30000, 100]), np.array([-1, -1, 1, 3])
+    utc, kept = calibration.released(channel, [(2, iso(14000), 0.0)], clock, place, 5000, 1)
+    assert (utc.tolist(), kept.tolist(), channel.top) == ([12000, 11000], [True, False], 12000)
+    # the third hit holds up the fourth until an isochron reaches it
+    utc, kept = calibration.released(channel, [(0, iso(40000), 0.0)], clock[2:], np.array([-1, -1]), 5000, 1)
+    assert (utc.tolist(), kept.tolist(), channel.isochrons) == ([30000, 100], [True, False], [iso(14000), iso(40000)])
+    with pytest.raises(ValueError, match="waits for calibration with 3 hits"):
+        calibration.released(channel, [], np.full(3, 50000), np.arange(3), 2, 1)
+    assert calibration._unpacked(calibration._packed({7: channel}))[7].isochrons == channel.isochrons
+
+
+def streamed(spark, tmp_path, make, schema, *batches):
+    """Rows that come out of a stream of these batches, and its state rows after each."""
+    rows, left = f"{tmp_path}/in", []
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(rows)
+        with streams.rocksdb(spark):
+            stream = make(spark.readStream.schema(schema).parquet(rows))
+            running = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        running.awaitTermination()
+        left.append(running.lastProgress["stateOperators"][0]["numRowsTotal"])
+    return spark.read.schema(stream.schema).parquet(f"{tmp_path}/out"), left
+
+
+def test_ended_runs_leave_no_state_and_reject_late_events(spark, tmp_path):
+    hour = 36 * 10**12
+    schema = "run_number int, mbid long, utc long, ends boolean"
+    make = lambda s: streams.run_bins(streams.with_event_time(s, 2024, "1 hour"), hour)
+    batches = (
+        [(1, 7, 0, False), (1, 7, hour // 2, False), (1, 7, hour, False), (1, 8, hour, False)],
+        [(1, 7, 2 * hour, True), (2, 7, 2 * hour, False)],
+        [(1, 7, hour, False), (1, 7, hour + 1, False), (1, 8, 2 * hour, False), (2, 7, 9 * hour, False)],  # late for module 7, not for 8
+        [(1, 7, hour, False)],  # later than the watermark
+    )
+    found, left = streamed(spark, tmp_path, make, schema, *batches)
+    got = values(found, "run_number", "bin", "mbid", "n", "late")
+    # module 8 never ended: what it has left comes out when the watermark passes the run
+    assert got == [(1, 0, 7, 2, False), (1, hour, 7, 1, False), (1, hour, 7, 2, True), (1, hour, 8, 1, False), (1, 2 * hour, 8, 1, False), (2, 2 * hour, 7, 1, False)]
+    assert left[1] > left[2] == left[3] > 0
+
+
+@pytest.mark.parametrize(("lag", "rejected"), [(2, 0), (3, 0), (6, 3)])
+def test_hub_bins_close_by_the_progress_of_all_channels(lag, rejected):
+    """Three channels, the third behind by less than a bin, by one and by two; then one that skips and one that is silent."""
+    ahead = [1, 3, 5, 10, 11, 18, 21, 23, 28, 30, 31, 37]
+    behind = ahead[:3] + [None] * lag + ahead[3:]
+    sent = [(m, t) for k in range(len(behind)) for m, times in ((1, ahead), (2, ahead), (3, behind)) if k < len(times) and (t := times[k])]
+    hub, reports, late = bins.HubBins(10), [], []
+    for cut in (sent[:7], sent[7:8], sent[8:]):
+        out, refused = hub.add(*np.array(cut).T)
+        reports, late = reports + out, late + refused
+        hub = bins.HubBins.unpacked(10, hub.packed())
+    third = [] if rejected else [(10, 19, 3, 3)]
+    assert reports == [(1, 9, m, 3) for m in (1, 2, 3)] + [(10, 19, m, 3) for m in (1, 2)] + third
+    assert sum(n for *_, n in late) == rejected and {(end, m) for end, m, _ in late} <= {(19, 3)}
+    assert hub.end() == [(20, 29, m, 3) for m in (1, 2, 3)] + [(30, 37, m, 3) for m in (1, 2, 3)]
+    skips = [(m, t) for t in range(10, 50, 5) for m in (1, 2, 3) if m != 2 or t in (10, 15, 45)]
+    hub = bins.HubBins(10)
+    reports, late = hub.add(*np.array(skips).T)
+    assert reports == [(10, 19, m, 2) for m in (1, 2, 3)] + [(20, 29, 1, 2), (20, 29, 3, 2)] and not late
+    assert hub.end() == [(30, 39, 1, 2), (30, 39, 3, 2), (40, 45, 1, 2), (40, 45, 2, 1), (40, 45, 3, 2)]
+
+
+def test_silent_channels_and_hubs_lose_their_state(spark, tmp_path):
+    hour = 36 * 10**12
+    schema = "seq long, kind string, mbid long, domclk long, t0 long, t1 long, t2 long, t3 long, bad boolean, gps_offset long, utc long"
+    hit = lambda seq, mbid, utc: (seq, "hit", mbid, 50, 0, 0, 0, 0, False, 0, utc)
+    make = lambda s: streams.calibrated_hits(streams.with_event_time(s, 2024, "1 hour"), lanes=1, silent_ms=2 * 3600 * 1000)
+    found, left = streamed(spark, tmp_path / "a", make, schema, [hit(1, 1, 0), hit(2, 2, 0)], [hit(3, 2, 9 * hour)], [hit(4, 2, 20 * hour)])
+    assert [(r.mbid, r.seq, r.utc, r.kept) for r in found.orderBy("seq").collect()][0] == (1, 1, None, False)
+    schema = "hub_id int, seq long, mbid long, utc long, ends boolean"
+    make = lambda s: streams.hub_bins(streams.with_event_time(s, 2024, "1 hour"), hour, silent_ms=3 * 3600 * 1000)
+    found, left = streamed(spark, tmp_path / "b", make, schema, [(1, 1, 7, 5, False), (2, 2, 8, 0, False)], [(2, 3, 8, 9 * hour, False)])
+    assert values(found, "hub_id", "first_utc", "last_utc", "mbid", "n") == [(1, 5, 5, 7, 1)] and left[0] > left[1]
 
 
 def test_continuous_readout_of_long_elements(spark, tmp_path):
@@ -205,7 +278,7 @@ def test_continuous_readout_of_long_elements(spark, tmp_path):
     streams.run_to_end(joined, f"{tmp_path}/out", f"{tmp_path}/state")
     assert values(spark.read.parquet(f"{tmp_path}/out"), "uid", "elem", "seq") == [(5, 0, h) for h in range(10)] + [(5, 1, 10)]
     flat = spark.createDataFrame([(5, *e) for e in requests.first().elements], "uid int, elem int, readout_type int, source_id int, first_utc long, last_utc long, dom_id long")
-    assert values(ranges.readout(hits, flat), "uid", "seq") == [(5, h) for h in range(11)]
+    assert values(ranges.readout(hits, flat, hits.select("mbid", "hub_id").distinct(), hour), "uid", "seq") == [(5, h) for h in range(11)]
 
 
 def test_gate_opens_by_message_or_limit(spark):
@@ -221,3 +294,65 @@ def test_failed_cards(spark):
     rows = [(1, k, True, False) for k in range(4)] + [(2, k, k != 2, False) for k in range(5)] + [(3, k, k % 2 == 0, k % 2 == 1) for k in range(8)]
     reads = spark.createDataFrame(rows, "card int, seq long, miss boolean, error boolean")
     assert values(windows.failed_cards(reads, 3, 2), "card", "reason") == [(1, "misses"), (3, "errors"), (3, "misses")]
+
+
+def test_readout_sweep_equals_brute_force(spark):
+    """Random hits and elements: null times, times before zero, ties, repeated rows, long and empty elements, many batches."""
+    rng = random.Random(5)
+    hits = [(k, rng.choice([1, 2, 201]), rng.choice([10, 11, None]), rng.choice([None, rng.randrange(-300, 3000), 500])) for k in range(3000)]
+    elements = [(u, e, rng.randrange(-1, 7), rng.choice([12001, 12002, 12201]), first, first + rng.choice([-1, 0, 3, 50, 2500]), rng.choice([10, 11, None])) for u in range(60) for e in range(1 + u % 3) for first in [rng.randrange(-300, 3000)]]
+    h = spark.createDataFrame(hits, "seq long, hub_id int, mbid long, utc long").repartition(3)
+    e = spark.createDataFrame(elements, "uid int, elem int, readout_type int, source_id int, first_utc long, last_utc long, dom_id long")
+    modules = spark.createDataFrame([(m, hub) for hub in (1, 2, 201) for m in (10, 11)], "mbid long, hub_id int")
+
+    def wants(kind, source, dom, hub, mbid):
+        surface = hub % 1000 >= 200
+        return [True, not surface, surface, source == hub + 12000, not surface and dom == mbid, surface and dom == mbid][kind] if 0 <= kind < 6 else False
+
+    want = sorted({(u, s) for s, hub, m, t in hits for u, _, kind, source, a, b, dom in elements if t is not None and a <= t <= b and (m is not None or kind < 4) and wants(kind, source, dom, hub, m)})
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch, ticks, pairs in ((10000, 100, 1 << 16), (7, 1000, 5), (64, 5000, 100)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            sweep.PAIRS = pairs
+            assert values(ranges.readout(h, e, modules, ticks), "uid", "seq") == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        sweep.PAIRS = 1 << 16
+    assert ranges.readout(h, e.where("false"), modules).count() == ranges.readout(h.where("false"), e, modules).count() == 0
+
+
+def test_windows_by_blocks_equal_whole_windows(spark):
+    """Averages, rates, streaks and readings over small blocks are those over the whole history; one hot key, ties, null times."""
+    rng = random.Random(8)
+    rows = [(k, 1 if k % 3 else 2, rng.choice([k * 7, k * 7 // 20 * 20]) - 300, rng.randrange(3), rng.random() < 0.8 or 200 < k < 420) for k in range(600)]
+    df = spark.createDataFrame(rows, "seq long, mbid long, utc long, lc_mode int, hot boolean").withColumn("x", F.col("utc") * 1.0)
+    whole = Window.partitionBy("mbid")
+    for n, block in ((1, 4), (5, 8), (9, 16)):
+        want = df.withColumn("sma", F.avg("x").over(whole.orderBy("seq").rowsBetween(-(n - 1), 0)))
+        assert values(windows.moving_average(df, "mbid", "seq", "x", n, block), "seq", "sma") == values(want, "seq", "sma")
+    for span, block in ((30, 31), (50, 7), (100, 1000)):
+        near = whole.orderBy("utc").rangeBetween(-span + 1, 0)
+        want = df.withColumn("rate", F.count(F.lit(1)).over(near) / (span / SECOND)).withColumn("lc_rate", F.sum((F.col("lc_mode") > 0).cast("long")).over(near) / (span / SECOND))
+        assert values(windows.event_rate(df, span, block=block), "seq", "rate", "lc_rate") == values(want, "seq", "rate", "lc_rate")
+    for key in (None, "mbid"):
+        streak, want = {}, []
+        for seq, mbid, *_, hot in rows:
+            at = mbid if key else 0
+            streak[at] = streak.get(at, 0) + 1 if hot else 0
+            want += [(seq, streak[at])] if streak[at] >= 6 else []
+        for block in (1, 5, 64, 1 << 20):
+            assert values(windows.streaks(df, "hot", 6, key, block), "seq", "streak") == want
+    tcal, gps = df.selectExpr("seq", "mbid as card", "mbid"), df.where("seq % 37 = 5").selectExpr("seq", "mbid as card", "if(seq % 2 = 0, seq, null) as gps_offset")
+    want = tcal.join(gps.withColumnRenamed("seq", "at"), "card", "left").where("at is null or at <= seq").groupBy("seq").agg(F.max_by("gps_offset", F.when(F.col("gps_offset").isNotNull(), F.col("at"))).alias("gps_offset"))
+    want = tcal.join(want, "seq", "left")
+    for block in (10, 100, 1 << 20):
+        assert values(lookups.with_gps(tcal, gps, block), "seq", "gps_offset") == values(want, "seq", "gps_offset")
+
+
+def test_one_streak_over_all_rows_is_many_tasks(spark):
+    df = spark.range(0, 4000, 1, 4).selectExpr("id as seq", "true as hot", "1 as card")
+    found = windows.streaks(df, "hot", 1, "card", block=100)
+    assert found.agg(F.max("streak"), F.count("*")).first() == (4000, 4000)
+    rows = found.withColumn("task", F.spark_partition_id()).groupBy("task").count()
+    assert rows.count() > 1 and rows.agg(F.max("count")).first()[0] < 4000

@@ -35,7 +35,7 @@ def test_order_after_calibration_equals_plain_python(spark, sf_dir):
                     times.append(i[5] + (clock - i[6]) + int(i[7] * (clock - i[6])) + i[9])
         if times:
             want[mbid] = len(times), sum(all(t >= u for u in times[:k]) for k, t in enumerate(times))
-    assert found == want and any(kept < n for n, kept in want.values()) is not None
+    assert found == want and any(kept < n for n, kept in want.values())
 
 
 def test_entry_has_rows_and_every_sql_has_a_query(spark):

@@ -42,13 +42,24 @@ def component(source_id: str) -> Column:
     return F.when(F.col(source_id) >= 0, F.try_element_at(names, F.expr(f"cast({source_id} div 1000 as int)")))
 
 
-def with_gps(tcal: DataFrame, gps: DataFrame) -> DataFrame:
-    """Calibrations (seq, card, mbid) with ``gps_offset``, that of the card's latest GPS reading; null before the first."""
-    both = tcal.select("seq", "card", "mbid", F.lit(None).cast("long").alias("offset"), F.lit(1).alias("wanted")).union(
-        gps.select("seq", "card", F.lit(None).cast("long"), "gps_offset", F.lit(0))
+def with_gps(tcal: DataFrame, gps: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """Calibrations (seq, card, mbid) with ``gps_offset``, that of the card's latest GPS reading; null before the first.
+
+    Both meet in blocks of arrival; a block begins with the last reading of those before it, from a window over
+    one row for each block, so no task has a card's whole history.
+    """
+    readings = gps.where("gps_offset is not null").select("seq", "card", "gps_offset", F.expr(f"seq div {block}").alias("block"))
+    asked = tcal.select("seq", "card", "mbid", F.expr(f"seq div {block}").alias("block"))
+    both = asked.select("seq", "card", "mbid", "block", F.lit(None).cast("long").alias("offset"), F.lit(1).alias("wanted")).union(
+        readings.select("seq", "card", F.lit(None).cast("long"), "block", F.col("gps_offset").cast("long"), F.lit(0))
     )
-    before = Window.partitionBy("card").orderBy("seq", "wanted").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("gps_offset", F.last("offset", ignorenulls=True).over(before)).where("wanted = 1").select("seq", "card", "mbid", "gps_offset")
+    lasts = readings.groupBy("card", "block").agg(F.max_by("gps_offset", "seq").alias("offset"))
+    blocks = both.select("card", "block").distinct().join(lasts, ["card", "block"], "left")
+    before = Window.partitionBy("card").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select("card", "block", F.last("offset", ignorenulls=True).over(before).alias("carried"))
+    inside = Window.partitionBy("card", "block").orderBy("seq", "wanted").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("here", F.last("offset", ignorenulls=True).over(inside)).where("wanted = 1")
+    return found.join(carried, ["card", "block"]).select("seq", "card", "mbid", F.coalesce("here", "carried").alias("gps_offset"))
 
 
 def discovered_and_configured(found: DataFrame, doms: DataFrame) -> DataFrame:

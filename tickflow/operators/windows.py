@@ -9,33 +9,69 @@ from ..schemas import SECOND
 from .calibrate import folded
 
 
-def moving_average(rows: DataFrame, key: str, order: str, value: str, n: int) -> DataFrame:
-    """Mean of the last ``n`` values, of fewer at the start."""
-    return rows.withColumn("sma", F.avg(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(-(n - 1), 0)))
+#: Rows by arrival, and ticks, of the blocks that long histories are cut into.
+ROWS, TICKS = 1 << 20, 600 * SECOND
 
 
-def event_rate(hits: DataFrame, span: int = 10 * SECOND, key: str = "mbid") -> DataFrame:
-    """Events a second of all and of coincident hits in the ``span`` of time up to each hit, its start not included."""
-    trailing = Window.partitionBy(key).orderBy("utc").rangeBetween(-span + 1, 0)
-    wide = span / SECOND
-    return hits.withColumn("rate", F.count(F.lit(1)).over(trailing) / F.lit(wide)).withColumn("lc_rate", F.sum((F.col("lc_mode") > 0).cast("long")).over(trailing) / F.lit(wide))
+def numbered(rows: DataFrame, key: list[str], order: str, block: int = ROWS) -> DataFrame:
+    """``rows`` with ``__n``, their number in their key by ``order``, a whole number: counted over blocks of it, then inside one."""
+    blocked = rows.withColumn("__block", F.expr(f"{order} div {block}"))
+    ahead = Window.partitionBy(*(key or [F.lit(0)])).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = blocked.groupBy(*key, "__block").agg(F.count(F.lit(1)).alias("__size"))
+    sizes = sizes.select(*key, "__block", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*key, "__block").orderBy(order))
+    return blocked.join(sizes, [*key, "__block"]).withColumn("__n", inside + F.col("__before")).drop("__block", "__before")
 
 
-def streaks(samples: DataFrame, over: str, n: int, key: str | None = None, block: int = 1 << 20) -> DataFrame:
+def moving_average(rows: DataFrame, key: str, order: str, value: str, n: int, block: int = ROWS) -> DataFrame:
+    """Mean of the last ``n`` values, of fewer at the start.
+
+    Rows are numbered and cut into blocks; a block also gets the last n - 1 rows of the one before (its halo),
+    so no task has the history of a key.
+    """
+    part = F.expr(f"__n div {block}")
+    ends = F.expr(f"__n % {block}") >= block - (n - 1)
+    spread = numbered(rows, [key], order, block).withColumn("__home", part).withColumn("__part", F.explode(F.when(ends, F.array(part, part + 1)).otherwise(F.array(part))))
+    last = Window.partitionBy(key, "__part").orderBy("__n").rowsBetween(-(n - 1), 0)
+    return spread.withColumn("sma", F.avg(value).over(last)).where("__part = __home").drop("__n", "__home", "__part")
+
+
+def event_rate(hits: DataFrame, span: int = 10 * SECOND, key: str = "mbid", block: int = TICKS) -> DataFrame:
+    """Events a second of all and of coincident hits in the ``span`` of time up to each hit, its start not included.
+
+    Time is cut into blocks of at least ``span``; hits of the last ``span`` of a block also go to the next one,
+    as its halo, so a window never needs more than a block and its halo.
+    """
+    block = max(block, span)
+    part = F.expr(f"(utc - pmod(utc, {block}L)) div {block}")
+    ends = F.expr(f"pmod(utc, {block}L)") > block - span
+    spread = hits.withColumn("__home", part).withColumn("__part", F.explode(F.when(ends, F.array(part, part + 1)).otherwise(F.array(part))))
+    trailing = Window.partitionBy(key, "__part").orderBy("utc").rangeBetween(-span + 1, 0)
+    wide = F.lit(span / SECOND)
+    rated = spread.withColumn("rate", F.count(F.lit(1)).over(trailing) / wide).withColumn("lc_rate", F.sum((F.col("lc_mode") > 0).cast("long")).over(trailing) / wide)
+    return rated.where("__part <=> __home").drop("__home", "__part")
+
+
+def streaks(samples: DataFrame, over: str, n: int, key: str | None = None, block: int = ROWS) -> DataFrame:
     """Samples at which the condition ``over`` has held ``n`` times in a row or more, with ``streak``.
 
-    A streak is a run of rows with the same number of rows before it that broke the condition.  That number
-    is summed over blocks of arrival and then inside one, so streaks over all keys are no single task either.
+    Inside a block of arrival a streak counts from the last row that broke it.  A block in which none did goes
+    on with what the blocks before end in: sums over block summaries that start again at every block with a
+    break.  So neither a key nor a streak is ever one task.
     """
     part = [key] if key else []
-    blocked = samples.withColumn("__broken", F.expr(f"if({over}, 0, 1)")).withColumn("__block", F.expr(f"seq div {block}"))
-    ahead = Window.partitionBy(*(part or [F.lit(0)])).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = blocked.groupBy(*part, "__block").agg(F.sum("__broken").alias("__n"))
-    sums = sums.select(*part, "__block", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
-    inside = F.sum("__broken").over(Window.partitionBy(*part, "__block").orderBy("seq"))
-    marked = blocked.join(sums, [*part, "__block"]).withColumn("__run", inside + F.col("__before")).where(over)
-    ranked = marked.withColumn("streak", F.row_number().over(Window.partitionBy(*part, "__run").orderBy("seq")))
-    return ranked.where(F.col("streak") >= n).drop("__run", "__broken", "__block", "__before")
+    blocked = samples.withColumn("__over", F.expr(f"coalesce({over}, false)")).withColumn("__block", F.expr(f"seq div {block}"))
+    inside = Window.partitionBy(*part, "__block").orderBy("seq")
+    blocked = blocked.withColumn("__at", F.row_number().over(inside))
+    blocked = blocked.withColumn("__since", F.max(F.when(~F.col("__over"), F.col("__at"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = blocked.groupBy(*part, "__block").agg(F.count(F.lit(1)).alias("__size"), F.max(F.when(~F.col("__over"), F.col("__at"))).alias("__break"))
+    blocks = Window.partitionBy(*(part or [F.lit(0)])).orderBy("__block")
+    ends = ends.withColumn("__tail", F.col("__size") - F.coalesce("__break", F.lit(0))).withColumn("__segment", F.sum(F.when(F.col("__break").isNotNull(), 1).otherwise(0)).over(blocks))
+    segment = Window.partitionBy(*part, "__segment").orderBy("__block")
+    ends = ends.withColumn("__tails", F.sum("__tail").over(segment)).select(*part, "__block", F.coalesce(F.lag("__tails").over(blocks), F.lit(0)).alias("__carried"))
+    held = blocked.where("__over").join(ends, [*part, "__block"])
+    held = held.withColumn("streak", F.when(F.col("__since").isNull(), F.col("__at") + F.col("__carried")).otherwise(F.col("__at") - F.col("__since")))
+    return held.where(F.col("streak") >= n).drop("__over", "__block", "__at", "__since", "__carried")
 
 
 def throttled(alerts: DataFrame, interval: int, key: str = "kind", time: str = "ns") -> DataFrame:

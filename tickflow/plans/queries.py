@@ -317,7 +317,7 @@ READOUT = f"found AS (SELECT DISTINCT uid, seq, hub_id, mbid, utc, hub_id + 1200
 
 @query("j02_readout", "SELECT uid, seq, hub_id, mbid, utc, source_id FROM found", ("hits", "request_elements"), READOUT)
 def readout(v):
-    return ranges.readout(v.hits, v.request_elements)
+    return ranges.readout(v.hits, v.request_elements, v.doms, 2 * HOUR)
 
 
 CHAIN = f"""{STAMPS}, seqd AS (SELECT *, row_number() OVER (PARTITION BY mbid ORDER BY seq) AS rn FROM stamps),

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import records
+from ..functions.ticks import event_time
 from ..operators import filters
 
-from ..schemas import HOUR
+from ..schemas import DAY, HOUR
 from ..scratch import scratch_path
 from ..sources import records as binary
 from ..sources import spool
@@ -22,15 +23,17 @@ BATCHES = 4
 
 def replayed_stream(v: Views, rows: DataFrame, name: str, order: str = "seq", part: Column | None = None) -> DataFrame:
     """``rows`` as a stream of BATCHES micro-batches in ``order`` (or by number ``part``); a batch is several files, written in parallel."""
-    path = scratch_path(v.spark, name)
+    whole, path = scratch_path(v.spark, f"{name}-whole"), scratch_path(v.spark, name)
+    (rows if part is None else rows.withColumn("__part", part)).write.parquet(whole)
+    rows = v.spark.read.parquet(whole)
     files = max(2, v.spark.sparkContext.defaultParallelism // 2)
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    step = ((high or 0) - (low or 0)) // BATCHES + 1
-    part = F.expr(f"cast(({order} - {low or 0}) div {step} as int)") if part is None else part
-    numbered = rows.withColumn("__part", part)
+    if part is None:
+        low, high = rows.agg(F.min(order), F.max(order)).first()
+        step = ((high or 0) - (low or 0)) // BATCHES + 1
+        rows = rows.withColumn("__part", F.expr(f"cast(({order} - {low or 0}) div {step} as int)"))
     for k in range(BATCHES):
-        numbered.where(F.col("__part") == k).drop("__part").repartition(files).write.parquet(f"{path}/part={k}")
-    return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path)
+        rows.where(F.col("__part") == k).drop("__part").repartition(files).write.parquet(f"{path}/part={k}")
+    return v.spark.readStream.schema(rows.drop("__part").schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path)
 
 
 def finished(v: Views, stream: DataFrame, name: str) -> DataFrame:
@@ -121,13 +124,61 @@ def windowed(v: Views, rows: DataFrame | None = None, part: Column | None = None
     return done.select("mbid", (F.unix_micros("start") - 1704067200000000).alias("start_us"), "n")
 
 
-@query("t03_run_flush", f"SELECT run_number, utc // {WIDE} * {WIDE} AS bin, mbid, count(*) AS n FROM hits JOIN runs ON utc BETWEEN start_utc AND stop_utc GROUP BY ALL", ("hits", "runs"))
+LAGGING = PARTS + f""", sent AS (SELECT *, utc // {2 * DAY} * {2 * DAY} AS bin, k % 10 = 0 AS lags FROM parts),
+    fronts AS (SELECT hub_id, max(bin) FILTER (part < 3 AND NOT lags) AS front, max(bin) AS newest, max(utc) AS latest FROM sent GROUP BY hub_id),
+    judged AS (SELECT s.*, newest, latest, front - {2 * DAY} AS open_from, lags AND part < 3 AND utc < front - {2 * DAY} AS rejected FROM sent s JOIN fronts USING (hub_id)),
+    starts AS (SELECT hub_id, min(utc) FILTER (NOT rejected) AS first_seen FROM judged GROUP BY hub_id)"""
+
+
+@query(
+    "t02_all_channels",
+    f"""SELECT hub_id, CASE WHEN bin = min(bin) OVER (PARTITION BY hub_id) THEN first_seen ELSE bin END AS first_utc, CASE WHEN bin = newest THEN latest ELSE bin + {2 * DAY} - 1 END AS last_utc, mbid, count(*) AS n, false AS rejected
+      FROM judged JOIN starts USING (hub_id) WHERE NOT rejected GROUP BY hub_id, bin, first_seen, newest, latest, mbid
+      UNION ALL SELECT hub_id, NULL, open_from - 1, mbid, count(*), true FROM judged WHERE rejected GROUP BY hub_id, open_from, mbid""",
+    ("hits",), LAGGING,
+)
 def _(v):
-    events = filters.in_runs(v.hits, v.runs).select("run_number", "seq", "mbid", "utc", F.lit(False).alias("ends"))
-    last = events.agg(F.max("seq").alias("top"))
-    modules = events.select("run_number", "mbid").distinct().join(F.broadcast(v.runs), "run_number")
-    ends = modules.crossJoin(F.broadcast(last)).selectExpr("run_number", "top + 1 as seq", "mbid", "stop_utc + 1 as utc", "true as ends")
-    return finished(v, streams.run_bins(replayed_stream(v, events.unionByName(ends), "events"), WIDE), "run-bins")
+    """Bins that close when all channels of a hub have gone on; a tenth of the hits lag until the last batch."""
+    hits = v.hits.select("hub_id", "seq", "mbid", "utc", "k", F.lit(False).alias("ends"))
+    top = hits.groupBy("hub_id").agg(F.max("seq").alias("seq"), F.max("utc").alias("utc"))
+    ends = top.selectExpr("hub_id", "seq + 1 as seq", "0L as mbid", "utc", "1 as k", "true as ends")
+    low, high = v.hits.agg(F.min("seq"), F.max("seq")).first()
+    step = ((high or 0) - (low or 0)) // BATCHES + 1
+    part = F.when(F.expr("ends or k % 10 = 0"), BATCHES - 1).otherwise(F.expr(f"cast((seq - {low or 0}) div {step} as int)"))
+    events = streams.with_event_time(replayed_stream(v, hits.union(ends), "events", part=part), 2024, "60 days")
+    return finished(v, streams.hub_bins(events, 2 * DAY), "hub-bins")
+
+
+def run_events(v: Views) -> DataFrame:
+    """Hits of runs, and after the last one of a run an event for each of its modules that ends it; a stream with a watermark.
+
+    One event past all runs moves the watermark and is taken out behind it.
+    """
+    events = filters.in_runs(v.hits, v.runs).select("run_number", F.expr("2 * seq as seq"), "mbid", "utc", F.lit(False).alias("ends"))
+    last = events.groupBy("run_number").agg(F.max("seq").alias("top"))
+    modules = events.select("run_number", "mbid").distinct().join(v.runs, "run_number").join(last, "run_number")
+    ends = modules.selectExpr("run_number", "top + 1 as seq", "mbid", "stop_utc + 1 as utc", "true as ends")
+    beyond = v.runs.agg(F.max("stop_utc").alias("stop"), F.max("run_number").alias("run")).crossJoin(last.agg(F.max("top").alias("top")))
+    beyond = beyond.selectExpr("run + 1 as run_number", "top + 2 as seq", "0L as mbid", f"stop + {DAY} as utc", "false as ends")
+    stream = streams.with_event_time(replayed_stream(v, events.unionByName(ends).unionByName(beyond), "events"), 2024, "1 hour")
+    stop = v.runs.agg(F.max("stop_utc")).first()[0]
+    return stream.where(F.col("event_ts") < event_time(f"{stop + DAY}L", 2024))
+
+
+@query("t03_run_flush", f"SELECT run_number, utc // {WIDE} * {WIDE} AS bin, mbid, count(*) AS n, false AS late FROM hits JOIN runs ON utc BETWEEN start_utc AND stop_utc GROUP BY ALL", ("hits", "runs"))
+def _(v):
+    return finished(v, streams.run_bins(run_events(v), WIDE), "run-bins")
+
+
+@query("t03_state_left", "SELECT 0 AS state_rows, 0 AS rejected, count(*) AS counted FROM hits JOIN runs ON utc BETWEEN start_utc AND stop_utc", ("hits", "runs"))
+def _(v):
+    """State rows that are left when the watermark has passed the last run, rejected events and counted ones."""
+    path = scratch_path(v.spark, "run-bins")
+    with streams.rocksdb(v.spark):
+        running = streams.run_bins(run_events(v), WIDE).writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_path(v.spark, "state")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    found = v.spark.read.parquet(path).agg(F.coalesce(F.sum(F.when(F.col("late"), F.col("n"))), F.lit(0)).alias("rejected"), F.sum(F.when(~F.col("late"), F.col("n"))).alias("counted"))
+    return found.select(F.lit(running.lastProgress["stateOperators"][0]["numRowsTotal"]).alias("state_rows"), "rejected", "counted")
 
 
 ASKED = "asked AS (SELECT mbid, seq, (dom_rx + (k - 60) * 400000) AS domclk FROM tcal)"
@@ -188,15 +239,7 @@ def _(v):
 
 @query("t08_run_switching", "SELECT run_number, mbid, count(*) AS n FROM hits JOIN runs ON utc BETWEEN start_utc AND stop_utc GROUP BY ALL", ("hits", "runs"))
 def _(v):
-    path = scratch_path(v.spark, "by-run")
-    hits = replayed_stream(v, v.hits.select("seq", "mbid", "utc"), "hits")
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    counts = streams.counts_by_run(hits, v.runs)
-    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", scratch_path(v.spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    return v.spark.read.schema(counts.schema).parquet(path)
+    return finished(v, streams.counts_by_run(run_events(v)), "by-run")
 
 
 @query("t09_batch_sink", "SELECT count(*) AS n, count(*) FILTER (lc_mode <> 0 OR trigger_mode = 4) AS n_thin FROM hits", ("hits",))

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-import pickle
-from collections import deque
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
+from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.ticks import DOM_TICKS, event_time
-from ..operators.calibrate import SETTLED, WEIGHT, WILD, chain_step
-from ..operators.filters import forwarded, in_runs
+from ..functions.ticks import event_time
+from ..operators.filters import forwarded
 from ..operators.ranges import accepts, taken_before
 from ..schemas import HOUR, SECOND
+from .bins import hub_bins, run_bins
+from .calibration import calibrated_hits
 
-#: Isochrons that are kept, and records that may wait for calibration.
-HISTORY, DEFERRED = 20, 5000
+__all__ = ["batch_sink", "binned_counts", "calibrated_hits", "continuous_readout", "counts_by_run", "hub_bins", "rocksdb", "run_bins", "run_to_end", "with_event_time"]
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, as those with stateful processors must.
+
+    A batch ships what it changed, not a snapshot of all.  The session's own settings stay.
+    """
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def with_event_time(hits: DataFrame, year: int, delay: str) -> DataFrame:
@@ -33,104 +48,6 @@ def binned_counts(hits: DataFrame, width: str = "10 minutes", key: str = "mbid")
     return hits.groupBy(F.window("event_ts", width), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), key, "n")
 
 
-def run_bins(events: DataFrame, width: int, key: str = "run_number") -> DataFrame:
-    """Counts by bin of each run and module: a bin comes out when a later one of the module begins, the rest when the run ends.
-
-    ``events`` has run_number, mbid, utc and ``ends``, true for the event that ends the run for the module.
-    State is the end of the last bin put out and the counts of bins that are open, usually one; events of bins
-    already put out are dropped.
-    """
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, *open_ = state.get if state.exists else (-1, [], [])
-        counts = dict(zip(*open_, strict=True))
-        ended = False
-        for rows in batches:
-            ended = ended or bool(rows.ends.any())
-            bins, n = np.unique(rows.utc.to_numpy()[~rows.ends.to_numpy(bool)] // width * width, return_counts=True)
-            for bin_, m in zip(bins.tolist(), n.tolist(), strict=True):
-                if bin_ > done:
-                    counts[bin_] = counts.get(bin_, 0) + m
-        ready = sorted(b for b in counts if ended or b < max(counts))
-        out = [(k[0], b, k[1], counts.pop(b)) for b in ready]
-        state.update((max([done, *ready]), list(counts), list(counts.values())))
-        yield pd.DataFrame(out, columns=[key, "bin", "mbid", "n"])
-
-    schema = "done bigint, bins array<bigint>, counts array<bigint>"
-    return events.groupBy(key, "mbid").applyInPandasWithState(step, f"{key} int, bin bigint, mbid bigint, n bigint", schema, "append", GroupStateTimeout.NoTimeout)
-
-
-class Record(NamedTuple):
-    """A hit or a calibration, in the order in which a channel takes them."""
-
-    seq: int
-    kind: str
-    mbid: int
-    domclk: int
-    t0: int
-    t1: int
-    t2: int
-    t3: int
-    bad: bool
-    gps_offset: int
-
-
-class Channel:
-    """State of a channel: the calibration chain, its isochrons, hits that wait, and the greatest time put out."""
-
-    def __init__(self, threshold: float, weight: float, settled: int):
-        self.chain, self.isochrons, self.waiting, self.top = (0, None, None, (None, 0)), [], deque(), None
-        self.rule = threshold, weight, settled
-
-    def calibrate(self, row) -> None:
-        self.chain, out = chain_step(self.chain, row, *self.rule)
-        if out[2] == "accepted":
-            self.isochrons = [*self.isochrons[-HISTORY + 1 :], out[3:]]
-
-    def reached(self, clock: int) -> bool:
-        return bool(self.isochrons) and clock <= self.isochrons[-1][1]
-
-    def translate(self, clock: int) -> int:
-        """Time by the isochron that holds the clock, the oldest one if it is before all of them."""
-        _, _, dor_mid, dom_mid, epsilon, _, offset = next(i for i in self.isochrons if clock <= i[1])
-        dt = clock - dom_mid
-        return dor_mid + dt + int(epsilon * dt) + offset
-
-    def released(self) -> Iterator[tuple[int, int, bool]]:
-        """(seq, utc, kept) of the hits that can go, in order of arrival; steps back in time are not kept."""
-        while self.waiting and self.reached(self.waiting[0][1]):
-            seq, clock = self.waiting.popleft()
-            utc = self.translate(clock)
-            kept = self.top is None or utc >= self.top
-            self.top = utc if kept else self.top
-            yield seq, utc, kept
-
-
-def calibrated_hits(records: DataFrame, threshold: float = WILD, weight: float = WEIGHT, settled: int = SETTLED) -> DataFrame:
-    """Hits in translated time: each waits until a calibration reaches its clock, then order is enforced.
-
-    ``records`` is the union of hits (kind ``hit``, domclk) and calibrations (kind ``tcal``, t0..t3, bad,
-    gps_offset) of all channels with mbid and seq.  A channel with more than 5000 waiting hits fails.
-    """
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        channel: Channel = pickle.loads(state.get[0]) if state.exists else Channel(threshold, weight, settled)
-        rows = [r for batch in batches for r in zip(*(batch[c].tolist() for c in Record._fields), strict=True)]
-        out = []
-        for row in map(Record._make, sorted(rows)):
-            if row.kind == "tcal":
-                channel.calibrate(row)
-            else:
-                channel.waiting.append((row.seq, row.domclk * DOM_TICKS))
-            out += channel.released()
-            if len(channel.waiting) > DEFERRED:
-                raise ValueError(f"channel {k[0]} waits for calibration with {len(channel.waiting)} hits")
-        state.update((pickle.dumps(channel),))
-        yield pd.DataFrame([(k[0], *o) for o in out], columns=["mbid", "seq", "utc", "kept"])
-
-    return records.groupBy("mbid").applyInPandasWithState(step, "mbid bigint, seq bigint, utc bigint, kept boolean", "state binary", "append", GroupStateTimeout.NoTimeout)
-
-
 def continuous_readout(hits: DataFrame, requests: DataFrame, year: int, delay: str = "1 hour", slice_ticks: int = HOUR) -> DataFrame:
     """Hits of each request as both arrive, once a request: a stream-stream join by time slice.
 
@@ -151,9 +68,9 @@ def continuous_readout(hits: DataFrame, requests: DataFrame, year: int, delay: s
     return met.where(accepts() & ((F.size("earlier") == 0) | ~taken_before())).select("uid", "elem", "seq", "hub_id", "mbid", "utc")
 
 
-def counts_by_run(hits: DataFrame, runs: DataFrame, key: str = "mbid") -> DataFrame:
-    """Running counts by run and channel; events between runs count nowhere.  ``runs`` is a static dimension."""
-    return in_runs(hits, runs).groupBy("run_number", key).agg(F.count(F.lit(1)).alias("n"))
+def counts_by_run(events: DataFrame) -> DataFrame:
+    """Counts of each run and channel, put out when the run ends; its state goes with it.  ``events`` as for ``run_bins``."""
+    return run_bins(events, 1 << 62).where("not late").select("run_number", "mbid", "n")
 
 
 def batch_sink(store: str, thin: str) -> Callable[[DataFrame, int], None]:
@@ -172,4 +89,6 @@ def batch_sink(store: str, thin: str) -> Callable[[DataFrame, int], None]:
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process all that is there and stop; results as Parquet under ``path``."""
-    stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    with rocksdb(stream.sparkSession):
+        running = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running.awaitTermination()
