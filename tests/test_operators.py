@@ -217,11 +217,11 @@ def streamed(spark, tmp_path, make, schema, *batches):
 def test_ended_runs_leave_no_state_and_reject_late_events(spark, tmp_path):
     hour = 36 * 10**12
     schema = "run_number int, mbid long, utc long, ends boolean"
-    make = lambda s: streams.run_bins(streams.with_event_time(s, 2024, "1 hour"), hour)
+    make = lambda s: streams.run_bins(streams.with_event_time(s, 2024, "1 hour"), hour, 1, 3 * 3600 * 1000)
     batches = (
         [(1, 7, 0, False), (1, 7, hour // 2, False), (1, 7, hour, False), (1, 8, hour, False)],
         [(1, 7, 2 * hour, True), (2, 7, 2 * hour, False)],
-        [(1, 7, hour, False), (1, 7, hour + 1, False), (1, 8, 2 * hour, False), (2, 7, 9 * hour, False)],  # late for module 7, not for 8
+        [(1, 7, hour * 3 // 2, False), (1, 7, hour * 7 // 4, False), (1, 8, 2 * hour, False), (2, 7, 9 * hour, False)],  # late for module 7, not for 8
         [(1, 7, hour, False)],  # later than the watermark
     )
     found, left = streamed(spark, tmp_path, make, schema, *batches)

@@ -31,8 +31,8 @@ def _added(counts: dict[tuple[int, int], int], mbid: np.ndarray, bins: np.ndarra
 class RunBins(StatefulProcessor):
     """Bins of the modules of a run and lane.  State: one row of columns, gone when the watermark has passed the run."""
 
-    def __init__(self, width: int):
-        self.width = width
+    def __init__(self, width: int, silent_ms: int):
+        self.width, self.silent_ms = width, silent_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -63,14 +63,13 @@ class RunBins(StatefulProcessor):
                 done[m] = max(b, done.get(m, _NEVER))
         done |= dict.fromkeys(over, EOS)
         self.state.update((list(done), list(done.values()), [m for m, _ in counts], [b for _, b in counts], list(counts.values())))
-        if len(over):
-            # what is late until then is rejected by the state, later than that by the watermark
-            last = int(new.event_ts[ends].max().timestamp() * 1000) + 1
-            before = list(self.handle.listTimers())
-            if last > max(before, default=0):
-                for t in before:
-                    self.handle.deleteTimer(t)
-                self.handle.registerTimer(last)
+        # what is late until the timer is rejected by the state, later than that by the watermark
+        whole = not counts and all(d == EOS for d in done.values())
+        before = list(self.handle.listTimers())
+        for t in before:
+            self.handle.deleteTimer(t)
+        last = int(new.event_ts.max().timestamp() * 1000)
+        self.handle.registerTimer(last + 1 if whole else max([last + self.silent_ms, *before]))
         yield pd.DataFrame(out, columns=["run_number", "bin", "mbid", "n", "late"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -83,17 +82,18 @@ class RunBins(StatefulProcessor):
         pass
 
 
-def run_bins(events: DataFrame, width: int, lanes: int = LANES) -> DataFrame:
+def run_bins(events: DataFrame, width: int, lanes: int = LANES, silent_ms: int = 24 * 3600 * 1000) -> DataFrame:
     """Counts by bin of each run and module: a bin comes out when a later one of the module begins, the rest when the run ends.
 
     ``events`` has run_number, mbid, utc, ``event_ts`` with a watermark, and ``ends``, true for the event that
     ends the run for the module.  Rows are (run_number, bin, mbid, n, late): events of bins that came out before
     are rejected and come out as ``late``.  When the watermark passes the end of a run nothing of it is left in
-    state; still later events are dropped by the watermark.  Needs the RocksDB state store.
+    state; still later events are dropped by the watermark.  Modules whose end never comes are put out when the
+    watermark has left them behind by ``silent_ms``.  Needs the RocksDB state store.
     """
     lane = F.pmod(F.xxhash64("mbid"), F.lit(lanes)).cast("int").alias("lane")
     keyed = events.withColumn("lane", lane).groupBy("run_number", "lane")
-    return keyed.transformWithStateInPandas(RunBins(width), "run_number int, bin bigint, mbid bigint, n bigint, late boolean", "Append", "EventTime")
+    return keyed.transformWithStateInPandas(RunBins(width, silent_ms), "run_number int, bin bigint, mbid bigint, n bigint, late boolean", "Append", "EventTime")
 
 
 # --- hubs ---------------------------------------------------------------------------------------------------
