@@ -16,8 +16,8 @@ from .common import bounded_batches, hand_back_memory
 from .langid import held_out, training_rows
 
 WORD = re.compile(r"\w+")
-#: Lengths of the word beginnings that can be lexicon entries, and the least length of a term that is matched with an edit.
-STEMS, FUZZY = (3, 4, 5, 6, 7, 8), 5
+#: Lengths of the word beginnings that can be lexicon entries (shorter ones begin harmless words too), and the least length of a term that is matched with an edit.
+STEMS, FUZZY = (5, 6, 7, 8), 5
 #: Evidence of a hit with an edit and of one in quotation, as parts of that of an exact hit in plain use.
 EDITED, QUOTED = 0.9, 0.1
 #: Words on either side of a hit that make its window.
