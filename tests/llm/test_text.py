@@ -61,6 +61,28 @@ def test_open_tags_are_left_in_linear_time():
     assert time.process_time() - begin < 5
 
 
+LONG = "".join(f"<p>{' '.join(f'{w}{k}' for k in range(n))}</p>" for w, n in (("word", 60), ("more", 72), ("last", 14)))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<head><title>T</title><body><article>%s</article>",
+        "<head><title>T</title><meta charset=x><article>%s</article>",
+        "<html><body><div class='post share-enabled'><article>%s</article></div>",
+        "<body><div class='search-page'><article>%s</article></div><div class='search'><p>Find what you like</p></div>",
+        "<body><a name=top><article>%s</article>",
+        "<body><div><a href=/x>Home</div><article>%s</article>",
+        "<body><main>%s</main>",
+    ],
+)
+def test_omitted_tags_marks_and_anchors_keep_the_article(page):
+    """A head that nothing closes, marks on what holds the article, anchors that are no links, and short last paragraphs."""
+    text = html.main_text(page % LONG, TREE)
+    assert [len(t.split()) for t in text.split("\n") if t.startswith(("word", "more", "last"))] == [60, 72, 14]
+    assert "Find" not in text and "T" not in text.split()
+
+
 @given(st.text(alphabet="<>/=\"' apdivh1!-&;x\n", max_size=200))
 @settings(max_examples=300, deadline=None)
 def test_any_markup_is_read_to_its_end(page):
@@ -288,3 +310,23 @@ def test_stage_decisions(spark, sf_dir, make_docs):
     docs = make_docs([(1, " ".join(words)), (2, " ".join(words) + " "), (3, " ".join(words[::-1]) + item), (4, None), (5, "a b c")])
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()) == [1, 3, 4, 5]
     assert sorted(r.doc_id for r in corpus_pipeline.drop_benchmark(spark, docs, sf_dir).collect()) == [1, 2, 4, 5]
+
+
+def test_harmless_words_with_the_beginning_of_a_term(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learned(docs, labels)
+    assert model.score("A worker in the world works with patterns of words") < 0.3
+    assert model.score("The worst of the patent work was lost in the morning of a studio") < 0.3
+    assert all(len(s) >= 5 for s in model.lexicon.stems)
+
+
+def test_pipeline_toxicity_stage_drops_what_the_operator_rejects(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, sf_dir).collect()}
+    rejected = {r.doc_id for r in toxicity.scored(docs, toxicity.learned(docs, labels)).where("predicted = 1").collect()}
+    every = {r.doc_id for r in docs.collect()}
+    assert kept == every - rejected and rejected
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    assert sum(truth.get(i) == 0 for i in rejected) <= 1
