@@ -2,6 +2,7 @@
 
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from tickflow.functions import records, ticks
 from tickflow.operators import calibrate, filters, lookups, monitor, ordering, ranges, sweep, windows
 from tickflow.schemas import DAY, EOS, HOUR, SECOND
 from tickflow.sources import records as binary
-from tickflow.sources import spool
+from tickflow.sources import ring, spool, spool_files
 from tickflow.streaming import bins, calibration
 from tickflow.streaming import queries as streams
 
@@ -153,8 +154,8 @@ def test_spool_files_and_raw_messages(spark, tmp_path):
 
     (tmp_path / "HitSpool-0.dat").write_bytes(record(3, 7, 100) + record(2, 8, 200, b""))
     (tmp_path / "HitSpool-1.dat").write_bytes(record(3, 9, EOS))
-    assert values(binary.read_spool(spark, str(tmp_path)), "rec_len", "fmt", "mbid", "utc", "payload") == [(32, 2, 8, 200, bytearray(b"")), (35, 3, 7, 100, bytearray(b"abc")), (35, 3, 9, EOS, bytearray(b"abc"))]
-    assert values(binary.read_spool(spark, str(tmp_path), 150, 250), "mbid") == [(8,)]
+    assert values(spool_files.read_spool(spark, str(tmp_path)), "rec_len", "fmt", "mbid", "utc", "payload") == [(32, 2, 8, 200, bytearray(b"")), (35, 3, 7, 100, bytearray(b"abc")), (35, 3, 9, EOS, bytearray(b"abc"))]
+    assert values(spool_files.read_spool(spark, str(tmp_path), 150, 250), "mbid") == [(8,)]
     engineering = struct.pack(">HHBB", 20, 2, 1, 0) + bytes(4) + (123456789012).to_bytes(6, "big") + bytes(4)
     skipped = struct.pack(">HH", 8, 0x55) + bytes(4)
     hit = lambda clk, chip: struct.pack("<iIi", 14 | chip << 11, clk, 9) + b"xy"
@@ -162,13 +163,113 @@ def test_spool_files_and_raw_messages(spark, tmp_path):
     assert [h[:4] for h in binary.raw_hits(engineering + skipped + compressed)] == [(2, 1, 123456789012, 20), (3, 0, (0xFFFF << 32) + 5, 14), (3, 1, 2**48 - 1, 14)]
 
 
+def record_file(path, sizes, index=False):
+    """A file of records of these body sizes; returns (offset, utc) of each."""
+    out, places = [], []
+    for k, n in enumerate(sizes):
+        places.append((sum(map(len, out)), 10 * k))
+        out.append(struct.pack(">iiqqq", 32 + n, 3, k % 5, 0, 10 * k) + bytes(n))
+    path.write_bytes(b"".join(out))
+    if index:
+        spool_files.indexed(str(path), 3)
+    return places
+
+
+@pytest.mark.parametrize("index", [False, True])
+def test_any_cut_of_a_record_file_gives_the_same_records(tmp_path, index):
+    rng = random.Random(4)
+    path = tmp_path / "a.dat"
+    places = record_file(path, [rng.choice([0, 1, 7, 60, 300, 5000]) for _ in range(150)], index)
+    size = path.stat().st_size
+    for step in (size + 1, 1000, 333, 97):
+        file, got = spool_files.RecordFile(str(path)), []
+        for a in range(0, size, step):
+            for batch in file.records(a, min(a + step, size)):
+                got += zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True)
+        assert got == places
+    file = spool_files.RecordFile(str(path))
+    assert all(file.sync(at) == min((p for p, _ in places if p >= at), default=size) for at in range(0, size, 41))
+
+
+def test_broken_record_files_are_errors(tmp_path):
+    path = tmp_path / "a.dat"
+    record_file(path, [5] * 40)
+    whole = path.read_bytes()
+    for broken in (whole[:-1], whole + b"xy", whole[:370] + b"\0" * 8 + whole[378:]):
+        path.write_bytes(broken)
+        with pytest.raises(ValueError):
+            list(spool_files.RecordFile(str(path)).records(0, len(broken)))
+    # a body that looks like records: the chain begins in it, and the range before says so
+    fake = b"".join(struct.pack(">iiqqq", 32, 3, 1, 0, 0) for _ in range(40))
+    path.write_bytes(struct.pack(">iiqqq", 32 + len(fake), 3, 1, 0, 0) + fake + whole)
+    with pytest.raises(ValueError, match="write an index"):
+        list(spool_files.RecordFile(str(path)).records(0, 64))
+    spool_files.indexed(str(path))
+    file = spool_files.RecordFile(str(path))
+    assert sum(len(b) for a in range(0, file.size, 64) for b in file.records(a, min(a + 64, file.size))) == 41
+
+
+def test_large_file_is_read_by_several_tasks(spark, tmp_path):
+    """A file of 200 MB that has holes on disk only where bodies are: many ranges, each read by itself."""
+    path, n, body = tmp_path / "big.dat", 2000, 100_000
+    with path.open("wb") as f:
+        for k in range(n):
+            f.write(struct.pack(">iiqqq", 32 + body, 3, 1, 0, k))
+            f.seek(body, 1)
+        f.truncate(n * (32 + body))
+    df = spool_files.read_spool(spark, str(tmp_path), with_payload=False, range_bytes=16 << 20)
+    found = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.max("utc").alias("top")).collect()
+    assert len(found) > 10 and sum(r.n for r in found) == n and max(r.top for r in found) == n - 1
+    path.unlink()
+
+
+def test_written_spool_prunes_by_its_index_and_leaves_the_same_files_again(spark, tmp_path):
+    hits = spark.range(3000).selectExpr("id as seq", "cast(id % 2 as int) as hub_id", "id as mbid", "id * 10 as utc", "3 as fmt", "cast(54 + id % 9 as int) as rec_len", "7 as word1")
+    written = [values(spool_files.write_spool(hits, f"{tmp_path}/s", 10_000, stride=50), "file", "n", "bytes") for _ in range(2)]
+    assert written[0] == written[1] and len(written[0]) == 6 and sum(n for _, n, _ in written[0]) == 3000
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if not p.name.endswith((".idx", ".crc"))) == [f for f, *_ in written[0]]
+    found = spool_files.read_spool(spark, f"{tmp_path}/s", 4990, 15_010)
+    assert values(found, "utc") == [(t,) for t in range(4990, 15_011, 10)]
+    assert len({r.path for r in found.collect()}) == 4
+    reader = spool_files.SpoolReader({"path": f"{tmp_path}/s", "first": "4990", "last": "5500"})
+    assert sum(p.value[2] - p.value[1] for p in reader.partitions()) < sum(b for *_, b in written[0]) / 4
+
+
+def test_ring_keeps_the_newest_slices_and_its_catalog_in_step(spark, tmp_path):
+    path, schema = f"{tmp_path}/ring", "seq long, hub_id int, mbid long, utc long"
+    sink = ring.ring_sink(path, 10, 3)
+    batches = [[(0, 1, 1, 5), (1, 1, 1, 12), (2, 2, 1, 3)], [(3, 1, 1, 14), (4, 1, 1, 25)], [(5, 1, 1, 31), (6, 1, 1, 8), (7, 1, 1, 47), (8, 1, 1, 77)]]
+    for number, rows in enumerate(batches):
+        for _ in range(2):  # a batch that runs again
+            sink(spark.createDataFrame(rows, schema), number)
+        if number == 1:
+            before = values(ring.catalog(spark, path, 10), "hub_id", "slice", "start_utc", "stop_utc")
+            assert before == [(1, 0, 5, 5), (1, 1, 12, 14), (1, 2, 25, 34), (2, 0, 3, 12)]  # the newest of a hub is open
+            ring.compact(spark, path)
+            assert values(ring.catalog(spark, path, 10), "hub_id", "slice", "start_utc", "stop_utc") == before
+    # 31 takes slot 0 from 5, and 8 is too late; 47 displaces 12 and 14 and is itself displaced by 77 in its batch
+    assert values(ring.catalog(spark, path, 10), "hub_id", "slice", "start_utc", "stop_utc") == [(1, 2, 25, 25), (1, 3, 31, 31), (1, 7, 77, 86), (2, 0, 3, 12)]
+    assert values(spark.read.parquet(f"{path}/data"), "seq") == [(2,), (4,), (5,), (8,)]
+    assert values(ring.late(spark, path), "hub_id", "slice", "n") == [(1, 0, 1), (1, 4, 1)]
+    assert values(ring.read_ring(spark, path, 20, 80, 10), "seq", "utc") == [(4, 25), (5, 31), (8, 77)]
+    ring.compact(spark, path)
+    assert values(ring.read_ring(spark, path, 0, 80, 10), "seq") == [(2,), (4,), (5,), (8,)]
+
+
 def test_replay_files_skip_and_time_fields(spark, tmp_path):
     hit = struct.pack(">iiqqq", 32, 3, 7, 0, 100)
     moni = struct.pack(">iiqqq", 32, 3, 55, 0, 0)
     for n in range(3):
         (tmp_path / f"hub0001_hit_{n}.dat").write_bytes(hit * (n + 1))
     (tmp_path / "hub0001_moni_0.dat").write_bytes(moni)
-    out = binary.read_replay(spark, str(tmp_path), 1, skip=1)
+    (tmp_path / "hub0001_hit_1.dat.idx").write_bytes(b"")
+    stream = spool_files.replay_stream(spark, str(tmp_path), "hub0001_*.dat", skip=1, files_per_trigger=1, range_bytes=40)
+    stop = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").start()
+    while not stop.recentProgress:
+        stop.processAllAvailable() if stop.exception() else time.sleep(0.1)
+    stop.stop()  # in the middle: the next query goes on from the checkpoint
+    streams.run_to_end(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    out = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out")
     assert values(out.groupBy("stream").agg(F.count("*").alias("n"), F.min("utc").alias("first")), "stream", "n", "first") == [("hit", 5, 100), ("moni", 1, 55)]
 
 

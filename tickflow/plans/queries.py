@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import records, ticks
 from ..operators import calibrate, clocks, filters, lookups, monitor, ordering, ranges, windows
 from ..schemas import DAY, HOUR, SECOND
+from ..scratch import scratch_path
 from ..sources import records as binary
-from ..sources import spool
+from ..sources import ring, spool, spool_files
 from ..sources.views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,8 +40,10 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), extra:
 
 @query("s01_spool_records", "SELECT seq_count AS n, rec_len, fmt, mbid, utc FROM (SELECT count(*) AS seq_count, rec_len, fmt, mbid, utc FROM hits GROUP BY ALL)", ("hits",))
 def _(v):
-    files = binary.packed_records(v.hits, SLICE)
-    return binary.split_records(files, with_payload=False).groupBy("rec_len", "fmt", "mbid", "utc").agg(F.count(F.lit(1)).alias("n"))
+    """Record files, written and read back in ranges of 64 KB."""
+    path = scratch_path(v.spark, "spool")
+    spool_files.write_spool(v.hits, path, SLICE).agg(F.sum("n")).collect()
+    return spool_files.read_spool(v.spark, path, with_payload=False, range_bytes=1 << 16).groupBy("rec_len", "fmt", "mbid", "utc").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s02_slices", f"SELECT hub_id, utc // {SLICE} AS slice, count(*) AS n, min(utc) AS lo, max(utc) AS hi FROM hits GROUP BY ALL", ("hits",))
@@ -49,16 +52,35 @@ def _(v):
 
 
 CATALOG = f"cat AS (SELECT hub_id, utc // {SLICE} AS slice, min(utc) AS start_utc, max(utc) AS stop_utc FROM hits GROUP BY ALL)"
+#: As the log of updates has it: a hub's newest slice is open, so it stops where its interval does.
+OPEN_CATALOG = f"cat AS (SELECT hub_id, slice, start_utc, CASE WHEN slice = max(slice) OVER (PARTITION BY hub_id) THEN start_utc + {SLICE} - 1 ELSE stop_utc END AS stop_utc FROM (SELECT hub_id, utc // {SLICE} AS slice, min(utc) AS start_utc, max(utc) AS stop_utc FROM hits GROUP BY ALL))"
 
 
-@query("s03_catalog_overlap", f"SELECT * FROM cat WHERE start_utc <= {20 * DAY} AND stop_utc >= {10 * DAY}", ("hits",), CATALOG)
+def ringed(v: Views, parts: int, kept: int = spool.KEPT) -> str:
+    """The path of a ring store into which the hits went in ``parts`` batches of arrival, the last one twice."""
+    path = scratch_path(v.spark, "ring")
+    rows = v.hits.select("seq", "hub_id", "mbid", "utc")
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    step = ((high or 0) - (low or 0)) // parts + 1
+    sink = ring.ring_sink(path, SLICE, kept)
+    for k in [*range(parts), parts - 1]:
+        sink(rows.where(F.expr(f"(seq - {low or 0}) div {step} = {k}")), k)
+    return path
+
+
+@query("s03_catalog_overlap", f"SELECT * FROM cat WHERE start_utc <= {40 * DAY} AND stop_utc >= {10 * DAY}", ("hits",), OPEN_CATALOG)
 def _(v):
-    return spool.overlapping(spool.catalog(v.hits, SLICE), 10 * DAY, 20 * DAY)
+    """From the log of updates alone, compacted half-way, with a batch that ran twice."""
+    path = ringed(v, 2)
+    ring.compact(v.spark, path)
+    return spool.overlapping(ring.catalog(v.spark, path, SLICE), 10 * DAY, 40 * DAY).drop("slot")
 
 
 @query("s04_retention", "SELECT hub_id, slice, start_utc, stop_utc FROM (SELECT *, row_number() OVER (PARTITION BY hub_id, slice % 7 ORDER BY slice DESC) AS r FROM cat) WHERE r = 1", ("hits",), CATALOG)
 def _(v):
-    return spool.retained(spool.catalog(v.hits, SLICE), 7)
+    """What the folders of a ring of seven slots hold."""
+    data = v.spark.read.parquet(f"{ringed(v, 3, 7)}/data")
+    return data.groupBy("hub_id", F.col("slice").cast("long").alias("slice")).agg(F.min("utc").alias("start_utc"), F.max("utc").alias("stop_utc"))
 
 
 @query("s08_tcal_capture", "SELECT seq, mbid, dor_tx FROM tcal WHERE mbid IN (1, 2, 3, 5, 8) AND seq // 100 > (SELECT max(seq // 100) FROM tcal WHERE mbid IN (1, 2, 3, 5, 8)) - 2", ("tcal",))
@@ -386,9 +408,10 @@ def _(v):
 RANGE = "spans AS (SELECT uid, min(first_utc) AS first_utc, max(last_utc) AS last_utc FROM request_elements GROUP BY uid)"
 
 
-@query("j08_slice_pruning", "SELECT uid, hub_id, slice FROM cat JOIN spans ON start_utc <= last_utc AND stop_utc >= first_utc", ("hits", "request_elements"), f"{CATALOG}, {RANGE}")
+@query("j08_slice_pruning", "SELECT uid, hub_id, slice FROM cat JOIN spans ON start_utc <= last_utc AND stop_utc >= first_utc", ("hits", "request_elements"), f"{OPEN_CATALOG}, {RANGE}")
 def _(v):
-    return ranges.overlapping_slices(spool.catalog(v.hits, SLICE), ranges.request_range(v.request_elements), SLICE)
+    """The catalog of a ring store tells the slices; hits are not read."""
+    return ranges.overlapping_slices(ring.catalog(v.spark, ringed(v, 1), SLICE), ranges.request_range(v.request_elements), SLICE)
 
 
 @query("j09_leap_seconds", "SELECT seq, CASE WHEN day >= 20 THEN 2 WHEN day >= 10 THEN 1 ELSE 0 END AS leap FROM gps", ("gps",))

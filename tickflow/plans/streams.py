@@ -12,7 +12,7 @@ from ..operators import filters
 from ..schemas import DAY, HOUR
 from ..scratch import scratch_path
 from ..sources import records as binary
-from ..sources import spool
+from ..sources import spool, spool_files
 from ..sources.views import Views
 from ..streaming import queries as streams
 from .queries import ACCEPTS, CHAIN, FINE_SQL, SLICE, WAVE, WIDE, query, stamps
@@ -70,10 +70,13 @@ def _(v):
 
 @query("s10_replay", f"SELECT CASE WHEN utc // {SLICE} % 2 = 0 THEN 'hit' ELSE 'moni' END AS stream, count(*) AS n, min(CASE WHEN utc // {SLICE} % 2 = 0 THEN utc ELSE mbid END) AS first_utc FROM hits WHERE utc // {SLICE} % 2 = 1 OR utc // {SLICE} >= 6 GROUP BY ALL", ("hits",))
 def _(v):
-    files = binary.packed_records(v.hits, SLICE)
-    number = F.regexp_extract("path", r"-(\d+)$", 1).cast("int")
-    files = files.withColumn("number", number).withColumn("stream", F.when(number % 2 == 0, "hit").otherwise("moni"))
-    return binary.replayed(files, skip=6).groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.min("utc").alias("first_utc"))
+    """Replay files of hits and of another stream, written and then read as a stream of files."""
+    path, out = scratch_path(v.spark, "replay"), scratch_path(v.spark, "replayed")
+    name = "concat('hub', lpad(hub_id, 4, '0'), if(slice % 2 = 0, '_hit_', '_moni_'), slice, '.dat')"
+    spool_files.write_spool(v.hits, path, SLICE, name).agg(F.sum("n")).collect()
+    stream = spool_files.replay_stream(v.spark, path, skip=6, files_per_trigger=40)
+    streams.run_to_end(stream, out, scratch_path(v.spark, "state"))
+    return v.spark.read.schema(stream.schema).parquet(out).groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.min("utc").alias("first_utc"))
 
 
 @query("s11_spool_round_trip", f"SELECT hub_id, count(*) AS n, min(utc) AS lo, max(utc) AS hi FROM hits WHERE utc BETWEEN {4 * SLICE} AND {11 * SLICE} GROUP BY hub_id", ("hits",))

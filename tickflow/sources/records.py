@@ -1,91 +1,13 @@
-"""Length-prefixed binary records: spool files, replay files, raw module messages, configuration files."""
+"""Raw module messages and configuration files; record files are in ``spool_files``."""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import RECORD
-
-#: Length, type, module, padding and time: the head of a record in a spool.
-HEAD, HEAD_SIZE = ">iiqqq", 32
-#: Where a record's time stands: after the module in hits, in its place in the other streams.
-HIT_TIME, OTHER_TIME = 24, 8
-
-_RECORD = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("rec_len", pa.int32()), ("fmt", pa.int32()), ("mbid", pa.int64()), ("utc", pa.int64()), ("payload", pa.binary())])
-
-
-def _spans(data: bytes) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at + 4 <= len(data):
-        size = int.from_bytes(data[at : at + 4], "big", signed=True)
-        if size < HEAD_SIZE or at + size > len(data):
-            raise ValueError(f"record of {size} bytes at {at} of {len(data)}")
-        yield at, size
-        at += size
-
-
-def split_records(files: DataFrame, with_payload: bool = True, time_at: int = HIT_TIME) -> DataFrame:
-    """One row for each record of files (path, content): fields of the head, and the bytes after it.
-
-    A record states its length; one that runs past its file fails the job.  Streams whose time stands at
-    byte 8 have no module in the head.
-    """
-
-    def run(batches):
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                for at, size in _spans(data):
-                    length, fmt, mbid, _, utc = struct.unpack_from(HEAD, data, at)
-                    if time_at == OTHER_TIME:
-                        mbid, utc = None, mbid
-                    rows.append((path, at, length, fmt, mbid, utc, data[at + HEAD_SIZE : at + size] if with_payload else None))
-                columns = list(zip(*rows, strict=True)) or [()] * len(_RECORD)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _RECORD.types, strict=True)], _RECORD.names)
-
-    return files.select("path", "content").mapInArrow(run, RECORD)
-
-
-def read_spool(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, with_payload: bool = True) -> DataFrame:
-    """Records of all files of a spool folder, with ``first`` <= time <= ``last`` if given."""
-    rows = split_records(spark.read.format("binaryFile").load(path), with_payload)
-    return rows if first is None else rows.where(F.col("utc").between(first, last))
-
-
-def replayed(files: DataFrame, skip: int = 0) -> DataFrame:
-    """Records of replay files (path, content, stream, number), without the first ``skip`` hit files, with ``stream``."""
-    kept = files.where((F.col("stream") != "hit") | (F.col("number") >= skip))
-    hits = split_records(kept.where("stream = 'hit'"), False).withColumn("stream", F.lit("hit"))
-    others = split_records(kept.where("stream <> 'hit'"), False, OTHER_TIME)
-    named = others.join(kept.select("path", "stream").distinct(), "path").select(*hits.columns)
-    return hits.unionByName(named)
-
-
-def read_replay(spark: SparkSession, folder: str, hub_id: int, skip: int = 0) -> DataFrame:
-    """Records of the files ``hub<id>_<stream>_<n>.dat`` of a hub."""
-    files = spark.read.format("binaryFile").load(f"{folder}/hub{hub_id:04d}_*.dat")
-    name = r"hub\d+_([a-z]+)_(\d+)\.dat$"
-    return replayed(files.withColumn("stream", F.regexp_extract("path", name, 1)).withColumn("number", F.regexp_extract("path", name, 2).cast("int")), skip)
-
-
-def packed_records(hits: DataFrame, slice_ticks: int) -> DataFrame:
-    """(path, content): hits as spool file contents, one for each hub and time slice, in time order.
-
-    A slice bounds the size of a file, as it does in the store.
-    """
-    packed = F.expr(
-        "concat(unhex(lpad(hex(rec_len), 8, '0')), unhex(lpad(hex(fmt), 8, '0')), unhex(lpad(hex(mbid), 16, '0')), unhex(repeat('0', 16)), "
-        "unhex(lpad(hex(utc), 16, '0')), unhex(lpad(hex(word1), 8, '0')), unhex(repeat('00', rec_len - 36)))"
-    )
-    rows = hits.select(F.concat_ws("-", F.lit("hub"), "hub_id", F.expr(f"utc div {slice_ticks}")).alias("path"), F.struct("utc", "mbid", "seq", packed.alias("rec")).alias("r"))
-    return rows.groupBy("path").agg(F.sort_array(F.collect_list("r")).alias("rs")).select("path", F.aggregate("rs", F.lit(b""), lambda a, r: F.concat(a, r["rec"])).alias("content"))
-
-
 # --- raw module messages ------------------------------------------------------------------------------------
 
 RAW_HIT = "mbid bigint, message bigint, number int, fmt int, atwd_chip int, domclk bigint, size int, word1 int, word3 int"
