@@ -457,3 +457,22 @@ def test_one_streak_over_all_rows_is_many_tasks(spark):
     assert found.agg(F.max("streak"), F.count("*")).first() == (4000, 4000)
     rows = found.withColumn("task", F.spark_partition_id()).groupBy("task").count()
     assert rows.count() > 1 and rows.agg(F.max("count")).first()[0] < 4000
+
+
+def test_latency_samples_step_from_pick_to_pick(spark):
+    rng = random.Random(6)
+    rows = [(m, k, 10 * k + rng.choice([0, 5, -80, 90])) for m in (1, 2, 3) for k in range(400)]
+    want = []
+    for m in (1, 2, 3):
+        last = None
+        for _, k, clock in (r for r in rows if r[0] == m):
+            if last is None or clock - last > 37:
+                last = clock
+                want.append((m, k, clock))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (10000, 7):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            assert values(windows.latency_samples(spark.createDataFrame(rows, "mbid long, seq long, domclk long"), 37), "mbid", "seq", "domclk") == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,12 +155,35 @@ def good_times(times: DataFrame, mode: str, minute: int = 60 * SECOND, key: str
 
 
 def latency_samples(hits: DataFrame, every: int = 10 * 40_000_000) -> DataFrame:
-    """One hit of each channel for more than ``every`` counts of its clock since the last one picked: (mbid, seq, domclk)."""
+    """One hit of each channel for more than ``every`` counts of its clock since the last one picked: (mbid, seq, domclk).
 
-    def step(last, row):
-        return (row.domclk, (row.mbid, row.seq, row.domclk)) if last is None or row.domclk - last > every else (last, None)
+    Channels are sorted inside partitions and read batch by batch; what is picked next is found by a binary
+    search in the running maximum of the clock, so steps are as many as picks, not as hits, and all that is
+    kept is the last pick.
+    """
 
-    return folded(hits.select("mbid", "seq", "domclk"), "mbid", "seq", lambda: None, step, "mbid bigint, seq bigint, domclk bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel, last = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            mbid, clock = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, mbid[1:] != mbid[:-1], True]).tolist()
+            picked = []
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if mbid[start] != channel:
+                    channel, last = mbid[start], None
+                # before a pick no clock was higher than it, so the maximum passes a limit where a hit does
+                top = np.maximum.accumulate(clock[start:end])
+                at = 0 if last is None else int(np.searchsorted(top, last + every, "right"))
+                while at < len(top):
+                    picked.append(start + at)
+                    last = int(clock[start + at])
+                    at = int(np.searchsorted(top, last + every, "right"))
+            yield batch.take(pa.array(picked, pa.int64()))
+
+    rows = hits.select("mbid", "seq", "domclk").where("mbid is not null and domclk is not null")
+    return rows.repartition("mbid").sortWithinPartitions("mbid", "seq").mapInArrow(run, "mbid bigint, seq bigint, domclk bigint")
 
 
 def acquisition_latency(hits: DataFrame, n: int = 9) -> DataFrame:
