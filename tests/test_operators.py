@@ -160,7 +160,13 @@ def test_spool_files_and_raw_messages(spark, tmp_path):
     skipped = struct.pack(">HH", 8, 0x55) + bytes(4)
     hit = lambda clk, chip: struct.pack("<iIi", 14 | chip << 11, clk, 9) + b"xy"
     compressed = struct.pack(">HHHH", 8 + 28, 0x90, 0xFFFF, 0) + hit(5, 0) + hit(2**32 - 1, 1)
-    assert [h[:4] for h in binary.raw_hits(engineering + skipped + compressed)] == [(2, 1, 123456789012, 20), (3, 0, (0xFFFF << 32) + 5, 14), (3, 1, 2**48 - 1, 14)]
+    messages = spark.createDataFrame([(7, 1, engineering + skipped + compressed), (8, 2, b""), (9, 3, None), (9, 4, compressed), (9, 5, engineering)], "mbid long, message long, content binary").coalesce(1)
+    both = [(3, 0, (0xFFFF << 32) + 5, 14, 14, 9), (3, 1, 2**48 - 1, 14, 14 | 1 << 11, 9)]
+    one = (2, 1, 123456789012, 20, None, None)
+    found = binary.split_messages(messages).select("mbid", "message", "number", "fmt", "atwd_chip", "domclk", "size", "word1", "word3").collect()
+    assert [tuple(r) for r in found] == [(7, 1, 0, *one), (7, 1, 1, *both[0]), (7, 1, 2, *both[1]), (9, 4, 0, *both[0]), (9, 4, 1, *both[1]), (9, 5, 0, *one)]
+    with pytest.raises(Exception, match="hit of 3 bytes"):
+        binary.split_messages(spark.createDataFrame([(1, 1, struct.pack(">HHHH", 24, 0x90, 0, 0) + struct.pack("<iIi", 3, 0, 0) + bytes(4))], messages.schema)).collect()
 
 
 def record_file(path, sizes, index=False):

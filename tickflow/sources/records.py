@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ RAW_HIT = "mbid bigint, message bigint, number int, fmt int, atwd_chip int, domc
 _RAW = pa.schema([("mbid", pa.int64()), ("message", pa.int64()), ("number", pa.int32()), ("fmt", pa.int32()), ("atwd_chip", pa.int32()), ("domclk", pa.int64()), ("size", pa.int32()), ("word1", pa.int32()), ("word3", pa.int32())])
 
 
-def raw_hits(data: bytes) -> list[tuple]:
-    """(format, chip, clock, size, word1, word3) of the hits in a message.
+def hit_places(data: bytes) -> list[tuple[int, int, int, int]]:
+    """(format, place, high bits of the clock, size) of the hits in a message.
 
     A message holds blocks of a length and a format, big-endian.  Engineering blocks (1, 2) are one hit with a
     clock of six bytes; a compressed block (0x90) holds little-endian hits that share the clock's high bits
@@ -27,30 +28,43 @@ def raw_hits(data: bytes) -> list[tuple]:
         if size < 4:
             raise ValueError(f"block of {size} bytes at {at}")
         if fmt in (1, 2):
-            out.append((2, data[at + 4] & 1, int.from_bytes(data[at + 10 : at + 16], "big"), size, None, None))
+            out.append((2, at, 0, size))
         elif fmt == 0x90:
-            high, inside = int.from_bytes(data[at + 4 : at + 6], "big"), at + 8
-            while inside + 12 <= at + size:
-                word1, word2, word3 = struct.unpack_from("<iIi", data, inside)
-                hit = word1 & 0x7FF
+            high, inside, end = data[at + 4] << 8 | data[at + 5], at + 8, min(at + size, len(data)) - 12
+            while inside <= end:
+                hit = data[inside] | (data[inside + 1] & 7) << 8
                 if hit < 12:
                     raise ValueError(f"hit of {hit} bytes at {inside}")
-                out.append((3, word1 >> 11 & 1, high << 32 | word2, hit, word1, word3))
+                out.append((3, inside, high, hit))
                 inside += hit
         at += size
     return out
 
 
 def split_messages(messages: DataFrame) -> DataFrame:
-    """One row for each hit of raw messages (mbid, message, content)."""
+    """One row for each hit of raw messages (mbid, message, content): (format, chip, clock, size, word1, word3) and its number.
+
+    Lengths are followed one by one; heads are then decoded for all messages of a batch at once.
+    """
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for mbid, message, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                rows += [(mbid, message, n, *hit) for n, hit in enumerate(raw_hits(data))]
-            columns = list(zip(*rows, strict=True)) or [()] * len(_RAW)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _RAW.types, strict=True)], _RAW.names)
+            contents = batch.column(2).to_pylist()
+            found = [hit_places(c or b"") for c in contents]
+            counts = np.array([len(f) for f in found], np.int64)
+            fmt, place, high, size = np.array([hit for f in found for hit in f], np.int64).reshape(-1, 4).T
+            starts = np.cumsum([0, *(len(c or b"") for c in contents)])[:-1]
+            which = np.repeat(np.arange(len(contents)), counts)
+            raw = np.frombuffer(b"".join(c or b"" for c in contents) + bytes(16), np.uint8)
+            heads = raw[(starts[which] + place)[:, None] + np.arange(16)]
+            words = np.ascontiguousarray(heads[:, :12]).view("<i4").astype(np.int64)
+            packed = fmt == 3
+            clock = np.where(packed, high << 32 | words[:, 1] & 0xFFFFFFFF, (heads[:, 10:].astype(np.int64) << np.arange(40, -1, -8)).sum(axis=1))
+            chip = np.where(packed, words[:, 0] >> 11 & 1, heads[:, 4] & 1)
+            number = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+            at = pa.array(which)
+            columns = [batch.column(0).take(at), batch.column(1).take(at), number, fmt, chip, clock, size, pa.array(words[:, 0], mask=~packed), pa.array(words[:, 2], mask=~packed)]
+            yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(t) for c, t in zip(columns, _RAW.types, strict=True)], _RAW.names)
 
     return messages.select("mbid", "message", "content").mapInArrow(run, RAW_HIT)
 
