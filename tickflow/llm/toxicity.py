@@ -289,6 +289,8 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_co
         for batch in batches:
             clean = [model.score(t) < threshold for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        model.lexicon.known.clear()
+        hand_back_memory()
 
     return docs.mapInArrow(run, docs.schema)
 
