@@ -16,6 +16,7 @@ def test_order_after_calibration_equals_plain_python(spark, sf_dir):
     """Hits in order of arrival: each waits for an isochron that reaches it, is translated by the oldest of the
     last 20 that does, and is kept unless an earlier one came out later."""
     found = {r.mbid: (r.n, r.n_kept) for r in queries.QUERIES["t05_order_after_calibration"](spark, sf_dir).collect()}
+    clocks = {(r.mbid, r.seq): r.clk for r in queries.Views(spark, sf_dir).tcal.selectExpr("mbid", "seq", "(dom_rx + (k - 60) * 1000000L) * 250 as clk").collect()}
     channels: dict[int, list] = {}
     for r in queries.stamps(queries.Views(spark, sf_dir)).collect():
         channels.setdefault(r.mbid, []).append(r)
@@ -25,7 +26,7 @@ def test_order_after_calibration_equals_plain_python(spark, sf_dir):
         for r in sorted(rows, key=lambda r: r.seq):
             for step in ("hit", "tcal"):
                 if step == "hit":
-                    waiting.append(r.dom_rx * 250)
+                    waiting.append(clocks[r.mbid, r.seq])
                 else:
                     state, out = calibrate.chain_step(state, r)
                     isochrons = (isochrons + [out])[-20:] if out[2] == "accepted" else isochrons

@@ -57,13 +57,13 @@ OPEN_CATALOG = f"cat AS (SELECT hub_id, slice, start_utc, CASE WHEN slice = max(
 
 
 def ringed(v: Views, parts: int, kept: int = spool.KEPT) -> str:
-    """The path of a ring store into which the hits went in ``parts`` batches of arrival, the last one twice."""
+    """The path of a ring store into which the hits went in ``parts`` batches of arrival, the last of several twice."""
     path = scratch_path(v.spark, "ring")
     rows = v.hits.select("seq", "hub_id", "mbid", "utc")
     low, high = rows.agg(F.min("seq"), F.max("seq")).first()
     step = ((high or 0) - (low or 0)) // parts + 1
     sink = ring.ring_sink(path, SLICE, kept)
-    for k in [*range(parts), parts - 1]:
+    for k in [*range(parts), *range(parts - 1, parts)[: parts - 1]]:
         sink(rows.where(F.expr(f"(seq - {low or 0}) div {step} = {k}")), k)
     return path
 

@@ -194,22 +194,21 @@ ASKED = "asked AS (SELECT mbid, seq, (dom_rx + (k - 60) * 400000) AS domclk FROM
     ("tcal",), CHAIN + ", " + ASKED, True,
 )
 def _(v):
-    t = stamps(v).select("mbid", "seq", F.lit("tcal").alias("kind"), F.lit(0).cast("long").alias("domclk"), "t0", "t1", "t2", "t3", "bad", "gps_offset")
+    return calibrated(v, 400_000).select("mbid", "seq", "utc")
+
+
+def calibrated(v: Views, spread: int) -> DataFrame:
+    """A calibration and a hit for each row, the hit's clock up to 60 times ``spread`` before or after; through the stream."""
     none = F.lit(0).cast("long")
-    h = v.tcal.select("mbid", "seq", F.lit("hit").alias("kind"), F.expr("dom_rx + (k - 60) * 400000L").alias("domclk"), none, none, none, none, F.lit(False), none)
-    t = t.withColumn("t3", F.coalesce("t3", none))
-    out = finished(v, streams.calibrated_hits(replayed_stream(v, t.union(h), "records")), "calibrated")
-    return out.select("mbid", "seq", "utc")
+    t = stamps(v).withColumn("t3", F.coalesce("t3", none)).select("mbid", "seq", F.lit("tcal").alias("kind"), none.alias("domclk"), "t0", "t1", "t2", "t3", "bad", "gps_offset")
+    h = v.tcal.select("mbid", "seq", F.lit("hit").alias("kind"), F.expr(f"dom_rx + (k - 60) * {spread}L").alias("domclk"), none, none, none, none, F.lit(False), none)
+    return finished(v, streams.calibrated_hits(replayed_stream(v, t.union(h), "records")), "calibrated")
 
 
 @query("t05_order_after_calibration")
 def _(v):
     """Kept hits of the calibrated stream by channel; steps back are judged in order of release, which SQL does not see."""
-    t = stamps(v).withColumn("t3", F.coalesce("t3", F.lit(0).cast("long"))).select("mbid", "seq", F.lit("tcal").alias("kind"), "dom_rx", "t0", "t1", "t2", "t3", "bad", "gps_offset")
-    h = t.withColumn("kind", F.lit("hit")).withColumn("bad", F.lit(False))
-    records_ = t.union(h).withColumnRenamed("dom_rx", "domclk")
-    out = finished(v, streams.calibrated_hits(replayed_stream(v, records_, "records")), "calibrated")
-    return out.groupBy("mbid").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("n_kept"))
+    return calibrated(v, 1_000_000).groupBy("mbid").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("n_kept"))
 
 
 def asked(v: Views) -> DataFrame:
