@@ -40,10 +40,10 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), extra:
 
 @query("s01_spool_records", "SELECT seq_count AS n, rec_len, fmt, mbid, utc FROM (SELECT count(*) AS seq_count, rec_len, fmt, mbid, utc FROM hits GROUP BY ALL)", ("hits",))
 def _(v):
-    """Record files, written and read back in ranges of 64 KB."""
+    """Record files, written and read back in ranges of 256 KB."""
     path = scratch_path(v.spark, "spool")
     spool_files.write_spool(v.hits, path, SLICE).agg(F.sum("n")).collect()
-    return spool_files.read_spool(v.spark, path, with_payload=False, range_bytes=1 << 16).groupBy("rec_len", "fmt", "mbid", "utc").agg(F.count(F.lit(1)).alias("n"))
+    return spool_files.read_spool(v.spark, path, with_payload=False, range_bytes=1 << 18).groupBy("rec_len", "fmt", "mbid", "utc").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s02_slices", f"SELECT hub_id, utc // {SLICE} AS slice, count(*) AS n, min(utc) AS lo, max(utc) AS hi FROM hits GROUP BY ALL", ("hits",))
