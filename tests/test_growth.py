@@ -3,7 +3,11 @@
 import random
 from fractions import Fraction
 
-from tickflow.operators import clocks
+import pytest
+from pyspark.sql import functions as F
+
+from tickflow.operators import clocks, ranges
+from tickflow.plans import queries
 
 
 def most_rows(df) -> int:
@@ -17,10 +21,18 @@ def most_rows(df) -> int:
             yield from nodes(p)
 
     df._jdf.collectToPython()
-    found = [n.metrics().get("numOutputRows") for n in nodes(df._jdf.queryExecution().executedPlan())]
+    found = [n.metrics().get(m) for n in nodes(df._jdf.queryExecution().executedPlan()) for m in ("numOutputRows", "pythonNumRowsReceived")]
     return max(m.get().value() for m in found if m.isDefined())
 
 
+def events_of(spark, path, n, seconds):
+    """A folder with ``n`` events of 90 channels in ``seconds`` seconds."""
+    kind = "element_at(array('error', 'click', 'purchase', 'signup', 'view'), cast(1 + id % 5 as int))"
+    rows = spark.range(n).selectExpr("id as event_id", f"cast(timestamp_micros(1704070800000000 + id * {seconds} * 1000000 div {n}) as timestamp_ntz) as ts", "id * 7 % 90 as user_id", f"{kind} as event_type", "1D as value", "concat('{\"k\": ', id * 13 % 100, '}') as props")
+    rows.write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
 def test_offsets_do_not_pair_readings_with_modules(spark):
     rng = random.Random(3)
     seqs = list(range(900))
@@ -43,3 +55,33 @@ def test_offsets_do_not_pair_readings_with_modules(spark):
         found = {(r.card, r.seq): r.offset for r in df.collect()}
         assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-6 for k in want)
     assert most_rows(clocks.master_offsets(*tables)) < 3 * 900
+
+
+def test_summary_is_that_of_the_readout(spark):
+    """Requests with many elements, alike and overlapping, of all kinds; hubs inside and on the surface; hits without time, hub or module."""
+    rng = random.Random(5)
+    hubs = [1, 2, 201]
+    modules = spark.createDataFrame([(10 * h + k, h) for h in hubs for k in range(3)], "mbid long, hub_id int")
+    mbid = lambda h: rng.choice([None] + [10 * (h or 1) + k for k in range(4)])
+    rows = [(s, h, mbid(h), rng.choice([None] + [rng.randrange(-40, 200)] * 20)) for s, h in enumerate(rng.choices([*hubs, None], k=400))]
+    hits = spark.createDataFrame(rows, "seq long, hub_id int, mbid long, utc long")
+    elements = []
+    for uid in range(60):
+        for elem in range(rng.choice([1, 1, 2, 6])):
+            hub, first = rng.choice(hubs), rng.randrange(-60, 220)
+            elements.append((uid, elem, rng.choice([0, 1, 2, 3, 4, 4, 4, 5, 6]), 12000 + hub, first, rng.choice([first + rng.randrange(-3, 60), 2**63 - 1]) if uid % 9 == 0 else first + rng.randrange(-3, 40), 10 * hub + rng.randrange(3)))
+    e = spark.createDataFrame(elements, "uid int, elem int, readout_type int, source_id int, first_utc long, last_utc long, dom_id long")
+    near = e.withColumn("last_utc", F.least("last_utc", F.lit(500)))
+    of_pairs = F.struct("utc", "source_id", "mbid", "seq")
+    want = ranges.readout(hits, near, modules, 7).groupBy("uid").agg(F.count("*").alias("n"), F.min(of_pairs).alias("first_hit"), F.max(of_pairs).alias("last_hit"))
+    want = sorted(want.collect())
+    assert len(want) > 30
+    for ticks in (7, 50, 10**6):
+        assert sorted(ranges.readout_summary(hits, e, modules, ticks).collect()) == want
+    assert ranges.readout_summary(hits, e.where("false"), modules).count() == ranges.readout_summary(hits.where("false"), e, modules).count() == 0
+
+
+@pytest.mark.parametrize("name", ["a14_readout_assembly", "a15_sender_counters"])
+def test_summaries_of_readouts_list_no_hits(spark, tmp_path, name):
+    """600 requests take some 300 000 of 3000 hits, all in an hour."""
+    assert most_rows(queries.QUERIES[name](spark, events_of(spark, tmp_path, 3000, 3600))) < 5 * 3000
