@@ -6,7 +6,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from tickflow.operators import clocks, ranges
+from tickflow.operators import clocks, monitor, ranges
 from tickflow.plans import queries
 
 
@@ -85,3 +85,23 @@ def test_summary_is_that_of_the_readout(spark):
 def test_summaries_of_readouts_list_no_hits(spark, tmp_path, name):
     """600 requests take some 300 000 of 3000 hits, all in an hour."""
     assert most_rows(queries.QUERIES[name](spark, events_of(spark, tmp_path, 3000, 3600))) < 5 * 3000
+
+
+def test_replay_totals_beyond_a_bigint(spark):
+    """4000 steps back of 5 days of ticks, and as many ahead."""
+    far = 120 * 36 * 10**12
+    hits = spark.range(8001).selectExpr("1 as hub_id", "id as seq", f"(1 - id % 2) * {far}L as utc")
+    assert [tuple(map(int, r)) for r in monitor.replay_totals(hits, 5, block=100).collect()] == [(1, 8001, 4000 * far, 4000 * far)]
+    assert monitor.replay_totals(hits.where("false"), 5).count() == 0
+
+
+def test_replay_totals_query_beyond_a_bigint(spark, tmp_path):
+    """In 29 days a tenth of the hits arrive five days back; the sums of 70 000 hits are over 2^63."""
+    path = events_of(spark, tmp_path, 70_000, 29 * 86400)
+    last, want = {}, {}
+    for r in sorted(queries.Views(spark, path).hits_disordered.select("seq", "hub_id", "utc").collect()):
+        total = want.setdefault(r.hub_id, [0, 0, 0])
+        step = r.utc - last.get(r.hub_id, r.utc)
+        total[0], total[1], total[2], last[r.hub_id] = total[0] + 1, total[1] + step * (step > 36 * 10**12), total[2] - step * (step < 0), r.utc
+    found = queries.QUERIES["a20_replay_totals"](spark, path)
+    assert {r[0]: [int(x) for x in r[1:]] for r in found.collect()} == want and max(map(max, want.values())) > 2**63

@@ -102,14 +102,18 @@ def scaler_timeline(bins: DataFrame, width: int) -> DataFrame:
 
 
 def replay_totals(hits: DataFrame, gap: int = SECOND, key: str = "hub_id", block: int = 1 << 20) -> DataFrame:
-    """Records, summed gaps of over ``gap`` and summed steps back of each stream, neighbours by blocks of arrival."""
+    """Records, summed gaps of over ``gap`` and summed steps back of each stream, neighbours by blocks of arrival.
+
+    The sums are decimal(38,0): some thousand steps of days are more ticks than a bigint holds.
+    """
     blocked = hits.select(key, "seq", "utc", F.expr(f"seq div {block}").alias("block"))
     step = F.col("utc") - F.lag("utc").over(Window.partitionBy(key, "block").orderBy("seq"))
     inside = blocked.select(key, "utc", step.alias("step"))
     edges = blocked.groupBy(key, "block").agg(F.min_by("utc", "seq").alias("first"), F.max_by("utc", "seq").alias("last"))
     between = edges.select(key, F.lit(None).cast("long").alias("utc"), (F.col("first") - F.lag("last").over(Window.partitionBy(key).orderBy("block"))).alias("step"))
+    total = lambda steps: F.coalesce(F.sum(steps.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)")
     return inside.union(between).groupBy(key).agg(
-        F.count("utc").alias("payloads"), F.coalesce(F.sum(F.when(F.col("step") > gap, F.col("step"))), F.lit(0)).alias("gap_time"), F.coalesce(F.sum(F.when(F.col("step") < 0, -F.col("step"))), F.lit(0)).alias("behind")
+        F.count("utc").alias("payloads"), total(F.when(F.col("step") > gap, F.col("step"))).alias("gap_time"), total(F.when(F.col("step") < 0, -F.col("step"))).alias("behind")
     )
 
 
