@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickflow.operators import clocks, monitor, ranges
 from tickflow.plans import queries
+from tickflow.sources import ring
 
 
 def most_rows(df) -> int:
@@ -105,3 +106,23 @@ def test_replay_totals_query_beyond_a_bigint(spark, tmp_path):
         total[0], total[1], total[2], last[r.hub_id] = total[0] + 1, total[1] + step * (step > 36 * 10**12), total[2] - step * (step < 0), r.utc
     found = queries.QUERIES["a20_replay_totals"](spark, path)
     assert {r[0]: [int(x) for x in r[1:]] for r in found.collect()} == want and max(map(max, want.values())) > 2**63
+
+
+def test_ring_catalog_is_not_written_by_a_task_that_holds_all_partitions(spark, tmp_path):
+    """A task that reads every partition of a shuffle one after the other keeps a page of memory for each."""
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        spark.sparkContext.setJobGroup("ring", "ring")
+        sink = ring.ring_sink(f"{tmp_path}/ring", 10, 3)
+        for k in range(2):
+            sink(spark.range(1000).selectExpr("id as seq", "cast(id % 3 as int) as hub_id", "id as mbid", f"id div 20 + {k} as utc"), k)
+        ring.compact(spark, f"{tmp_path}/ring")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = [i for j in tracker.getJobIdsForGroup("ring") for i in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(i)]
+    done = [store.lastStageAttempt(i) for i in stages]
+    assert len(done) > 10 and max(s.peakExecutionMemory() for s in done if s.numTasks() == 1) < 300 << 20
+    assert [tuple(r) for r in ring.catalog(spark, f"{tmp_path}/ring", 10).select("hub_id", "slice").sort("hub_id", "slice").collect()] == [(h, s) for h in range(3) for s in range(3, 6)]
