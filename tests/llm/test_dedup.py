@@ -275,3 +275,42 @@ def test_near_copies_of_one_word_set_in_many_orders(spark, make_docs):
     named = {r.doc_id: r.component_id for r in shingles.near_copies(make_docs(rows)).collect()}
     assert all(c <= i <= c + 1 and c % 2 == 0 for i, c in named.items())
     assert sum(named[2 * k + 1] == 2 * k for k in range(40)) >= 36
+
+
+def test_sketches_clear_small_sets_and_never_similar_ones(spark):
+    """Sets under 128 shingles had no sketch: all pairs of a large group of short texts went on to the texts."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+    similar, apart = [], []
+    for n in (1, 3, 20, 60, 127, 128, 200, 255):
+        for _ in range(30):
+            a = draw(n)
+            b = np.unique(np.r_[a[: n - n // 12], draw(n // 12)])
+            assert shingles.similarity(a, b) >= 0.8
+            similar.append((a, b))
+            if n >= 20:
+                apart.append((a, np.unique(np.r_[a[: n // 2], draw(n - n // 2)])))
+    for pairs, passed in ((similar, True), (apart, False)):
+        kept = shingles.maybe_similar(*([shingles.sketch(p[k]) for p in pairs] for k in (0, 1)), 0.8)
+        assert kept.all() if passed else not kept.any()
+    assert shingles.maybe_similar([], [], 0.8).tolist() == []
+    assert shingles.maybe_similar([shingles.sketch(draw(250))], [shingles.sketch(draw(260))], 0.8).all()  # of two kinds: the texts decide
+    pairs = spark.createDataFrame([(1, k) for k in range(2, 40)], "a bigint, b bigint")
+    nodes = spark.createDataFrame([(k, bytearray(shingles.sketch(draw(60)))) for k in range(1, 40)], "key bigint, sketch binary")
+    assert shingles._alike(shingles.written(pairs), nodes, 38, 0.8).count() == 0
+
+
+def test_candidates_are_joined_once(spark):
+    """The rows of the first join were made again to count the keys of the second."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    pairs = shingles.written(spark.createDataFrame([(k, 1000 + k % 7) for k in range(500)], "a bigint, b bigint"))
+    values = shingles.written(spark.range(2000).selectExpr("id AS key", "cast(id AS string) AS text")).mapInArrow(counted, "key bigint, text string")
+    rows = shingles._joined(pairs, values, "text", 500).collect()
+    assert sorted((r.a, r.b, r.text_a, r.text_b) for r in rows) == [(k, 1000 + k % 7, str(k), str(1000 + k % 7)) for k in range(500)]
+    assert seen.value <= 2 * 2000
