@@ -145,6 +145,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = not special
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.empty()
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with the space, which the vocabulary spells so
+        self.spaced[[k for token, k in vocabulary.items() if token[0] == "\u0120"]] = True
         self.classes = np.zeros(0x110000, np.uint8)  # 0 other, 1 letter, 2 number, 3 white space, 4 the space itself
         for low, high in ((0, 0xD800), (0xE000, 0x110000)):
             points = "".join(map(chr, range(low, high)))
@@ -252,17 +255,21 @@ class Encoder:
         self._remember(self.recent, kept, n)
 
     def _remember_joined(self, pieces: list[str]) -> None:
-        """Pieces that begin with a space keep apart when they stand end to end: a text of many is encoded at once."""
+        """Pieces that begin with a space keep apart when they stand end to end: a text of many is encoded at once.
+
+        They have no other space, so each begins at a token that begins with one.
+        """
         groups = [pieces[k : k + JOINED] for k in range(0, len(pieces), JOINED)]
         ids, counts, known = [], [], []
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            words = e.word_ids
-            if words and words[-1] == len(group) - 1:
+            own = np.array(e.ids, np.uint32)
+            begins = np.nonzero(self.spaced[own])[0]
+            if len(begins) == len(group) and begins[0] == 0:
                 known += group
-                ids += e.ids
-                counts.append(np.bincount(words, minlength=len(group)))
+                ids.append(own)
+                counts.append(np.diff(np.r_[begins, len(own)]))
         if known:
-            self._remember(known, np.array(ids, np.uint32), np.concatenate(counts))
+            self._remember(known, np.concatenate(ids), np.concatenate(counts))
 
     def _remember(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         first = len(self.places)
