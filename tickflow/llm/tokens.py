@@ -305,7 +305,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     in a text is that token.  Each document's ids are followed by ``end_id``.  A shard is a range of ids of the table; its row r holds
     some 2^18 ids as packed blocks, the index of block starts, and for each document that ends in the row its
     id and the place after its last token, counted from the row's start.  Rows are stored as Parquet through
-    Spark, so any store that Spark reaches will do, and a lost task writes its shard again.
+    Spark, so any store that Spark reaches will do, and a lost task writes its shard again.  A page is closed by its
+    size after any row: Parquet would look first after a hundred, some 70 MB that a page is packed and unpacked in.
 
     Null texts count as empty (the end id alone); null ids come first; rows that repeat an id are written each.
     With ``hand_back`` a task forgets at its end what its worker remembers of pieces, which the next one would
@@ -351,7 +352,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             encoder(tokenizer_path).empty()
             hand_back_memory()
 
-    ordered.mapInArrow(run, ROW).write.parquet(path)
+    ordered.mapInArrow(run, ROW).write.options(**{"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}).parquet(path)
 
 
 def _portions(batch: pa.RecordBatch):
